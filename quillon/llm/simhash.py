@@ -35,6 +35,7 @@ SEED = 42
 RADIUS = 3
 LEAF = 256
 SHARD_LIMIT = 2048
+HOT_SHARE = 1000
 #: Shingles hashed at a time, so that a long text needs little memory.
 PIECE = 1 << 16
 
@@ -211,9 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def component_map(prints: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(fp, keep_doc, keep_fp): for each fingerprint, the smallest document of its component."""
+    """(fp, keep_doc, keep_fp, n_docs): for each fingerprint, the smallest document of its component."""
     by_fp = saved(
-        prints.groupBy("fp").agg(F.expr("min(struct(doc_id is null as no_id, doc_id, fp))").alias("best"))
+        prints.groupBy("fp").agg(
+            F.expr("min(struct(doc_id is null as no_id, doc_id, fp))").alias("best"), F.count("*").alias("n_docs")
+        )
     )
     n = by_fp.count()
     linked = saved(components(links(by_fp.select("fp"), n, shard_limit)))
@@ -224,15 +227,22 @@ def component_map(prints: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFram
     )
     of = linked.join(best, "root").select(F.col("node").alias("fp"), "least")
     return by_fp.join(of, "fp", "left").selectExpr(
-        "fp", "coalesce(least, best).doc_id as keep_doc", "coalesce(least, best).fp as keep_fp"
+        "fp", "coalesce(least, best).doc_id as keep_doc", "coalesce(least, best).fp as keep_fp", "n_docs"
     )
 
 
 def near_duplicates(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """One row per document: fingerprint and component."""
+    """One row per document: fingerprint and component.
+
+    Fingerprints that more than one in HOT_SHARE documents have are fewer than
+    HOT_SHARE at any size; they are broadcast, so no task gets all their rows.
+    """
     prints = saved(fingerprints(docs))
-    found = component_map(prints, shard_limit)
-    return prints.join(found, "fp").select(
+    found = saved(component_map(prints, shard_limit).select("fp", "keep_doc", "n_docs"))
+    least = prints.count() // HOT_SHARE
+    hot = F.broadcast(found.where(F.col("n_docs") > least))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(found.where(F.col("n_docs") <= least), "fp")
+    return prints.join(hot, "fp").unionByName(cold).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("keep_doc").alias("component_id"),
