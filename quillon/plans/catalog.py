@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from quillon.plans import base, q_metrics, q_spans, q_tables  # noqa: F401  the modules register their queries
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return q_spans.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return base.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return base.SQL
