@@ -15,32 +15,31 @@ SLICES = 1024
 
 def ranked_values(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """One row per group: n, and for each name the value at a 0-based rank, an expression of column n."""
+
+    def renamed(frame: DataFrame, prefix: str) -> DataFrame:
+        return frame.select(*[F.col(b).alias(prefix + b) for b in by], *[F.col(c) for c in frame.columns if c not in by])
+
+    def same(left: str, right: str) -> list[Column]:
+        return [F.col(left + b).eqNullSafe(F.col(right + b)) for b in by] or [F.lit(True)]
+
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
     stats = counted.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"))
-    same = [counted[b].eqNullSafe(stats[b]) for b in by] or F.lit(True)
     place = F.coalesce(F.expr(f"try_divide(x - lo, hi - lo) * {SLICES}"), F.lit(0.0))
-    placed = counted.join(stats.drop("n"), same).select(
-        *[counted[b] for b in by], "x", "c", F.least(F.floor(place), F.lit(SLICES - 1)).alias("slice")
+    placed = counted.join(renamed(stats, "s_"), same("", "s_")).select(
+        *by, "x", "c", "n", F.least(F.floor(place), F.lit(SLICES - 1)).alias("slice")
     )
-    slices = placed.groupBy(*by, "slice").agg(F.sum("c").alias("sc"))
+    slices = placed.groupBy(*by, "slice", "n").agg(F.sum("c").alias("sc"))
     run = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    slices = slices.withColumn("upto", F.sum("sc").over(run)).withColumn("begin", F.col("upto") - F.col("sc"))
-    wanted = stats.select(
-        *by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("w")
-    ).select(*by, "n", "w.name", "w.rank")
-    own = [wanted[b].eqNullSafe(slices[b]) for b in by]
-    in_slice = (wanted["rank"] >= slices["begin"]) & (wanted["rank"] < slices["upto"])
-    picked = wanted.join(slices, [*own, in_slice]).select(*[wanted[b].alias(f"g_{b}") for b in by], "n", "name", "rank", "begin", F.col("slice").alias("of"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])
+    held = slices.withColumn("upto", F.sum("sc").over(run)).withColumn("begin", F.col("upto") - F.col("sc")).withColumn(
+        "wanted", F.filter(wanted, lambda w: (w["rank"] >= F.col("begin")) & (w["rank"] < F.col("upto")))
+    )
+    held = renamed(held.where(F.size("wanted") > 0).select(*by, F.col("slice").alias("of"), "begin", "wanted"), "h_")
     inner = Window.partitionBy(*by, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    keys = [placed[b].eqNullSafe(picked[f"g_{b}"]) for b in by]
-    shared = [F.col(b).eqNullSafe(F.col(f"k_{b}")) for b in by]
-    only = picked.select(*[F.col(f"g_{b}").alias(f"k_{b}") for b in by], "of").distinct()
-    near = placed.join(only, [*shared, F.col("slice") == F.col("of")], "left_semi")
-    near = near.withColumn("last", F.sum("c").over(inner))
-    found = near.join(picked, [*[near[b].eqNullSafe(picked[f"g_{b}"]) for b in by], near["slice"] == picked["of"]])
-    found = found.where((F.col("rank") >= F.col("begin") + F.col("last") - F.col("c")) & (F.col("rank") < F.col("begin") + F.col("last")))
-    picks = [F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in ranks]
-    return found.groupBy(*[F.col(f"g_{b}").alias(b) for b in by], "n").agg(*picks)
+    near = placed.join(held, [*same("", "h_"), F.col("slice") == F.col("of")])
+    near = near.withColumn("last", F.col("begin") + F.sum("c").over(inner)).withColumn("w", F.explode("wanted"))
+    found = near.where((F.col("w.rank") >= F.col("last") - F.col("c")) & (F.col("w.rank") < F.col("last")))
+    return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("w.name") == k, F.col("x"))).alias(k) for k in ranks])
 
 
 def conformal_rank(n: Column, alpha: float) -> Column:

@@ -58,9 +58,9 @@ RISK = f"""risk AS (SELECT span_id, scored.image_id, label, s_inst, greatest(-{d
 WITH_RISK = f"WITH {BANK}, {SPANS}, {IMAGES}, {SCORED}, {RISK}"
 RESPONSES = "resp AS (SELECT conv_id, turn, text AS response, chr(CAST(65 + conv_id % 5 AS INT)) AS answer FROM conversations WHERE role = 'assistant')"
 WORDS = """lin AS (SELECT doc_id AS image_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS value FROM documents),
-part AS (SELECT image_id, line, unnest(range(0, len(string_split(value, ' ')))) AS at, unnest(string_split(value, ' ')) AS text FROM lin),
-pre AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY image_id, line ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM part),
-inl AS (SELECT *, row_number() OVER (PARTITION BY image_id, line ORDER BY at) - 1 AS in_line FROM pre WHERE text <> ''),
+part AS (SELECT image_id, line, unnest(range(0, len(string_split(value, ' ')))) AS spot, unnest(string_split(value, ' ')) AS text FROM lin),
+pre AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY image_id, line ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM part),
+inl AS (SELECT *, row_number() OVER (PARTITION BY image_id, line ORDER BY spot) - 1 AS in_line FROM pre WHERE text <> ''),
 words AS (SELECT image_id, CAST(line * 1000000 + in_line AS BIGINT) AS ord, text, CAST(20 * line + 70 * (line // 3) AS INT) AS top,
   CAST(10 * prefix + 45 * (in_line // 5) AS INT) AS left_, CAST(10 * length(text) AS INT) AS width, 16 AS height FROM inl)"""
 LINES = WORDS + """,

@@ -95,15 +95,15 @@ def _(spark, d):
 
 
 def _boot_sql(source, n_boot, seed=7):
-    """CTEs n, at(i, x), reps(b, m) of a CTE ``vals(k, x)``."""
-    return f"""{source}, at AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x::DOUBLE AS x FROM vals WHERE x IS NOT NULL),
-  n AS (SELECT count(*) AS n FROM at), reps AS (SELECT b, avg(x) AS m FROM (SELECT b, {draw(seed, 'b', 'g')} % n AS i FROM n, range({n_boot}) r(b), LATERAL (SELECT unnest(range(n)) AS g)) JOIN at USING (i) GROUP BY b)"""
+    """CTEs n, idx(i, x), reps(b, m) of a CTE ``vals(k, x)``."""
+    return f"""{source}, idx AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x::DOUBLE AS x FROM vals WHERE x IS NOT NULL),
+  n AS (SELECT count(*) AS n FROM idx), reps AS (SELECT b, avg(x) AS m FROM (SELECT b, {draw(seed, 'b', 'g')} % n AS i FROM n, range({n_boot}) r(b), LATERAL (SELECT unnest(range(n)) AS g)) JOIN idx USING (i) GROUP BY b)"""
 
 
 _QUALITY = "WITH vals AS (SELECT doc_id AS k, quality AS x FROM labels)"
 
 
-@query("op061_bootstrap_ci", f"{_boot_sql(_QUALITY, 200)} SELECT (SELECT round(avg(x), 6) FROM at) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n FROM reps")
+@query("op061_bootstrap_ci", f"{_boot_sql(_QUALITY, 200)} SELECT (SELECT round(avg(x), 6) FROM idx) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n FROM reps")
 def _(spark, d):
     return _r6(R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", 200), "mean", "lo", "hi")
 
@@ -123,7 +123,7 @@ _DIFF = f"""{REC}, vals AS (SELECT a.sample_id || a.transform AS k, a.is_unsafe
   AND a.attack_position = b.attack_position AND a.variant = 'attacked' AND b.variant = 'defended_attack')"""
 
 
-@query("op063_paired_bootstrap", f"""{_boot_sql(_DIFF, 50)}, o AS (SELECT avg(x) AS mean_diff, count(*) AS n_pairs FROM at), c AS (SELECT avg(m) AS centre FROM reps)
+@query("op063_paired_bootstrap", f"""{_boot_sql(_DIFF, 50)}, o AS (SELECT avg(x) AS mean_diff, count(*) AS n_pairs FROM idx), c AS (SELECT avg(m) AS centre FROM reps)
   SELECT round(any_value(mean_diff), 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi,
   round(least(1.0::DOUBLE, 2 * least(avg(CASE WHEN round(m - centre, 12) >= round(abs(mean_diff), 12) THEN 1.0::DOUBLE ELSE 0 END), avg(CASE WHEN round(m - centre, 12) <= -round(abs(mean_diff), 12) THEN 1.0::DOUBLE ELSE 0 END))), 6) AS p_value, any_value(n_pairs) AS n_pairs FROM reps, o, c""")
 def _(spark, d):
@@ -131,7 +131,7 @@ def _(spark, d):
     return _r6(R.paired_test(pairs, ["k"], 50), "mean_diff", "lo", "hi", "p_value")
 
 
-@query("op064_summarize_rate", f"{_boot_sql(_QUALITY, 100)} SELECT (SELECT round(avg(x), 6) FROM at) AS rate, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 6) AS width FROM reps")
+@query("op064_summarize_rate", f"{_boot_sql(_QUALITY, 100)} SELECT (SELECT round(avg(x), 6) FROM idx) AS rate, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 6) AS width FROM reps")
 def _(spark, d):
     return R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", 100).select(F.round("mean", 6).alias("rate"), F.round(F.col("hi") - F.col("lo"), 6).alias("width"))
 

@@ -227,7 +227,7 @@ _PAIRS = f"""{RUNS}, vals AS (SELECT a.sample_id || a.variant || a.transform AS
   AND a.variant = b.variant AND a.transform = b.transform AND a.attack_position IS NOT DISTINCT FROM b.attack_position)"""
 
 
-@query("op141_paired_tests", f"{_boot_sql(_PAIRS, 25)} SELECT (SELECT round(avg(x), 6) FROM at) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n_pairs FROM reps")
+@query("op141_paired_tests", f"{_boot_sql(_PAIRS, 25)} SELECT (SELECT round(avg(x), 6) FROM idx) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n_pairs FROM reps")
 def _(spark, d):
     pairs = compare.pair_runs(FX.records(spark, d), FX.records(spark, d, 37)).withColumn("k", F.concat("sample_id", "variant", "transform"))
     return _r6(R.paired_test(pairs, ["k"], 25).drop("p_value"), "mean_diff", "lo", "hi")

@@ -105,7 +105,7 @@ def _(spark, d):
     return manifest.config_rows(raw).select("run", "defense_type", "cmc_lambda", "seed")
 
 
-@query("op018_config_grid", "SELECT 'cmc_alpha' || a || '_seed' || s AS run, a::DOUBLE AS alpha, s AS seed, 'cmc' AS defense_type FROM (VALUES (0.05), (0.1), (0.2)) x(a), (VALUES (0), (1), (42)) y(s)")
+@query("op018_config_grid", "SELECT 'cmc_alpha' || a::DOUBLE || '_seed' || s AS run, a::DOUBLE AS alpha, s AS seed, 'cmc' AS defense_type FROM (VALUES (0.05), (0.1), (0.2)) x(a), (VALUES (0), (1), (42)) y(s)")
 def _(spark, d):
     made = manifest.grid_of({"defense_type": "cmc"}, "cmc", alpha=(0.05, 0.1, 0.2), seed=(0, 1, 42))
     return spark.createDataFrame([(x["run"], x["alpha"], x["seed"], x["defense_type"]) for x in made], "run string, alpha double, seed int, defense_type string")
@@ -323,7 +323,7 @@ def _(spark, d):
     return r.where("variant = 'base'").unionByName(r.where("variant = 'attacked'"))
 
 
-@query("op097_head_split", "SELECT split, count(*) AS n, sum(vec_id) AS s FROM (SELECT vec_id, CASE WHEN vec_id < 100 THEN 'cal' ELSE 'test' END AS split FROM embeddings WHERE vec_id < 300) GROUP BY split")
+@query("op097_head_split", "SELECT split, count(*) AS n, sum(vec_id)::BIGINT AS s FROM (SELECT vec_id, CASE WHEN vec_id < 100 THEN 'cal' ELSE 'test' END AS split FROM embeddings WHERE vec_id < 300) GROUP BY split")
 def _(spark, d):
     from quillon.operators import calibrate
 
