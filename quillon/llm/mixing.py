@@ -2,12 +2,13 @@
 
 Documents are summed to cells of (source, language, topic).  The cells' token
 weights are raked: each axis in turn is scaled to its target shares of the
-token budget, and no cell may get more than the tokens it has.  A document is
+token budget, and no cell may get more than the tokens it has.  Sums by axis are windows
+while the counted cells are few, and distributed sums joined back beyond that.  A document is
 then kept with the probability of its cell, decided by a hash of doc_id.
 
 Targets are explicit shares, or, by default, the corpus' own shares raised to
-a power below one, which lifts small sources.  Cells stay a DataFrame; sums by
-axis are broadcast only if the counted cells are few.
+a power below one, which lifts small sources.  Cells stay a DataFrame and are
+broadcast only if they are counted to be few.
 
 Defined cases: nulls in an axis are a group of their own; a null text has no
 tokens, and its cell's probability is that of the cell, or 1 for cells without
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.store import saved
@@ -80,26 +81,33 @@ def _targets(cells: DataFrame, axis: str, rules: MixRules) -> DataFrame:
     )
 
 
+def _group_sums(cells: DataFrame, axis: str, n_cells: int) -> DataFrame:
+    """Adds have, the sum of w over the axis: a window over few cells, else sums that are joined back."""
+    if n_cells <= BROADCAST_CELLS:
+        return cells.withColumn("have", F.sum("w").over(Window.partitionBy(axis)))
+    sums = cells.groupBy(F.col(axis).alias("of")).agg(F.sum("w").alias("have"))
+    return saved(cells.join(sums, F.col(axis).eqNullSafe(F.col("of"))).drop("of"))
+
+
 def fit(cells: DataFrame, rules: MixRules = MixRules()) -> tuple[DataFrame, int]:
     """Cells with their probability p, and their number."""
     cells = saved(cells)
-    n = cells.count()
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    fixed = cells = saved(cells.coalesce(max(1, n // BROADCAST_CELLS)).withColumn("w", F.col("tokens") * rules.budget))
-    shares = {a: saved(_targets(fixed, a, rules).coalesce(max(1, n // BROADCAST_CELLS))) for a in AXES}
+    n, total = cells.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    cells = cells.coalesce(max(1, n // BROADCAST_CELLS))
+    raked = cells.withColumn("w", F.col("tokens") * F.lit(rules.budget))
+    for axis in AXES:
+        share = _targets(cells, axis, rules).select(F.col(axis).alias("of"), F.col("share").alias(f"share_{axis}"))
+        raked = raked.join(_small(share, n), F.col(axis).eqNullSafe(F.col("of"))).drop("of")
+    raked = saved(raked)
+    goal = float(total) * rules.budget
     for _ in range(rules.rounds):
         for axis in AXES:
-            want = shares[axis].withColumnRenamed(axis, "axis")
-            have = cells.groupBy(F.col(axis).alias("of")).agg(F.sum("w").alias("have"))
-            scale = _small(have, n).join(_small(want, n), F.expr("of <=> axis")).select(
-                "of", F.expr(f"coalesce(try_divide(share * {float(total) * rules.budget!r}D, have), 0D)").alias("f")
-            )
-            cells = saved(
-                cells.join(_small(scale, n), F.col(axis).eqNullSafe(F.col("of")))
-                .withColumn("w", F.least(F.col("w") * F.col("f"), F.col("tokens").cast("double")))
-                .drop("of", "f")
-            )
-    return cells.withColumn("p", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)), n
+            scale = F.coalesce(F.try_divide(F.col(f"share_{axis}") * F.lit(goal), F.col("have")), F.lit(0.0))
+            raked = _group_sums(raked, axis, n).withColumn(
+                "w", F.least(F.col("w") * scale, F.col("tokens").cast("double"))
+            ).drop("have")
+    p = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)
+    return saved(raked.select(*AXES, "tokens", "w", p.alias("p"))), n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

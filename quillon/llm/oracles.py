@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, sharding, urlfilter
+from quillon.llm import mixing, quality, sharding, urlfilter
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,8 +123,56 @@ def _sharding() -> str:
     FROM s"""
 
 
+def _quality() -> str:
+    rules, vocab = quality.QualityRules(), quality.vocabulary()
+    letters = "".join(chr(c) for c in range(0xA0, 0x250) if chr(c).isalpha())
+    classes = ["[a-z]", "[A-Z]", "[0-9]", " ", r"[\x00-\x1F\x7F-\x{9F}]", """[.,;:!?''"()-]""", r"[#-&*+/<=>@\[-`{-~]", f"[{letters}]"]
+    counts = [f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in classes]
+    listed = ", ".join(f"'{w}'" for w in vocab)
+    known = ", ".join(f"'{k}'" for k in quality.COMMON_WORDS)
+    js = """sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z:
+      CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END
+      + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2))"""
+    windows = "list_transform(range(1, greatest(len(w) - 2, 0) + 1), lambda i: {})"
+    return f"""
+    WITH a AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    tri AS (SELECT r, unnest({windows.format('i')}) AS i, unnest({windows.format('(w[i], w[i + 1], w[i + 2])')}) AS x FROM a),
+    again AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS q FROM
+        (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM tri) WHERE c > 1) GROUP BY r),
+    lines AS (SELECT r, count(*) - count(DISTINCT s) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS s FROM a)
+        WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    wc AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM a) WHERE word IN ({listed}) GROUP BY ALL),
+    wl AS (SELECT r, map_from_entries(list((word, n))) AS m, sum(n) AS hits FROM wc GROUP BY r),
+    b AS (SELECT a.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(text) AS n_chars,
+        CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+        [{', '.join(counts)}] AS cc,
+        list_append(list_transform([{listed}], lambda x: coalesce(m[x], 0)), len(w) - coalesce(hits, 0)) AS ww
+      FROM a LEFT JOIN again USING (r) LEFT JOIN lines USING (r) LEFT JOIN wl USING (r)),
+    d AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+        n_words >= {rules.guard_words} AND n_chars >= {rules.guard_chars} AS long_enough,
+        list_transform(list_append(cc, n_chars - list_sum(cc)), lambda x: x / CAST(n_chars AS DOUBLE)) AS p,
+        list_transform(ww, lambda x: x / CAST(n_words AS DOUBLE)) AS q FROM b),
+    langs AS (SELECT coalesce(lang, '') AS lang FROM d WHERE long_enough GROUP BY 1
+        QUALIFY row_number() OVER (ORDER BY count(*) DESC, coalesce(lang, '')) <= {rules.max_languages} AND count(*) >= {rules.min_documents}),
+    units AS (SELECT CASE WHEN lang IN ({known}) OR lang IN (SELECT lang FROM langs) THEN lang ELSE '' END AS lang,
+        unnest(range(0, len(p) + len(q))) AS bin, unnest(list_transform(list_concat(p, q), lambda x: round_even(x * {quality.UNIT}, 0))) AS u
+      FROM d WHERE long_enough),
+    ref AS (SELECT lang, list(t ORDER BY bin) AS t FROM (SELECT lang, bin, sum(u) AS t FROM units GROUP BY ALL) GROUP BY lang),
+    refs AS (SELECT lang, list_transform(t[1:9], lambda x: x / list_sum(t[1:9])) AS rp, list_transform(t[10:], lambda x: x / list_sum(t[10:])) AS rq FROM ref),
+    dist AS (SELECT r, {js.format(p='p', q='rp')} AS c, {js.format(p='q', q='rq')} AS v FROM d, refs WHERE long_enough),
+    near AS (SELECT r, arg_min(c, c + v) AS c, arg_min(v, c + v) AS v FROM dist GROUP BY r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND coalesce(c <= {rules.max_char_distance} AND NOT (n_words >= {rules.guard_words_common} AND v > {rules.max_word_distance}), true) AS kept,
+      round(c, 6) AS js_char, round(v, 6) AS js_word
+    FROM d LEFT JOIN near USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_divergence": _quality(),
         "op2_decontaminate": _decontaminate(),
         "op3_url_filter": _urls(),
         "op4_mixing": _mixing(),

@@ -5,10 +5,10 @@ over the common words of the known languages plus "any other word".  The
 references are the mean histograms of all documents of each language, so
 they cover the whole corpus.  A document's distance is the Jensen-Shannon
 distance (base 2, 0 to 1) to the nearest language; documents shorter than
-the guards are not judged by it.
+the guards are not judged by it, and neither is any document if none passes them.
 
 Defined cases: a null text has no words and no characters; it fails the base
-rules.  A null or unknown language adds to one pooled reference.  An empty
+rules.  A null or rare language adds to one pooled reference.  An empty
 table gives no rows.  Repeated rows are judged alike, one row each.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.rowmap import map_rows, text_column
+from quillon.llm.store import saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -72,6 +73,8 @@ class QualityRules:
     guard_words_common: int = 150
     max_char_distance: float = 0.30
     max_word_distance: float = 0.32
+    max_languages: int = 64
+    min_documents: int = 30
 
 
 def vocabulary(common: dict[str, str] = COMMON_WORDS) -> list[str]:
@@ -128,16 +131,24 @@ def duplicate_lines(text: str) -> int:
     return count
 
 
-def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Rows (lang, bin, total): summed unit histograms of all documents that pass the guards.
+def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, np.ndarray]:
+    """Summed unit histograms of all documents that pass the guards, by language.
 
-    At most (known languages + 1) * (character classes + common words + 1) rows.
+    The known languages have references of their own, as do others with enough
+    documents, up to ``max_languages``; the rest, and null, are pooled as "".
+    What comes to the driver is (languages + 1) * (classes + common words + 1) numbers.
     """
     vocab = vocabulary()
+    size = len(CLASS_NAMES) + len(vocab) + 1
 
     def make():
         totals: dict[str, np.ndarray] = {}
 
+        def emptied():
+            rows = [(k, i - 1, int(v)) for k, x in totals.items() for i, v in enumerate(x) if v]
+            totals.clear()
+            return [list(c) for c in zip(*rows)] if rows else [[], [], []]
+
         def f(texts, langs):
             for text, lang in zip(texts, langs):
                 words = WORD.findall(text or "")
@@ -145,28 +156,28 @@ def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -
                     continue
                 chars, hits = char_histogram(text), word_histogram(words, vocab)
                 both = np.concatenate([chars / chars.sum(), hits / hits.sum()])
-                key = lang if lang in COMMON_WORDS else ""
-                totals[key] = totals.get(key, 0) + np.rint(both * UNIT).astype(np.int64)
+                units = np.concatenate([[1], np.rint(both * UNIT)]).astype(np.int64)
+                totals[lang or ""] = totals.get(lang or "", 0) + units
+            return emptied() if len(totals) > rules.max_languages else None
 
-        def finish():
-            rows = [(k, i, int(v)) for k, x in totals.items() for i, v in enumerate(x)]
-            return [list(c) for c in zip(*rows)] if rows else [[], [], []]
-
-        f.finish = finish
+        f.finish = emptied
         return f
 
     part = map_rows(docs, [text_column(docs), docs["lang"].cast("string")], "lang string, bin int, total long", make)
-    return part.groupBy("lang", "bin").agg(F.sum("total").alias("total"))
+    sums = saved(part.groupBy("lang", "bin").agg(F.sum("total").alias("total")))
+    counts = sums.where("bin = -1").orderBy(F.desc("total"), "lang").limit(rules.max_languages).collect()
+    own = [r.lang for r in counts if r.total >= rules.min_documents] + list(COMMON_WORDS)
+    pooled = sums.groupBy(F.when(F.col("lang").isin(own), F.col("lang")).otherwise("").alias("lang"), "bin")
+    references: dict[str, np.ndarray] = {}
+    for r in pooled.agg(F.sum("total").alias("total")).where("bin >= 0").collect():
+        references.setdefault(r.lang, np.zeros(size))[r.bin] = r.total
+    return references
 
 
 def _judge(docs: DataFrame, rules: QualityRules):
     """The function that judges one text, holding the corpus references."""
-    vocab = vocabulary()
-    split, size = len(CLASS_NAMES), len(CLASS_NAMES) + len(vocab) + 1
-    references: dict[str, np.ndarray] = {}
-    for r in language_references(docs, rules).collect():  # bounded, see language_references
-        references.setdefault(r.lang, np.zeros(size))[r.bin] = r.total
-    known = [(x[:split], x[split:]) for _, x in sorted(references.items())]
+    vocab, split = vocabulary(), len(CLASS_NAMES)
+    known = [(x[:split], x[split:]) for _, x in sorted(language_references(docs, rules).items())]
 
     def one(text):
         text = text or ""
@@ -181,6 +192,7 @@ def _judge(docs: DataFrame, rules: QualityRules):
             js_char, js_word = min(((js_distance(chars, c), js_distance(hits, w)) for c, w in known), key=sum)
             strange = n >= rules.guard_words_common and js_word > rules.max_word_distance
             kept = kept and js_char <= rules.max_char_distance and not strange
+            js_char, js_word = round(js_char, 6), round(js_word, 6)
         return (
             n, sum(map(len, words)), len(SYMBOL.findall(text)), duplicate_lines(text), repeats,
             failed, kept, js_char, js_word,

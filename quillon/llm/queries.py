@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm import decontaminate, langid, mixing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter
-
-
-def _table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quillon.sources.scan import table as _table
 
 
 def op1_quality_divergence(spark, sf_dir):

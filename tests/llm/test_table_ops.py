@@ -164,3 +164,10 @@ def test_mixing(edge, docs, targets):
 
 def test_mixing_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
+
+
+def test_mixing_with_many_cells_is_the_same(docs, monkeypatch):
+    few = {r.doc_id: r.p for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
+    many = {r.doc_id: r.p for r in mixing.mix(docs, mixing.MixRules()).collect()}
+    assert few.keys() == many.keys() and all(few[d] == pytest.approx(many[d], abs=2e-6) for d in few)
