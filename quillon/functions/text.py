@@ -23,9 +23,8 @@ JUDGE_MODES = ("none", "exact", "contains", "mcq", "refusal", "auto")
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, runs of anything but ASCII letters, digits and spaces to one space, trimmed."""
-    kept = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]+", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    """Lower case, runs of anything but ASCII letters and digits to one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def blank_to_null(text: Column) -> Column:

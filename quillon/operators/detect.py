@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,27 @@ def bank_row(bank: DataFrame) -> DataFrame:
 
 
 def score(spans: DataFrame, bank: DataFrame, engine: str = "sql") -> DataFrame:
-    """Adds s_inst, the largest similarity to the bank.  No shuffle: the bank is one broadcast row."""
-    joined = spans.crossJoin(F.broadcast(bank_row(bank)))
+    """Adds s_inst, the largest similarity to the bank, without a shuffle.
+
+    The bank is one broadcast row (engine "sql"), or a matrix that Arrow
+    batches of spans are multiplied with (engine "arrow", for many spans).
+    """
     if engine == "sql":
+        joined = spans.crossJoin(F.broadcast(bank_row(bank)))
         best = F.array_max(F.transform("bank", lambda r: V.dot(F.col("embedding"), r)))
         return joined.withColumn("s_inst", best).drop("bank")
     if engine != "arrow":
         raise ValueError(f"unknown engine: {engine}")
     matrix = np.array(bank_row(bank).first()[0], dtype=np.float64)
-    most = F.pandas_udf(lambda e: (e.map(lambda v: float((matrix @ np.asarray(v, np.float64)).max()))), "double")
-    return spans.withColumn("s_inst", most("embedding"))
+
+    def most(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna()
+        best = np.full(len(vectors), np.nan)
+        if known.any():
+            best[known] = (np.stack(vectors[known].to_numpy()).astype(np.float64) @ matrix.T).max(axis=1)
+        return pd.Series(best).where(known.to_numpy(), None)
+
+    return spans.withColumn("s_inst", F.pandas_udf(most, "double")("embedding"))
 
 
 def cross_join_score(spans: DataFrame, bank: DataFrame) -> DataFrame:
@@ -75,19 +87,26 @@ def flags(images: DataFrame, scored: DataFrame, tau, column: str = "risk") -> Da
     return images.join(hit, "image_id", "left").withColumn("flagged", F.coalesce("hit", F.lit(0))).drop("hit")
 
 
-def window_candidates(spans: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
-    """Windows of spans with the normalised sum of their embeddings."""
-    cands = S.windows(spans, sizes)
-    member = cands.select("image_id", "cand_idx", F.posexplode("members").alias("pos", "span_id"))
-    vec = spans.select("image_id", "span_id", "embedding")
-    rows = member.join(vec, ["image_id", "span_id"]).groupBy("image_id", "cand_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda p: p["embedding"]).alias("vs")
-    )
-    doubled = F.transform("vs", lambda v: F.transform(v, lambda x: x.cast("double")))
-    total = F.aggregate(
-        F.slice(doubled, 2, 8), F.get(doubled, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)
-    )
-    return cands.join(rows, ["image_id", "cand_idx"]).withColumn("embedding", V.normalized(total)).drop("vs")
+def window_scores(spans: DataFrame, images: DataFrame, bank: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
+    """Windows of spans with s_inst and the cosine to their image.
+
+    A window's vector is the normalised sum of its spans' vectors.  Arrow
+    batches are stacked and multiplied with the bank as matrices.
+    """
+    matrix = np.array(bank_row(bank).first()[0], dtype=np.float64)
+    image = images.select(F.col("image_id").alias("of_image"), F.col("embedding").alias("image_embedding"))
+    cands = S.windows(spans, sizes, "embedding").join(image, F.col("image_id") == F.col("of_image")).drop("of_image")
+
+    def scores(vectors: pd.Series, of_image: pd.Series) -> pd.DataFrame:
+        total = np.array([np.sum([np.asarray(x, np.float64) for x in v], axis=0) for v in vectors]).reshape(len(vectors), -1)
+        if not len(vectors):
+            return pd.DataFrame({"s_inst": [], "cos": []}, dtype=float)
+        unit = total / np.linalg.norm(total, axis=1, keepdims=True)
+        whole = np.stack(of_image.to_numpy()).astype(np.float64)
+        return pd.DataFrame({"s_inst": (unit @ matrix.T).max(axis=1), "cos": (unit * whole).sum(axis=1)})
+
+    found = F.pandas_udf(scores, "s_inst double, cos double")(F.col("embedding"), F.col("image_embedding"))
+    return cands.withColumn("found", found).select("image_id", "cand_idx", "size", "members", "found.s_inst", "found.cos")
 
 
 def firewall(
@@ -98,13 +117,10 @@ def firewall(
 
     tau = -10 redacts everything.
     """
-    scored = score(window_candidates(spans, sizes), bank)
-    if kind == "semantic":
-        scored = scored.withColumn("score", F.col("s_inst"))
-    elif kind == "cmc":
-        scored = with_risk(scored, images, lam).withColumn("score", F.col("risk"))
-    else:
+    if kind not in ("semantic", "cmc"):
         raise ValueError(f"unknown firewall: {kind}")
+    risk = F.col("s_inst") if kind == "semantic" else F.col("s_inst") + F.lit(lam) * V.inconsistency(F.col("cos"))
+    scored = window_scores(spans, images, bank, sizes).withColumn("score", risk)
     return scored.where(F.col("score") >= tau).select("image_id", "cand_idx", "size", "members", "score")
 
 

@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-READING = Window.partitionBy("image_id").orderBy("top", "left", "ord")
+def reading():
+    """Reading order within an image."""
+    return Window.partitionBy("image_id").orderBy("top", "left", "ord")
 
 
 def line_spans(words: DataFrame, max_gap_x: int = 40, line_ratio: float = 0.7) -> DataFrame:
     """Adds line_id: a word joins its predecessor's line span if near in both directions."""
-    before = {c: F.lag(c).over(READING) for c in ("top", "left", "width", "height")}
+    before = {c: F.lag(c).over(reading()) for c in ("top", "left", "width", "height")}
     same_line = F.abs(F.col("top") - before["top"]) < F.greatest("height", before["height"]) * F.lit(line_ratio)
     close = F.col("left") - (before["left"] + before["width"]) < max_gap_x
     starts = F.when(before["top"].isNull() | ~(same_line & close), 1).otherwise(0)
-    return words.withColumn("starts", starts).withColumn("line_id", F.sum("starts").over(READING) - 1).drop("starts")
+    return words.withColumn("starts", starts).withColumn("line_id", F.sum("starts").over(reading()) - 1).drop("starts")
 
 
 def line_boxes(lines: DataFrame) -> DataFrame:
@@ -53,26 +55,33 @@ def span_text(lines: DataFrame, by: list[str]) -> DataFrame:
     return lines.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
 
 
-def windows(spans: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
+def windows(spans: DataFrame, sizes=(1, 2, 3), carry: str | None = None) -> DataFrame:
     """Candidates of consecutive spans: (image_id, first, size, cand_idx, members).
 
     Spans are rows of (image_id, span_id).  Candidates are numbered singles
-    first, then by size and position, as ties go to the earliest.
+    first, then by size and position, as ties go to the earliest.  A carried
+    column comes along as an array, one value per member.
     """
     order = Window.partitionBy("image_id").orderBy("span_id")
-    at = spans.select("image_id", "span_id", (F.row_number().over(order) - 1).alias("first"))
-    for k in range(1, max(sizes)):
-        at = at.withColumn(f"next{k}", F.lead("span_id", k).over(order))
+    own = F.struct(F.col("span_id").alias("id"), *([F.col(carry).alias("x")] if carry else []))
+    at = spans.select("image_id", "span_id", own.alias("next0"))
+    later = [F.lead("next0", k).over(order).alias(f"next{k}") for k in range(1, max(sizes))]
+    at = at.select("image_id", "next0", (F.row_number().over(order) - 1).alias("first"), F.count("*").over(Window.partitionBy("image_id")).alias("n"), *later)
+    # windows of size s start at n - s + 1 places; so many of each smaller size come before
+    before, number = F.lit(0), {}
+    for s in sorted(sizes):
+        number[s] = before + F.col("first")
+        before = before + F.greatest(F.col("n") - s + 1, F.lit(0))
     made = [
-        F.struct(F.lit(s).alias("size"), F.array("span_id", *[F.col(f"next{k}") for k in range(1, s)]).alias("members"))
-        for s in sizes
+        F.when(
+            F.col("first") + s <= F.col("n"),
+            F.struct(F.lit(s).alias("size"), F.array(*[F.col(f"next{k}") for k in range(s)]).alias("m"), number[s].cast("int").alias("cand_idx")),
+        )
+        for s in sorted(sizes)
     ]
-    out = at.select("image_id", "first", F.explode(F.array(*made)).alias("c")).select(
-        "image_id", "first", F.col("c.size").alias("size"), F.col("c.members").alias("members")
-    )
-    out = out.where(~F.exists("members", lambda x: x.isNull()))
-    rank = Window.partitionBy("image_id").orderBy("size", "first")
-    return out.withColumn("cand_idx", F.row_number().over(rank) - 1)
+    out = at.select("image_id", "first", F.explode(F.array_compact(F.array(*made))).alias("c"))
+    kept = [F.col("c.m.x").alias(carry)] if carry else []
+    return out.select("image_id", "first", "c.size", F.col("c.m.id").alias("members"), "c.cand_idx", *kept)
 
 
 def best_per_word(candidates: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _lines(spark, d):
 
 @query("op083_reading_order", f"WITH {WORDS} SELECT image_id, ord, CAST(row_number() OVER (PARTITION BY image_id ORDER BY top, left_, ord) AS INT) AS place FROM words")
 def _(spark, d):
-    return FX.words(spark, d).select("image_id", "ord", F.row_number().over(S.READING).alias("place"))
+    return FX.words(spark, d).select("image_id", "ord", F.row_number().over(S.reading()).alias("place"))
 
 
 @query("op084_line_islands", f"WITH {LINES} SELECT image_id, ord, line_id FROM lines")
