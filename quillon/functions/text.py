@@ -141,3 +141,10 @@ def prompt_with(prompt: Column, hint: Column, choices: Column) -> Column:
 
 def percent(x: Column) -> Column:
     return F.format_string("%.1f%%", x * 100)
+
+
+def wrapped(text: str, width: int) -> Column:
+    """Greedy wrap of a text column to lines of at most width characters; longer words stand alone."""
+    return F.expr(f"""aggregate(filter(split({text}, '[ \\n]+'), w -> w != ''), cast(array() as array<string>),
+      (lines, w) -> if(size(lines) > 0 and length(element_at(lines, -1)) + 1 + length(w) <= {int(width)},
+        concat(slice(lines, 1, size(lines) - 1), array(concat(element_at(lines, -1), ' ', w))), concat(lines, array(w))))""")

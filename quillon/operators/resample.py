@@ -1,13 +1,15 @@
 """Bootstrap intervals and paired tests.
 
 The hash engine draws index i of replicate b as md5(seed:b:i) modulo n, so any
-engine can repeat it.  Samples are bounded; the replicates times draws are a
-distributed range.  The numpy engine runs the usual generator in one Arrow
+engine can repeat it; it numbers the sample, which has to be bounded.  The
+Poisson engine takes samples of any size in one pass.  The numpy engine runs the usual generator in one Arrow
 group per sample and is not comparable value by value.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,26 @@ def replicates(sample: DataFrame, key: list[str], value: str, n_boot: int, seed:
     return draws.join(side, "i").groupBy("b").agg(F.avg("x").alias("m"))
 
 
+#: Upper ends of the cumulative Poisson(1) probabilities 0, 1, ... 8.
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(9)]
+
+
+def poisson_replicates(sample: DataFrame, key: list[str], value: str, n_boot: int, seed: int = 7) -> DataFrame:
+    """(b, m) for samples of any size: each row weighs Poisson(1) in each replicate, by hash.
+
+    One pass, no order and no join; partial sums leave n_boot rows per task.
+    """
+    rows = sample.where(F.col(value).isNotNull()).select(F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("k"), F.col(value).cast("double").alias("x"))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = hash_key(seed, F.col("b"), F.col("k")) / F.lit(4294967296.0)
+    weight = F.lit(0)
+    for p in POISSON:
+        weight = weight + (F.col("u") >= p).cast("int")
+    return drawn.withColumn("u", u).withColumn("w", weight).groupBy("b").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w").cast("double")).alias("m")
+    )
+
+
 def interval(reps: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Linear quantiles of the replicates."""
     return reps.agg(F.expr(f"percentile(m, {alpha / 2}D)").alias("lo"), F.expr(f"percentile(m, {1 - alpha / 2}D)").alias("hi"))

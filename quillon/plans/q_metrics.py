@@ -108,6 +108,14 @@ def _(spark, d):
     return _r6(R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", 200), "mean", "lo", "hi")
 
 
+_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in R.POISSON)
+
+
+@query("op061_bootstrap_poisson", f"WITH d AS (SELECT b, quality::DOUBLE AS x, {draw(7, 'b', 'doc_id')} / 4294967296.0::DOUBLE AS u FROM labels, range(50) r(b)), reps AS (SELECT b, sum(({_WEIGHT}) * x) / sum({_WEIGHT}) AS m FROM d GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM reps")
+def _(spark, d):
+    return _r6(R.interval(R.poisson_replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality", 50)), "lo", "hi")
+
+
 @query("op061_bootstrap_numpy")
 def _(spark, d):
     return R.numpy_ci(FX.records(spark, d), ["variant"], "sample_id", "is_unsafe", 1000)

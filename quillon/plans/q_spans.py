@@ -158,6 +158,19 @@ def _(spark, d):
     return spark.createDataFrame([("visible", 36, 16), ("bounded", 18, 8), ("paraphrase", 28, 16)], "kind string, font int, margin int")
 
 
+@query("op123_text_wrap", r"""SELECT item_id, array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> ''), lambda w: [w])),
+  lambda a, x: CASE WHEN len(a) > 0 AND length(a[-1]) + 1 + length(x[1]) <= 40 THEN list_append(a[:-2], a[-1] || ' ' || x[1]) ELSE list_append(a, x[1]) END), chr(10)) AS wrapped FROM benchmark""")
+def _(spark, d):
+    return FX.table(spark, d, "benchmark").select("item_id", F.array_join(X.wrapped("text", 40), "\n").alias("wrapped"))
+
+
+@query("op129_choice_scorer", f"WITH {SPANS}, {IMAGES}, c AS (SELECT i.image_id, chr(CAST(65 + label AS INT)) AS label, max({dot('s.embedding', 'i.embedding')}) AS score FROM images i, spans s WHERE s.span_id < 100 GROUP BY ALL) SELECT image_id, arg_max(label, (round(score, 9), -ascii(label))) AS choice FROM c GROUP BY image_id")
+def _(spark, d):
+    choices = FX.spans(spark, d).where("span_id < 100").select(F.expr("chr(65 + label)").alias("label"), F.col("embedding").alias("choice"))
+    scored = FX.images(spark, d).crossJoin(F.broadcast(choices)).groupBy("image_id", "label").agg(F.max(V.dot(F.col("embedding"), F.col("choice"))).alias("score"))
+    return scored.groupBy("image_id").agg(F.max_by("label", F.struct(F.round("score", 9), -F.ascii("label"))).alias("choice"))
+
+
 TOKENS = ("license", "worthless", "pathetic")
 _HAS = lambda x: "(" + " OR ".join(f"contains({x}, '{t}')" for t in TOKENS) + ")"
 _TERMS = f"WITH {WORDS}, nw AS (SELECT image_id, ord, {norm('text')} AS term FROM words), terms AS (SELECT DISTINCT image_id, term FROM nw WHERE {_HAS('term')})"
