@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from quillon.llm.store import saved
 
 SHARDS = 16
-BUCKET_ROWS = 20_000
+#: Rows wanted in a bucket, and the most buckets, whose counts are summed in one task.
+BUCKET_ROWS = 2_000
+MOST_BUCKETS = 65_536
 
 
 def _ranked(rows: DataFrame, by: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
@@ -52,7 +54,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
     rows = saved(rows.withColumn("h", F.md5(key.cast("binary"))))
     n = rows.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     rows = rows.withColumn("hb", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * buckets))
     rows = _ranked(rows, ["source"], "hb", ["h", "doc_id", "text_crc32", "size"], "rank")
     sizes = rows.groupBy("source").agg(F.count("*").alias("of_source"))
