@@ -14,7 +14,6 @@ table gives no rows.  Repeated rows are judged alike, one row each.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -87,23 +86,28 @@ def char_histogram(text: str) -> np.ndarray:
 
 
 def word_histogram(words: list[str], vocab: list[str]) -> np.ndarray:
-    count = Counter(words)
-    hits = np.zeros(len(vocab) + 1)
-    for i, w in enumerate(vocab):
-        hits[i] = count.get(w, 0)
-    hits[-1] = len(words) - hits.sum()
-    return hits
+    get = Counter(words).get
+    hits = [get(w, 0) for w in vocab]
+    return np.array([*hits, len(words) - sum(hits)], float)
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance in base 2 of two non-negative vectors; 1 if either is empty."""
-    if p.sum() <= 0 or q.sum() <= 0:
-        return 1.0
-    p, q = p / p.sum(), q / q.sum()
+def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances in base 2 of a non-negative vector to each row; 1 if either is empty."""
+    sums = references.sum(1)
+    if p.sum() <= 0 or not len(references):
+        return np.ones(len(references))
+    p, q = p / p.sum(), references / np.where(sums > 0, sums, 1)[:, None]
     m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return math.sqrt(max(0.0, float(terms.sum()) / 2))
+
+    def part(x):
+        return (x * np.log2(np.divide(x, m, out=np.ones_like(m), where=x > 0))).sum(1)
+
+    return np.where(sums > 0, np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2)), 1.0)
+
+
+def js_distance(p: np.ndarray, q: np.ndarray) -> float:
+    """The distance of two vectors."""
+    return float(js_distances(p, q[None, :])[0])
 
 
 def repeat_words(words: list[str]) -> int:
@@ -174,39 +178,61 @@ def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -
     return references
 
 
-def _judge(docs: DataFrame, rules: QualityRules):
-    """The function that judges one text, holding the corpus references."""
-    vocab, split = vocabulary(), len(CLASS_NAMES)
-    known = [(x[:split], x[split:]) for _, x in sorted(language_references(docs, rules).items())]
+class Judge:
+    """Judges single texts, holding the corpus references."""
+
+    def __init__(self, references: dict[str, np.ndarray], rules: QualityRules):
+        self.rules, self.vocab = rules, vocabulary()
+        known = [x for _, x in sorted(references.items())]
+        self.known = np.array(known).reshape(len(known), len(CLASS_NAMES) + len(self.vocab) + 1)
 
-    def one(text):
+    def base_failed(self, words: list[str], repeats: int) -> bool:
+        n = len(words)
+        return n < self.rules.min_words or 100 * repeats > self.rules.max_repeat_percent * n
+
+    def distances(self, text: str, words: list[str]) -> tuple[float, float] | None:
+        """Character and word distance to the nearest reference; None below the guards."""
+        rules, split = self.rules, len(CLASS_NAMES)
+        if len(words) < rules.guard_words or len(text) < rules.guard_chars or not len(self.known):
+            return None
+        chars = js_distances(char_histogram(text), self.known[:, :split])
+        hits = js_distances(word_histogram(words, self.vocab), self.known[:, split:])
+        nearest = int(np.argmin(chars + hits))
+        return float(chars[nearest]), float(hits[nearest])
+
+    def usual(self, words: list[str], distances: tuple[float, float] | None) -> bool:
+        if distances is None:
+            return True
+        rules = self.rules
+        strange = len(words) >= rules.guard_words_common and distances[1] > rules.max_word_distance
+        return distances[0] <= rules.max_char_distance and not strange
+
+    def kept(self, text: str | None) -> bool:
+        """The verdict alone; distances are taken only where the base rules leave the text."""
+        text = text or ""
+        words = WORD.findall(text)
+        return not self.base_failed(words, repeat_words(words)) and self.usual(words, self.distances(text, words))
+
+    def row(self, text: str | None) -> tuple:
+        """Base counts, verdict and distances."""
         text = text or ""
         words = WORD.findall(text)
-        n = len(words)
         repeats = repeat_words(words)
-        failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
-        js_char = js_word = None
-        kept = not failed
-        if n >= rules.guard_words and len(text) >= rules.guard_chars and known:
-            chars, hits = char_histogram(text), word_histogram(words, vocab)
-            js_char, js_word = min(((js_distance(chars, c), js_distance(hits, w)) for c, w in known), key=sum)
-            strange = n >= rules.guard_words_common and js_word > rules.max_word_distance
-            kept = kept and js_char <= rules.max_char_distance and not strange
-            js_char, js_word = round(js_char, 6), round(js_word, 6)
+        failed, found = self.base_failed(words, repeats), self.distances(text, words)
+        shown = [round(d, 6) for d in found] if found else [None, None]
         return (
-            n, sum(map(len, words)), len(SYMBOL.findall(text)), duplicate_lines(text), repeats,
-            failed, kept, js_char, js_word,
+            len(words), sum(map(len, words)), len(SYMBOL.findall(text)), duplicate_lines(text), repeats,
+            failed, not failed and self.usual(words, found), *shown,
         )
 
-    return one
-
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: base counts, distances to the nearest reference, verdict."""
-    one = _judge(docs, rules)
+    references = language_references(docs, rules)
 
     def make():
-        return lambda ids, texts: [ids, *map(list, zip(*map(one, texts)))]
+        row = Judge(references, rules).row
+        return lambda ids, texts: [ids, *map(list, zip(*map(row, texts)))]
 
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -217,6 +243,6 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    one = _judge(docs, rules)
-    kept = F.pandas_udf(lambda texts: texts.map(lambda t: one(t)[6]), "boolean")
+    judged = Judge(language_references(docs, rules), rules)
+    kept = F.pandas_udf(lambda texts: texts.map(judged.kept), "boolean")
     return docs.where(kept(text_column(docs)))
