@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRANSFORMS = ("clean", "resize", "jpeg", "crop", "rerender", "blur")
@@ -56,3 +56,30 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     from quillon.operators.calibrate import hash_key
 
     return df.withColumn("shuffle_key", hash_key(seed, F.col(key))).orderBy("shuffle_key", key)
+
+
+#: Rows wanted in a slice of the hash range, and the most slices.
+SLICE_ROWS, MOST_SLICES = 50_000, 65_536
+
+
+def numbered(df: DataFrame, key: str, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds place, the 0-based position of a row in its seeded order.
+
+    Rows are ranked within slices of the hash range, and the sizes of the
+    slices before are added, so no task sorts the whole table.
+    """
+    from quillon.operators.calibrate import hash_key
+
+    slices = max(1, min(MOST_SLICES, -(-df.count() // slice_rows)))
+    keyed = df.withColumn("shuffle_key", hash_key(seed, F.col(key)))
+    keyed = keyed.withColumn("slice", F.expr(f"shuffle_key * {slices}L div 4294967296L"))
+    sizes = keyed.groupBy("slice").agg(F.count("*").alias("n"))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("slice").orderBy("shuffle_key", key)
+    ranked = keyed.withColumn("place", F.row_number().over(within) - 1)
+    return (
+        ranked.join(F.broadcast(starts), "slice")  # at most MOST_SLICES rows
+        .withColumn("place", (F.col("place") + F.col("begin")).cast("long"))
+        .drop("slice", "begin", "shuffle_key")
+    )

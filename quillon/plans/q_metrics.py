@@ -9,7 +9,7 @@ from quillon.functions import vectors as V
 from quillon.operators import calibrate as C
 from quillon.operators import compare, detect
 from quillon.operators import metrics as M
-from quillon.operators import report
+from quillon.operators import progress, report
 from quillon.operators import resample as R
 from quillon.plans.base import RESPONSES, WITH_RISK, draw, norm, query, records
 from quillon.plans.q_tables import _risk
@@ -414,3 +414,8 @@ def _(spark, d):
 def _(spark, d):
     v = F.try_parse_json("props")
     return FX.table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.none", "string").alias("lacking"))
+
+
+@query("op082_progress_counters", f"WITH {records()} SELECT variant, transform, count(*) FILTER (judged_correct = 1) AS done, count(*) AS total, count(*) FILTER (judged_correct = 1)::DOUBLE / count(*) AS share FROM rec GROUP BY ALL")
+def _(spark, d):
+    return progress.counters(FX.records(spark, d), ["variant", "transform"], F.col("judged_correct") == 1)

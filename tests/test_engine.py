@@ -332,3 +332,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("seen").collect()} == {tuple(r) for r in E.windowed(df).collect()}
+
+
+def test_numbered_is_the_seeded_order(spark):
+    from quillon.operators import grid
+
+    ids = spark.range(500)
+    got = {r.place: r.id for r in grid.numbered(ids, "id", slice_rows=7).collect()}
+    assert [got[i] for i in range(500)] == [r.id for r in grid.shuffled(ids, "id").collect()]
+    assert grid.numbered(ids.where("id < 0"), "id").count() == 0
+
+
+def test_progress(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import progress
+
+    df, seen = progress.observed(spark.range(10), "ten", even=F.count_if(F.col("id") % 2 == 0))
+    assert df.count() == 10 and seen.get == {"even": 5}
+    rows = spark.createDataFrame([("a", True), ("a", None), (None, False)], "k string, ok boolean")
+    got = {(r.k, r.done, r.total, r.share) for r in progress.counters(rows, ["k"], F.col("ok")).collect()}
+    assert got == {("a", 1, 2, 0.5), (None, 0, 1, 0.0)}
