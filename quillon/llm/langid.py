@@ -19,7 +19,6 @@ by name.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import zstandard
@@ -28,8 +27,6 @@ from pyspark.sql import functions as F
 
 from quillon.llm.rowmap import map_rows, text_column
 
-LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass(frozen=True)
 class LanguageRules:
@@ -76,7 +73,7 @@ def classifier(model: list[tuple[str, bytes]], rules: LanguageRules = LanguageRu
         coders.append((lang, zstandard.ZstdCompressor(level=rules.level, dict_data=d, write_content_size=False, write_dict_id=False)))
 
     def one(text):
-        if not text or not coders or not LETTER.search(text):
+        if not text or not coders or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         data = text.lower().encode()
         sizes = []

@@ -313,3 +313,10 @@ def test_languages(spark, docs, edge, none):
 @pytest.mark.parametrize("op", [quality.judge, pii.detect, secrets.scan, tokencount.count_tokens])
 def test_empty_tables(op, none):
     assert op(none).count() == 0
+
+
+def test_language_needs_a_letter():
+    from quillon.llm import langid
+
+    one = langid.classifier([("en", b"the cat and the dog"), ("fr", b"le chat et le chien")])
+    assert [one(t)[0] for t in (None, "", "12 ²³ ½ Ⅷ _", "the dog ²")] == ["und", "und", "und", "en"]
