@@ -2,23 +2,30 @@
 
 Each document becomes two histograms, one over character classes and one
 over the common words of the known languages plus "any other word".  The
-references are the mean histograms of all documents of each language, so
+references are the mean histograms of all documents of each known language, so
 they cover the whole corpus.  A document's distance is the Jensen-Shannon
-distance (base 2, 0 to 1) to the nearest language; documents shorter than
-the guards are not judged by it, and neither is any document if none passes them.
+distance (base 2, 0 to 1) to the nearest known language; documents shorter than
+the guards are not judged by it, and neither is any document if none of a
+known language passes them.
+
+Any other label is vetted: where its mean shares of letters of any script,
+digits, blanks, controls, points and symbols are close to a known language's,
+its documents, and no others, may also be near the label's own reference.  A
+null label, and one that is not vetted, is judged against the known languages.
 
 Defined cases: a null text has no words and no characters; it fails the base
-rules.  A null or rare language adds to one pooled reference.  An empty
-table gives no rows.  Repeated rows are judged alike, one row each.
+rules.  An empty table gives no rows.  Repeated rows are judged alike, one row each.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +79,10 @@ class QualityRules:
     guard_words_common: int = 150
     max_char_distance: float = 0.30
     max_word_distance: float = 0.32
+    #: Labels held at a time while histograms are summed; also a limit of the SQL twin, as is the next.
     max_languages: int = 64
     min_documents: int = 30
+    max_script_distance: float = 0.12
 
 
 def vocabulary(common: dict[str, str] = COMMON_WORDS) -> list[str]:
@@ -91,6 +100,24 @@ def word_histogram(words: list[str], vocab: list[str]) -> np.ndarray:
     return np.array([*hits, len(words) - sum(hits)], float)
 
 
+#: Classes that do not depend on the script; the first is letters.
+SCRIPT_NAMES = ("letter", "digit", "space", "control", "point", "symbol")
+_POINTS = {"P": "point", "N": "digit", "S": "symbol", "Z": "space"}
+
+
+def script_histogram(chars: np.ndarray, text: str) -> np.ndarray:
+    """The character histogram by SCRIPT_NAMES; characters of other scripts go by their Unicode category."""
+    of = dict(zip(CLASS_NAMES, map(int, chars)))
+    out = dict.fromkeys(SCRIPT_NAMES, 0) | {n: of[n] for n in SCRIPT_NAMES[1:]}
+    out["letter"] = of["lower"] + of["upper"] + of["accented"]
+    if of["other"]:
+        for c, n in Counter(text).items():
+            if CLASS_OF[min(ord(c), 0x250)] == CLASS_NAMES.index("other"):
+                kind = unicodedata.category(c)[0]
+                out["letter" if kind in "LM" else _POINTS.get(kind, "control")] += n
+    return np.array([out[n] for n in SCRIPT_NAMES], float)
+
+
 def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distances in base 2 of a non-negative vector to each row; 1 if either is empty."""
     sums = references.sum(1)
@@ -138,30 +165,32 @@ def duplicate_lines(text: str) -> int:
 def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, np.ndarray]:
     """Summed unit histograms of all documents that pass the guards, by language.
 
-    The known languages have references of their own, as do others with enough
-    documents, up to ``max_languages``; the rest, and null, are pooled as "".
-    What comes to the driver is (languages + 1) * (classes + common words + 1) numbers.
+    The known languages have references of their own, as do the other labels that
+    are vetted against them.  Labels are vetted where they are summed; what comes to the
+    driver is (languages + vetted labels) * (classes + common words + 1) numbers.
     """
     vocab = vocabulary()
-    size = len(CLASS_NAMES) + len(vocab) + 1
+    size, n_script = len(CLASS_NAMES) + len(vocab) + 1, len(SCRIPT_NAMES)
 
     def make():
         totals: dict[str, np.ndarray] = {}
 
         def emptied():
-            rows = [(k, i - 1, int(v)) for k, x in totals.items() for i, v in enumerate(x) if v]
+            rows = [(k, i, int(v)) for k, x in totals.items() for i, v in enumerate(x) if v]
             totals.clear()
             return [list(c) for c in zip(*rows)] if rows else [[], [], []]
 
         def f(texts, langs):
             for text, lang in zip(texts, langs):
+                if not lang:
+                    continue
                 words = WORD.findall(text or "")
                 if len(words) < rules.guard_words or len(text) < rules.guard_chars:
                     continue
                 chars, hits = char_histogram(text), word_histogram(words, vocab)
-                both = np.concatenate([chars / chars.sum(), hits / hits.sum()])
-                units = np.concatenate([[1], np.rint(both * UNIT)]).astype(np.int64)
-                totals[lang or ""] = totals.get(lang or "", 0) + units
+                script = script_histogram(chars, text)
+                both = np.concatenate([chars / chars.sum(), hits / hits.sum(), script / script.sum()])
+                totals[lang] = totals.get(lang, 0) + np.rint(both * UNIT).astype(np.int64)
             return emptied() if len(totals) > rules.max_languages else None
 
         f.finish = emptied
@@ -169,11 +198,26 @@ def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -
 
     part = map_rows(docs, [text_column(docs), docs["lang"].cast("string")], "lang string, bin int, total long", make)
     sums = saved(part.groupBy("lang", "bin").agg(F.sum("total").alias("total")))
-    counts = sums.where("bin = -1").orderBy(F.desc("total"), "lang").limit(rules.max_languages).collect()
-    own = [r.lang for r in counts if r.total >= rules.min_documents] + list(COMMON_WORDS)
-    pooled = sums.groupBy(F.when(F.col("lang").isin(own), F.col("lang")).otherwise("").alias("lang"), "bin")
-    references: dict[str, np.ndarray] = {}
-    for r in pooled.agg(F.sum("total").alias("total")).where("bin >= 0").collect():
+    known: dict[str, np.ndarray] = {}
+    for r in sums.where(F.col("lang").isin(*COMMON_WORDS)).collect():
+        known.setdefault(r.lang, np.zeros(size + n_script))[r.bin] = r.total
+    references = {lang: x[:size] for lang, x in known.items()}
+    if not known:
+        return references
+    scripts = np.array([x[size:] for x in known.values()])
+    shares = [F.coalesce(F.sum(F.when(F.col("bin") == size + i, F.col("total"))), F.lit(0)) for i in range(n_script)]
+    others = sums.where(~F.col("lang").isin(*COMMON_WORDS))
+
+    def vet():
+        def f(langs, rows):
+            near = [js_distances(np.array(x, float), scripts).min() <= rules.max_script_distance for x in rows]
+            return [[lang for lang, ok in zip(langs, near) if ok]]
+
+        return f
+
+    labels = others.groupBy("lang").agg(F.array(*shares).alias("shares"))
+    vetted = map_rows(labels, [F.col("lang"), F.col("shares")], "lang string", vet)
+    for r in others.where(F.col("bin") < size).join(vetted, "lang").collect():
         references.setdefault(r.lang, np.zeros(size))[r.bin] = r.total
     return references
 
@@ -183,20 +227,22 @@ class Judge:
 
     def __init__(self, references: dict[str, np.ndarray], rules: QualityRules):
         self.rules, self.vocab = rules, vocabulary()
-        known = [x for _, x in sorted(references.items())]
+        known = [x for lang, x in sorted(references.items()) if lang in COMMON_WORDS]
         self.known = np.array(known).reshape(len(known), len(CLASS_NAMES) + len(self.vocab) + 1)
+        self.vetted = {lang: np.vstack([self.known, x]) for lang, x in references.items() if lang not in COMMON_WORDS}
 
     def base_failed(self, words: list[str], repeats: int) -> bool:
         n = len(words)
         return n < self.rules.min_words or 100 * repeats > self.rules.max_repeat_percent * n
 
-    def distances(self, text: str, words: list[str]) -> tuple[float, float] | None:
-        """Character and word distance to the nearest reference; None below the guards."""
+    def distances(self, text: str, words: list[str], lang: str | None = None) -> tuple[float, float] | None:
+        """Character and word distance to the nearest reference for the label; None below the guards."""
         rules, split = self.rules, len(CLASS_NAMES)
         if len(words) < rules.guard_words or len(text) < rules.guard_chars or not len(self.known):
             return None
-        chars = js_distances(char_histogram(text), self.known[:, :split])
-        hits = js_distances(word_histogram(words, self.vocab), self.known[:, split:])
+        known = self.vetted.get(lang, self.known)
+        chars = js_distances(char_histogram(text), known[:, :split])
+        hits = js_distances(word_histogram(words, self.vocab), known[:, split:])
         nearest = int(np.argmin(chars + hits))
         return float(chars[nearest]), float(hits[nearest])
 
@@ -207,18 +253,18 @@ class Judge:
         strange = len(words) >= rules.guard_words_common and distances[1] > rules.max_word_distance
         return distances[0] <= rules.max_char_distance and not strange
 
-    def kept(self, text: str | None) -> bool:
+    def kept(self, text: str | None, lang: str | None = None) -> bool:
         """The verdict alone; distances are taken only where the base rules leave the text."""
         text = text or ""
         words = WORD.findall(text)
-        return not self.base_failed(words, repeat_words(words)) and self.usual(words, self.distances(text, words))
+        return not self.base_failed(words, repeat_words(words)) and self.usual(words, self.distances(text, words, lang))
 
-    def row(self, text: str | None) -> tuple:
+    def row(self, text: str | None, lang: str | None = None) -> tuple:
         """Base counts, verdict and distances."""
         text = text or ""
         words = WORD.findall(text)
         repeats = repeat_words(words)
-        failed, found = self.base_failed(words, repeats), self.distances(text, words)
+        failed, found = self.base_failed(words, repeats), self.distances(text, words, lang)
         shown = [round(d, 6) for d in found] if found else [None, None]
         return (
             len(words), sum(map(len, words)), len(SYMBOL.findall(text)), duplicate_lines(text), repeats,
@@ -232,17 +278,17 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
     def make():
         row = Judge(references, rules).row
-        return lambda ids, texts: [ids, *map(list, zip(*map(row, texts)))]
+        return lambda ids, texts, langs: [ids, *map(list, zip(*map(row, texts, langs)))]
 
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
         " base_failed boolean, kept boolean, js_char double, js_word double"
     )
-    return map_rows(docs, [docs["doc_id"].cast("long"), text_column(docs)], schema, make)
+    return map_rows(docs, [docs["doc_id"].cast("long"), text_column(docs), docs["lang"].cast("string")], schema, make)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that are kept, with all their columns."""
     judged = Judge(language_references(docs, rules), rules)
-    kept = F.pandas_udf(lambda texts: texts.map(judged.kept), "boolean")
-    return docs.where(kept(text_column(docs)))
+    kept = F.pandas_udf(lambda texts, langs: pd.Series(list(map(judged.kept, texts, langs)), dtype=bool), "boolean")
+    return docs.where(kept(text_column(docs), docs["lang"].cast("string")))

@@ -79,6 +79,27 @@ def test_quality_verdict(docs):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
 
 
+def test_quality_labels_do_not_excuse_junk(spark, docs):
+    rng = np.random.default_rng(2)
+
+    def text(letters, end, every=1):
+        words = ["".join(rng.choice(list(letters), int(rng.integers(2, 9)))) for _ in range(80)]
+        return " ".join(w + end * (i % every == 0) for i, w in enumerate(words))
+
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    rows = [(10**6 + i, text(latin, "###"), lang) for i, lang in enumerate([None, "", "rare", *["odd"] * 40])]
+    rows += [(2 * 10**6 + i, text(cyrillic, ".", 9), lang) for i, lang in enumerate(["one", *["ru"] * 40])]
+    rows += [(3 * 10**6 + i, text("█▓▒░", ""), "boxes") for i in range(40)]
+    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for d, r in got.items() if d >= 10**6)
+    assert {d for d, r in got.items() if d >= 10**6 and r.kept} == {2 * 10**6 + i for i in range(41)}
+    before = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(got[d] == r for d, r in before.items())
+    kept = {r.doc_id for r in quality.keep_good(df).select("doc_id").collect()}
+    assert kept == {d for d, r in got.items() if r.kept}
+
+
 # ---- decontamination -----------------------------------------------------
 
 
