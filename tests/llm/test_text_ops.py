@@ -312,6 +312,17 @@ def test_random_battery():
     assert secrets.combined((1.0, 1.0, 1.0)) == 1.0 and secrets.structured([], 0.1) == []
 
 
+def test_random_keys_in_paths():
+    key = "a8Fk29dKq0Zx7Lm3Pw5T"
+    for text in (f"see /api-v2/keys/{key} there", f"my_app/{key}", f"a+b/c-d_e/{key}/x_y"):
+        spans = secrets.scan_text(text)[1]
+        assert len(spans) == 1 and spans[0][0] <= text.index(key) and text.index(key) + len(key) <= spans[0][2]
+    assert secrets.scan_text("/my-docs/version_1/of-the-long-document-name-2024-final/page_2")[1] == []
+    slashed = "Zk3+v9Qx/T7mLw2Ra8/Yc5Np+G4" + "s1Hd6Jf0"
+    spans = secrets.scan_text(f"x_y-{slashed}")[1]
+    assert [(a, b) for a, _, b in spans] == [(4, 4 + len(slashed))]
+
+
 # ---- languages -----------------------------------------------------------
 
 
