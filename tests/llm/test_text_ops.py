@@ -352,3 +352,17 @@ def test_language_needs_a_letter():
 
     one = langid.classifier([("en", b"the cat and the dog"), ("fr", b"le chat et le chien")])
     assert [one(t)[0] for t in (None, "", "12 ²³ ½ Ⅷ _", "the dog ²")] == ["und", "und", "und", "en"]
+
+
+def test_languages_beyond_64_and_behind_a_shared_header(spark):
+    rng = np.random.default_rng(4)
+    header = "This work is licensed to the public under the terms of the licence that follows. " * 9
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)] for _ in range(70)]
+    body = lambda k: " ".join(rng.choice(words[k], 300))
+    rows = [(100 * k + i, header + body(k), f"l{k:02}") for k in range(70) for i in range(12)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(lang for lang, _ in model) == [f"l{k:02}" for k in range(70)]
+    found = langid.batch_classifier(model)([body(k) for k in range(70)])
+    assert [lang for lang, _, _ in found] == [f"l{k:02}" for k in range(70)]
+    texts = [body(k) for k in range(0, 70, 9)]
+    assert langid.batch_classifier(model)(texts) == langid.batch_classifier(model, langid.LanguageRules(coders_at_once=100))(texts)
