@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("op061_bootstrap_numpy")
 def _(spark, d):
-    return R.numpy_ci(FX.records(spark, d), ["variant"], "sample_id", "is_unsafe", 1000)
+    return R.numpy_ci(FX.records(spark, d), ["variant"], "sample_id", "is_unsafe", 10_000)
 
 
 @query("op062_bootstrap_picked", f"{_boot_sql(_QUALITY, 200, 42)}, s AS (SELECT list(m ORDER BY m) AS v FROM reps) SELECT round(v[5 + 1], 6) AS lo, round(v[195 + 1], 6) AS hi FROM s")
