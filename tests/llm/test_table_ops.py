@@ -49,8 +49,8 @@ def test_simhash(name, request):
     assert got == plain_components(rows)
 
 
-@pytest.mark.parametrize("limit", [2048, 16])
-def test_links_of_dense_and_sparse_groups(spark, limit):
+@pytest.mark.parametrize("limits", [(2048, 1 << 19), (16, 1 << 19), (64, 100), (16, 100)])
+def test_links_of_dense_and_sparse_groups(spark, limits):
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(0, 1 << 63, 400)}
     core = int(rng.integers(0, 1 << 63))
@@ -61,30 +61,63 @@ def test_links_of_dense_and_sparse_groups(spark, limit):
         fps.add(x)
     rows = [(i, simhash.signed(f)) for i, f in enumerate(sorted(fps))]
     df = spark.createDataFrame(rows, "doc_id long, fp long")
-    found = {r.fp: r.keep_doc for r in simhash.component_map(df, limit).collect()}
+    found = {r.fp: r.keep_doc for r in simhash.component_map(df, *limits).collect()}
     want = {f: c for _, f, c in plain_components([(i, f & (2**64 - 1)) for i, f in rows])}
     assert {f"{f & (2**64 - 1):016x}": c for f, c in found.items()} == want
 
 
-def test_bk_tree_finds_all_within_the_radius():
+@pytest.mark.parametrize("leaf", [1, 8])
+def test_bk_tree_finds_all_within_the_radius(leaf):
     rng = np.random.default_rng(5)
     values = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.arange(600, dtype=np.uint64)]))
     queries = np.array([0, 77, values[100], values[2000] ^ np.uint64(5)], dtype=np.uint64)
-    want = {i for i, v in enumerate(values) if any((int(v) ^ int(q)).bit_count() <= 3 for q in queries)}
-    assert set(simhash.BkTree(values).take(queries, 3).tolist()) == want
-
-
-def test_shards_of_many_blocks_lose_nothing(spark):
+    tree = simhash.BkTree.loads(simhash.BkTree(values, leaf).dumps())
+    assert sorted(tree.values) == sorted(values)
+    got = Counter((int(q), int(tree.values[v])) for qs, vs in tree.search(queries) for q, v in zip(qs, vs))
+    want = Counter((i, int(v)) for i, q in enumerate(queries) for v in values if (int(v) ^ int(q)).bit_count() <= 3)
+    assert got == want
+    for node in range(len(tree.low)):  # children are keyed by the distance to the pivot
+        for c in range(tree.first[node], tree.last[node]):
+            below = tree.values[tree.low[c] : tree.high[c]]
+            assert (np.bitwise_count(below ^ tree.values[tree.low[node]]) == tree.key[c]).all()
+    assert list(simhash.BkTree(values[:0]).search(queries)) == []
+
+
+def test_bk_tree_prunes_on_real_fingerprints():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    fps = np.unique(np.array([simhash.fingerprint(t) for t in texts], np.uint64))
+    tree, links = simhash.BkTree(fps), set()
+    for q, v in tree.search(fps):
+        links |= {(int(fps[a]), int(tree.values[b])) for a, b in zip(q, v) if fps[a] != tree.values[b]}
+    want = set()
+    for i in range(0, len(fps), 512):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 512, None] ^ fps) <= 3)
+        want |= {(int(fps[i + x]), int(fps[y])) for x, y in zip(a, b) if i + x != y}
+    assert links == want and links
+    # edges were followed at every query, and more were left than taken
+    assert tree.followed > 50 * len(fps) and tree.pruned > tree.followed
+
+
+def test_groups_beyond_the_broadcast_lose_nothing(spark):
     rng = np.random.default_rng(7)
     a = [int(x) for x in rng.integers(0, 1 << 63, 300)]
     b = [x ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for x, (i, j, k) in zip(a, rng.integers(0, 64, (300, 3)))]
     df = spark.createDataFrame([(simhash.signed(x),) for x in a + b], "fp long")
-    for blocks in (4, 5, 6):
-        keyed = simhash.shard_keys(df, blocks).collect()
-        shards = defaultdict(set)
-        for r in keyed:
-            shards[r.fp].add((r.shard, r.value))
-        assert all(shards[simhash.signed(x)] & shards[simhash.signed(y)] for x, y in zip(a, b))
+    for bits in (1, 5, 16):
+        groups = defaultdict(set)
+        for r in simhash.members(df, 600, bits, 8).collect():
+            groups[r.fp].add((r.quarter, r.value))
+        assert all(groups[simhash.signed(x)] & groups[simhash.signed(y)] for x, y in zip(a, b))
+    assert simhash.group_bits(1 << 19, 1 << 15, 1 << 19) == 0 and simhash.group_bits(1 << 20, 1 << 15, 1 << 19) == 5
+    assert simhash.group_bits(1 << 40, 1 << 15, 1 << 19) == 16
+
+
+def test_components_with_a_hub(spark):
+    rows = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 5000 + i - 1) for i in range(1, 40)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(40)}
 
 
 def test_keep_one(edge, docs, none):
