@@ -302,14 +302,117 @@ def test_secrets(name, request, spark):
     assert want == Counter(str((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
 
 
-def test_random_battery():
-    rng = np.random.default_rng(1)
-    alpha = dict(secrets.ALPHABETS)["base64"]
+WORDS = (
+    "open close start stop send receive check verify account invoice order price market region branch merge commit deploy"
+    " release patch vendor sensor signal filter kernel driver module plugin schema record field cursor batch window thread"
+    " worker master replica shard bucket object blob volume mount device packet router switch tunnel proxy gateway domain"
+).split()
+
+
+def made_token(rng, form, n):
+    out = ""
+    while len(out) < n:
+        w = WORDS[rng.integers(len(WORDS))]
+        out += {"Camel": w.capitalize(), "CamelNumber": w.capitalize(), "snake": w + "_", "SNAKE": w.upper() + "_", "path": "/" + w, "kebab": w + "-"}[form]
+    tail = "" if form == "Camel" else str(rng.integers(10 ** int(rng.integers(1, 5))))
+    return out[: n - len(tail)] + tail
+
+
+@pytest.mark.parametrize("n", [20, 21, 24, 28, 32, 40, 64])
+def test_random_tokens_are_found_and_identifiers_are_not(n):
+    rng, alphabets = np.random.default_rng(n), dict(secrets.ALPHABETS)
+    for name in ("hex", "HEX", "base32", "base36", "base62", "base64", "base64url"):
+        texts = ["x " + "".join(rng.choice(list(alphabets[name]), n)) + " y" for _ in range(300)]
+        found = sum(any(secrets.scan_text(t)) for t in texts)
+        assert found >= 0.9 * len(texts), (name, found)
+    for form in ("Camel", "snake", "SNAKE", "path", "kebab", "CamelNumber"):
+        wrong = sum(bool(secrets.scan_text(f"x {made_token(rng, form, n)} y")[1]) for _ in range(1000))
+        assert wrong < 0.01 * 1000, (form, wrong)
+
+
+def test_false_discoveries_are_held_against_the_words_of_the_corpus(spark):
+    rng = np.random.default_rng(8)
+    key = lambda: "".join(rng.choice(list(dict(secrets.ALPHABETS)["base62"]), 40))
+    rows = [(i, " ".join([made_token(rng, "CamelNumber", 30) for _ in range(60)] + WORDS * 4)) for i in range(40)]
+    keys = {100 + i: key() for i in range(40)}
+    rows += [(d, " ".join(made_token(rng, "Camel", 26) for _ in range(9)) + f" and {k} here") for d, k in keys.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, texts = {r.doc_id: r for r in secrets.scan(df).collect()}, dict(rows)
+    found = [s.split(":")[1:] for r in got.values() for s in r.spans.split(",") if s]
+    right = sum(f"random:{texts[d].index(k)}:{texts[d].index(k) + 40}" in got[d].spans.split(",") for d, k in keys.items())
+    assert right >= 36 and len(found) - right <= 4
+    null = secrets.corpus_null(df, secrets.SecretRules())
+    built = secrets.common_null(secrets.SecretRules())
+    assert sum(x.sum() for x in null.values()) >= sum(x.sum() for x in built.values()) + 80
+
+
+def plain_discovered(tests, level):
+    """Benjamini-Hochberg by its definition: the largest k with k weighted p-values at or below level * k / m."""
+    mean = sum(math.sqrt(n) for _, n in tests) / len(tests)
+    q = [p * mean / math.sqrt(n) for p, n in tests]
+    k = max((k for k in range(len(q) + 1) if sum(x <= level * k / len(q) for x in q) >= k), default=0)
+    return [x <= level * k / len(q) and k > 0 for x in q]
+
+
+def test_false_discovery_step():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        tests = [(float(rng.random() ** 6), int(rng.integers(20, 90))) for _ in range(int(rng.integers(1, 12)))]
+        assert secrets.discovered(tests, 0.05) == plain_discovered(tests, 0.05)
+    assert secrets.discovered([], 0.1) == [] and secrets.combined((1.0, 1.0, 1.0)) == 1.0
+
+
+@pytest.mark.parametrize("least", [12, 16, 30])
+def test_least_length_is_obeyed(least):
+    rng = np.random.default_rng(least)
+    rules, letters = secrets.SecretRules(least_length=least), list(dict(secrets.ALPHABETS)["base62"])
+    short = ["".join(rng.choice(letters, least - 1)) for _ in range(200)]
+    assert not any(secrets.scan_text(f"x {t} y", rules)[1] for t in short)
+    just = ["".join(rng.choice(letters, least)) for _ in range(200)]
+    assert sum(bool(secrets.scan_text(f"x {t} y", rules)[1]) for t in just) >= {12: 60, 16: 120, 30: 190}[least]
+
+
+def test_added_spans_against_brute_force(docs, edge):
+    """Spans of the query by a plain restatement: all runs and pieces, p-values by counting the null, no overlaps."""
     rules = secrets.SecretRules()
-    hits = [bool(secrets.scan_text("x " + "".join(rng.choice(list(alpha[:62]), 40)) + " y", rules)[1]) for _ in range(200)]
-    assert sum(hits) > 150
-    assert secrets.scan_text(SECRET_TEXTS[3])[1] == []
-    assert secrets.combined((1.0, 1.0, 1.0)) == 1.0 and secrets.structured([], 0.1) == []
+    for df in (docs, edge):
+        null = secrets.corpus_null(df, rules)
+        rows = Counter()
+        for d in df.collect():
+            text = d.text or ""
+            found = set()
+            for run in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+                found.add(run.span())
+                for signs in ("+/", "_-", "+/_-"):
+                    start = run.start()
+                    for piece in re.split(f"[{re.escape(signs)}]", run[0]):
+                        if len(piece) >= 20:
+                            found.add((start, start + len(piece)))
+                        start += len(piece) + 1
+            tests = []
+            for a, b in sorted(found):
+                alphabet = secrets.encoding_of(text[a:b])
+                if alphabet:
+                    at = max(n for n in null if n <= b - a)
+                    k = secrets.randomness_bin(text[a:b], alphabet)
+                    tests.append((a, b, (1 + null[at][k:].sum()) / (1 + null[at].sum())))
+            chosen = plain_discovered([(p, b - a) for a, b, p in tests], rules.false_discovery) if tests else []
+            spans = []
+            for a, b in sorted(((a, b) for (a, b, _), x in zip(tests, chosen) if x), key=lambda s: (s[0] - s[1], s)):
+                if all(b <= c or e <= a for c, e in spans):
+                    spans.append((a, b))
+            base = plain_secrets(text)
+            spans = [(a, 3, b) for a, b in spans if not any(s < b and a < e for s, _, e in base)]
+            rows[(d.doc_id, secrets.listed(base + spans))] += 1
+        assert rows == Counter((r.doc_id, r.spans) for r in secrets.scan(df).collect())
+
+
+def test_many_secrets_in_one_text():
+    rng = np.random.default_rng(1)
+    letters = list(dict(secrets.ALPHABETS)["base62"])
+    text = " ".join('token = "' + "".join(rng.choice(letters, 32)) + '" and ' + "".join(rng.choice(letters, 40)) for _ in range(4000))
+    base, added = secrets.scan_text(text)
+    assert len(base) == 4000 and len(added) > 3600
 
 
 def test_random_keys_in_paths():
