@@ -343,7 +343,7 @@ DECOYS = (
 @pytest.fixture(scope="module")
 def planted(spark):
     fill = lambda t, i: t.format(a=200 + i, b=f"{1000 + 7 * i}", c=10 + i)
-    rows = [(i, f"mail a{i}@b.co or c@d{i}.org, card 4012888888881881 and 4000000000000{i:03}, +1 ({300 + i}) 555-{1000 + i}, host 10.0.0.{i}, 300.1.2.{i}, end") for i in range(200)]
+    rows = [(i, f"mail a{i}@b.co or c@d{i}.org, card 4012888888881881 and 9000000000000{i:03}, +1 ({300 + i}) 555-{1000 + i}, host 10.0.0.{i}, 300.1.2.{i}, end") for i in range(200)]
     want, at = {}, 1000
     for i in range(12):
         for kind, text, span in PLANTED:
