@@ -343,7 +343,7 @@ DECOYS = (
 @pytest.fixture(scope="module")
 def planted(spark):
     fill = lambda t, i: t.format(a=200 + i, b=f"{1000 + 7 * i}", c=10 + i)
-    rows = [(i, f"mail a{i}@b.co or c@d{i}.org, card 4012888888881881 and 9000000000000{i:03}, +1 ({300 + i}) 555-{1000 + i}, host 10.0.0.{i}, 300.1.2.{i}, end") for i in range(200)]
+    rows = [(i, f"mail a{i}@b.co or c@d{i}.org, {('card', 'then')[i % 2]} 4012888888881881 and 9000000000000{i:03}, +1 ({300 + i}) 555-{1000 + i}, host 10.0.0.{i}, 300.1.2.{i}, end") for i in range(200)]
     want, at = {}, 1000
     for i in range(12):
         for kind, text, span in PLANTED:
@@ -365,7 +365,7 @@ def test_pii_recall_and_precision_on_planted_spans(planted):
     extra = {d: [x for x in spans if x not in plain_listed(texts[d])] for d, spans in got.items() if d not in want}
     assert sum(map(len, extra.values())) <= 0.05 * found, {d: (texts[d], x) for d, x in extra.items() if x}
     assert not any(x for d, x in extra.items() if "catalogue" in texts[d] or "home.page" in texts[d])
-    for kind, (trees, (least, precision, recall)) in zip(pii.KINDS, pii.learn(pii.saved(pii.candidates(df)))):
+    for kind, (trees, (least, precision, recall)) in zip(pii.KINDS, pii.learn(pii.saved(pii.candidates(df.where("doc_id < 1000"))))):
         assert trees and not math.isinf(least) and precision >= 0.95 and recall >= 0.9, (kind, least, precision, recall)
 
 
