@@ -14,8 +14,11 @@ Case is folded on both sides.
 
 Defined cases: null texts and texts without letters are "und" with score 0, as
 is every text if nothing could be learned.  A null doc_id is neither held out
-nor learned from.  Ties go to the language with more training documents, then
-by name.
+nor learned from; of several texts under one doc_id and language the first in
+order is learned from.  Ties go to the language with more training documents,
+then by name.  Repeated rows are predicted alike, an empty table gives no rows,
+long texts are encoded whole, and other columns than doc_id, text and lang are
+not read.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def learn(docs: DataFrame, rules: LanguageRules = LanguageRules()) -> list[tuple
         .join(F.broadcast(wanted), "lang")  # a number per language
         .where("place < share")
         .select("lang", "doc_id", "place", F.col("text").substr(begin, F.lit(rules.chars_per_document)).alias("text"))
-        .dropDuplicates(["lang", "doc_id"])
+        .groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text"))
         .collect()
     )
     by: dict[str, list] = {}
