@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; all but the last return the columns of documents.
+
+Defined cases: an empty table passes through all stages.  Null and empty texts
+fail the quality rules.  Repeated rows and ties are one component of equal
+fingerprints, of which one row stays.  Very long texts are read whole.  Null
+languages, sources and ids are handled as the operators state; extra columns
+travel along, whatever their names, up to the manifest.  A stage that is lost
+with an executor is computed again from the Parquet of the stage before.
 """
 
 from __future__ import annotations
@@ -52,11 +59,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to the shared folder and read again.
+
+    What a stage saved on its way, and its input once it is no longer needed, are deleted; the last stage's rows stay.
+    """
     store.ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = scan.table(spark, sf_dir, "documents")
+    docs, before = scan.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}.parquet")
+        with store.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}.parquet")
         docs = scan.table(spark, folder, name)
+        if before:
+            store.remove(spark, f"{folder}/{before}.parquet")
+        before = name
     return docs
