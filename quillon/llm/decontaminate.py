@@ -6,10 +6,17 @@ own, so a text becomes a string with one character per word, a window of ten
 words is a pattern of ten characters, and the place of a match is a word
 number, from which the offsets in the original text follow.
 
+A benchmark above BLOCK_WINDOWS windows has several automata.  All of them are
+broadcast and every text is read once, past each of them, so a worker holds the
+whole benchmark, about 0.4 KB a window; one with more distinct words in a block
+than there are code points is refused.
+
 Defined cases: a null text has no words and is clean.  Benchmark rows without
 words or with a null item_id take no part.  Equal texts under several ids
 count for each id; repeated rows of one id count once.  An empty benchmark
-leaves every document clean.
+leaves every document clean; an empty table gives no rows.  Repeated documents
+are judged alike.  Long texts are scanned whole.  Of the columns only doc_id,
+text and item_id are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -22,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.rowmap import map_rows, text_column
-from quillon.llm.store import saved
 
 WINDOW = 10
 #: Code points for words: below the surrogates and above them.
 FIRST, HOLE, HOLE_SIZE, LAST = 0x21, 0xD800, 0x800, 0x10FFFF
 MAX_WORDS = LAST - FIRST - HOLE_SIZE
-#: One automaton holds at most so many windows; a larger benchmark is searched in blocks.
+#: One automaton holds at most so many windows (about 0.4 KB each); a larger benchmark has several, searched in one pass.
 BLOCK_WINDOWS = 500_000
 UNKNOWN = " "
 
@@ -119,76 +125,68 @@ def blocks(benchmark: DataFrame, limit: int):
     yield block
 
 
-#: (broadcast, automaton) that this worker process used last.
-_LAST: list = []
+def _scanners(shared: list, builds=None) -> list[Scanner]:
+    """The automata of the broadcast blocks.  Each is built once in a worker process and lives as long as its block."""
+    out = []
+    for block in shared:
+        scanner = block.__dict__.get("scanner")
+        if scanner is None:
+            scanner = block.__dict__["scanner"] = Scanner(block.value)
+            if builds is not None:
+                builds.add(1)
+        out.append(scanner)
+    return out
 
 
-def _scanner(shared) -> Scanner:
-    if not _LAST or _LAST[0] is not shared:
-        _LAST[:] = [shared, Scanner(shared.value)]
-    return _LAST[1]
+def _shared(docs: DataFrame, benchmark: DataFrame, block_windows: int) -> list:
+    """The blocks of the benchmark, broadcast one by one."""
+    return [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, block_windows)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: words, hit words, matching items, hit spans of the original text."""
-    spark = docs.sparkSession
-    schema = "doc_id long, text string, runs array<array<int>>, items array<long>"
-    state = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        text_column(docs).alias("text"),
-        F.expr("cast(array() as array<array<int>>)").alias("runs"),
-        F.expr("cast(array() as array<long>)").alias("items"),
-    )
-    parts = blocks(benchmark, block_windows)
-    block, rest = next(parts), next(parts, None)
-    while rest is not None:
-        state = map_rows(state, list(map(F.col, state.columns)), schema, _step(spark.sparkContext.broadcast(block)))
-        state = saved(state)
-        block, rest = rest, next(parts, None)
-    shared = spark.sparkContext.broadcast(block)
+def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, builds=None) -> DataFrame:
+    """One row per document: words, hit words, matching items, hit spans of the original text.
 
-    def make():
-        scanner = _scanner(shared)
+    ``builds``, an accumulator, counts the automata that workers build.
+    """
+    shared = _shared(docs, benchmark, block_windows)
 
-        def one(text, runs, items):
-            words = words_of(text)
-            more, found = scanner.scan(words)
-            runs = merge([*map(tuple, runs), *more])
-            names = sorted(map(str, found.union(items)))
+    def make():
+        scanners = _scanners(shared, builds)
+
+        def one(text):
+            words, runs, items = words_of(text), [], set()
+            for scanner in scanners:
+                more, found = scanner.scan(words)
+                runs += more
+                items |= found
+            runs = merge(runs) if len(scanners) > 1 else runs
+            names = sorted(map(str, items))
             hit = sum(b - a for a, b in runs)
             spans = [list(x) for x in original_spans(text or "", runs)]
             return len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, spans
 
-        return lambda ids, *cols: [ids, *map(list, zip(*map(one, *cols)))]
+        return lambda ids, texts: [ids, *map(list, zip(*map(one, texts)))]
 
     out = (
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean,"
         " hit_spans array<array<int>>"
     )
-    return map_rows(state, list(map(F.col, state.columns)), out, make)
+    return map_rows(docs, [docs["doc_id"].cast("long"), text_column(docs)], out, make)
 
 
-def _step(shared):
-    def make():
-        scanner = _scanner(shared)
-
-        def one(text, runs, items):
-            more, found = scanner.scan(words_of(text))
-            return [list(x) for x in merge([*map(tuple, runs), *more])], sorted(found.union(items))
-
-        return lambda ids, texts, runs, items: [ids, texts, *map(list, zip(*map(one, texts, runs, items)))]
-
-    return make
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, builds=None
+) -> DataFrame:
+    """The documents without any benchmark window, with all their columns."""
+    shared = _shared(docs, benchmark, block_windows)
 
+    def clean(texts):
+        scanners = _scanners(shared, builds)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents without any benchmark window, with all their columns."""
-    for block in blocks(benchmark, block_windows):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        def one(text):
+            words = words_of(text)
+            return not any(scanner.scan(words)[1] for scanner in scanners)
 
-        def clean(texts, shared=shared):
-            scanner = _scanner(shared)
-            return texts.map(lambda t: not scanner.scan(words_of(t))[1])
+        return texts.map(one)
 
-        docs = docs.where(F.pandas_udf(clean, "boolean")(text_column(docs)))
-    return docs
+    return docs.where(F.pandas_udf(clean, "boolean")(text_column(docs)))

@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -159,6 +160,52 @@ def test_sharding_buckets_agree(docs, monkeypatch):
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs).collect()} == one
 
 
+def test_sharding_with_a_hot_source_and_odd_names(spark):
+    rows = [(i, "x" * (i % 7), "hot" if i % 2 else None if i % 3 else "\x00") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.assign(df).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((d, s) for d, _, s in rows)
+    for source in ("hot", None, "\x00"):
+        per = Counter(r.shard for r in got if r.source == source)
+        n = sum(per.values())
+        assert all(abs(per[s] - n / 16) <= 2 for s in range(16))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding.assign(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(source#\d+, ", plan) and not re.search(r"SortMergeJoin \[(no_source#\d+, )?name#\d+\]", plan)
+
+
+def test_store(spark, tmp_path, monkeypatch):
+    from quillon.llm import store
+
+    with store.scratch(spark):
+        df = store.saved(spark.range(10))
+        folder = store._SCRATCH[-1][0].removeprefix("file:")
+        assert df.count() == 10 and os.path.isdir(folder)
+    assert not os.path.exists(folder) and not store._SCRATCH
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.ready(Session())
+
+
 def plain_rake(cells, rules):
     total = sum(cells.values())
     w = {k: t * rules.budget for k, t in cells.items()}

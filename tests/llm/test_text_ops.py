@@ -145,6 +145,17 @@ def test_decontaminate_spans_and_empty_benchmark(spark, edge, bench):
     assert decontaminate.scan(edge, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_automata_are_built_once_per_block_and_worker(spark, edge, bench):
+    many = edge.select("doc_id", "text").where("length(text) < 5000").repartition(40)
+    n_blocks = len(list(decontaminate.blocks(bench, 2)))
+    assert n_blocks >= 2
+    for op in (decontaminate.scan, decontaminate.drop_contaminated):
+        builds = spark.sparkContext.accumulator(0)
+        op(many, bench, 2, builds).write.format("noop").mode("overwrite").save()
+        # local[4]: at most four workers at a time, and a few that replace idle ones; 40 tasks in all
+        assert n_blocks <= builds.value <= 8 * n_blocks
+
+
 # ---- URLs ----------------------------------------------------------------
 
 URLS = [
