@@ -65,6 +65,10 @@ def _urls() -> str:
     FROM q LEFT JOIN hit USING (r) LEFT JOIN best USING (r)"""
 
 
+#: Enough for the fit to settle on the given tables: the operator goes on until a round moves nothing.
+MIXING_ROUNDS = 40
+
+
 def mixing_ctes(table: str) -> tuple[str, str]:
     """CTEs that rake the cells of a table, and the condition that keeps a row of its keyed form."""
     rules = mixing.MixRules()
@@ -80,7 +84,7 @@ def mixing_ctes(table: str) -> tuple[str, str]:
         parts.append(f"""s_{a} AS MATERIALIZED (SELECT {a}, x / sum(x) OVER () AS share FROM
           (SELECT {a}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {rules.power[a]}) ELSE 0 END AS x FROM c0 GROUP BY ALL))""")
     step = 0
-    for _ in range(rules.rounds):
+    for _ in range(MIXING_ROUNDS):
         for a in mixing.AXES:
             parts.append(f"""c{step + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens,
               least(tokens, w * coalesce(share * {rules.budget} * (SELECT sum(tokens) FROM c0)

@@ -242,6 +242,36 @@ def test_mixing(edge, docs, targets):
     assert all(r.n_tokens == tokens[r.doc_id] for r in mixing.mix(docs).collect())
 
 
+def test_mixing_reaches_the_targets(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = mixing.MixRules()
+    rows = mixing.mix(df, rules).collect()
+    total = sum(r.n_tokens for r in rows)
+    for axis in mixing.AXES:
+        tokens, got = Counter(), Counter()
+        for r in rows:
+            tokens[r[axis]] += r.n_tokens
+            got[r[axis]] += r.n_tokens * r.p
+        raw = {v: t ** rules.power[axis] for v, t in tokens.items()}
+        for v, x in raw.items():
+            assert got[v] == pytest.approx(x / sum(raw.values()) * rules.budget * total, rel=1e-4)
+    found = mixing.residuals(df, rules).collect()
+    assert {r.axis for r in found} == set(mixing.AXES)
+    assert all(abs(r.target - r.got) <= 1e-9 * r.target for r in found)
+
+
+def test_mixing_goes_on_where_sources_and_languages_are_tied(spark):
+    """Cells far from independent need more than a few rounds."""
+    rows = [(i, "w " * (1 + (50 if i % 2 == i // 2 % 2 else 1) * (i % 5)), f"l{i // 2 % 2}", f"s{i % 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 0.48, "s1": 0.52}, "lang": {"l0": 0.49, "l1": 0.51}}
+    rules = mixing.MixRules(targets=targets, budget=0.3)
+    found = {(r.axis, r.value): r for r in mixing.residuals(df, rules).collect()}
+    assert all(abs(r.target - r.got) <= 1e-6 * r.target for r in found.values())
+    few = mixing.residuals(df, mixing.MixRules(targets=targets, budget=0.3, rounds=2)).collect()
+    assert max(abs(r.target - r.got) / r.target for r in few) > 1e-6
+
+
 def test_mixing_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
 
