@@ -150,7 +150,7 @@ def _rake_in_a_row(raked: DataFrame, goal: float, rules: MixRules) -> DataFrame:
 def _rake_by_sums(raked: DataFrame, goal: float, rules: MixRules) -> DataFrame:
     """The fit of many cells: sums by axis are joined back, which spreads over the cluster."""
     for _ in range(rules.rounds):
-        before = raked = saved(raked)
+        raked = raked.withColumn("old_w", F.col("w"))
         for axis in AXES:
             sums = raked.groupBy(F.col(axis).alias("of")).agg(F.sum("w").alias("have"))
             scale = F.coalesce(F.try_divide(F.col(f"share_{axis}") * F.lit(goal), F.col("have")), F.lit(0.0))
@@ -158,9 +158,8 @@ def _rake_by_sums(raked: DataFrame, goal: float, rules: MixRules) -> DataFrame:
                 "w", F.least(F.col("w") * scale, F.col("tokens").cast("double"))
             ).drop("of", "have")
         raked = saved(raked)
-        same = [F.col(a).eqNullSafe(F.col(f"old_{a}")) for a in AXES]
-        old = before.select(*[F.col(a).alias(f"old_{a}") for a in AXES], F.col("w").alias("old_w"))
-        moved = raked.join(old, same).agg(F.sum(F.abs(F.col("w") - F.col("old_w")))).first()[0] or 0.0
+        moved = raked.agg(F.sum(F.abs(F.col("w") - F.col("old_w")))).first()[0] or 0.0
+        raked = raked.drop("old_w")
         if moved <= rules.tolerance * goal:
             break
     return raked
