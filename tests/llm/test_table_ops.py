@@ -277,7 +277,7 @@ def test_mixing_empty(none):
 
 
 def test_mixing_with_many_cells_is_the_same(docs, monkeypatch):
-    rules = mixing.MixRules(tolerance=1e-4)
+    rules = mixing.MixRules(rounds=3)
     few = {r.doc_id: r.p for r in mixing.mix(docs, rules).collect()}
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
     many = {r.doc_id: r.p for r in mixing.mix(docs, rules).collect()}
