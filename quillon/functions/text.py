@@ -127,6 +127,11 @@ def verdict_category(raw: Column) -> Column:
     return F.when(verdict_unsafe(raw), F.coalesce(second, code, F.lit("unsafe_unspecified"))).otherwise("safe")
 
 
+def judged_verdict(raw: Column) -> tuple[Column, Column]:
+    """(is_unsafe, category) of a safety verdict; both null where there was no judge."""
+    return F.when(raw.isNotNull(), verdict_unsafe(raw).cast("int")), F.when(raw.isNotNull(), verdict_category(raw))
+
+
 def prompt_with(prompt: Column, hint: Column, choices: Column) -> Column:
     """Prompt, hint and choice block, each only if present."""
     base = F.coalesce(prompt, F.lit(""))

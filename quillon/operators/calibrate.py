@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 1024
+#: Rows that one task permutes.
+MAX_POOL = 1_000_000
 
 
 def ranked_values(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
@@ -81,8 +83,14 @@ def hash_key(seed: int, *parts: Column) -> Column:
 
 
 def resplit(pool: DataFrame, key: str, value: str, n_cal: int, alpha: float, n_splits: int, seed: int = 7) -> DataFrame:
-    """For each of n_splits permutations of a bounded pool: tau of the first n_cal, share of the rest above it."""
+    """For each of n_splits permutations of a bounded pool: tau of the first n_cal, share of the rest above it.
+
+    A permutation is sorted in one task, so pools above MAX_POOL rows raise; their thresholds hardly vary.
+    """
     spark = pool.sparkSession
+    n = pool.count()
+    if n > MAX_POOL:
+        raise ValueError(f"a pool of {n} rows is too large to permute; at most {MAX_POOL}")
     drawn = pool.select(key, value).crossJoin(F.broadcast(spark.range(n_splits).withColumnRenamed("id", "b")))
     order = Window.partitionBy("b").orderBy(hash_key(seed, F.col("b"), F.col(key)), key)
     ranked = drawn.withColumn("pos", F.row_number().over(order) - 1)

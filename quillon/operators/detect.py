@@ -22,7 +22,7 @@ def bank_prefix(bank: DataFrame, size: int | None, most: int = 30) -> DataFrame:
 def bank_row(bank: DataFrame) -> DataFrame:
     """The bank as one row, in order; refuses banks that are too large to broadcast."""
     pairs = F.array_sort(F.collect_list(F.struct("rid", "embedding")))
-    one = bank.agg(pairs.alias("pairs"))
+    one = bank.limit(MAX_BANK + 1).agg(pairs.alias("pairs"))  # one more than allowed tells that it is too large
     checked = F.when(F.size("pairs") <= MAX_BANK, F.transform("pairs", lambda p: p["embedding"])).otherwise(
         F.raise_error(F.lit(f"the bank has more than {MAX_BANK} vectors"))
     )
@@ -53,10 +53,41 @@ def score(spans: DataFrame, bank: DataFrame, engine: str = "sql") -> DataFrame:
     return spans.withColumn("s_inst", F.pandas_udf(most, "double")("embedding"))
 
 
-def cross_join_score(spans: DataFrame, bank: DataFrame) -> DataFrame:
-    """(span_id, s_inst) by cross join and max, for banks that do not fit one row."""
-    pairs = spans.crossJoin(F.broadcast(bank.select(F.col("embedding").alias("ref"))))
-    return pairs.groupBy("span_id").agg(F.max(V.dot(F.col("embedding"), F.col("ref"))).alias("s_inst"))
+def cross_join_score(spans: DataFrame, bank: DataFrame, block: int = MAX_BANK) -> DataFrame:
+    """(span_id, s_inst) for banks that do not fit one row: spans stream past one block of the bank after the other.
+
+    A block is one broadcast row of at most ``block`` vectors, so nothing that is broadcast grows with the bank.
+    """
+    parts = max(1, -(-bank.count() // block))
+    place = F.pmod(F.xxhash64("rid"), F.lit(parts))
+    best = None
+    for k in range(parts):
+        held = bank.where(place == k).agg(F.collect_list("embedding").alias("block"))
+        most = F.array_max(F.transform("block", lambda r: V.dot(F.col("embedding"), r)))
+        scored = spans.crossJoin(F.broadcast(held)).select("span_id", most.alias("s_inst"))
+        best = scored if best is None else best.unionByName(scored)
+    return best.groupBy("span_id").agg(F.max("s_inst").alias("s_inst"))
+
+
+#: Images that choices are scored against at once, as one broadcast row.
+MAX_IMAGES = 4096
+
+
+def choice_scores(choices: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, label, score): for each image and label the best of the label's choices.
+
+    The choices, which may be many, stream past the images, a block of which is one broadcast row; partial maxima
+    leave one row a task for each image and label.
+    """
+    parts = max(1, -(-images.count() // MAX_IMAGES))
+    place, best = F.pmod(F.xxhash64("image_id"), F.lit(parts)), None
+    for k in range(parts):
+        held = images.where(place == k).agg(F.collect_list(F.struct("image_id", "embedding")).alias("block"))
+        rows = choices.crossJoin(F.broadcast(held)).select("label", "embedding", F.explode("block").alias("im"))
+        scored = rows.select(F.col("im.image_id"), "label", V.dot(F.col("im.embedding"), F.col("embedding")).alias("score"))
+        scored = scored.groupBy("image_id", "label").agg(F.max("score").alias("score"))
+        best = scored if best is None else best.unionByName(scored)
+    return best
 
 
 def with_risk(spans: DataFrame, images: DataFrame, lam: float, floor: float | None = -0.1) -> DataFrame:
@@ -75,6 +106,12 @@ def with_risk(spans: DataFrame, images: DataFrame, lam: float, floor: float | No
     )
 
 
+def selected(scored: DataFrame) -> DataFrame:
+    """(image_id, selected_id, estimated_risk): the candidate of least risk for each image, the first on ties."""
+    best = F.min_by("span_id", F.struct(F.round("risk", 9), "span_id"))
+    return scored.groupBy("image_id").agg(best.alias("selected_id"), F.min("risk").alias("estimated_risk"))
+
+
 def max_risk(images: DataFrame, scored: DataFrame, column: str = "risk") -> DataFrame:
     """Per image the largest risk, 0 for images without spans."""
     most = scored.groupBy("image_id").agg(F.max(column).alias("m"))

@@ -1,7 +1,8 @@
 """Bootstrap intervals and paired tests.
 
 The hash engine draws index i of replicate b as md5(seed:b:i) modulo n, so any
-engine can repeat it; it numbers the sample, which has to be bounded.  The
+engine can repeat it; it numbers the sample in one task and raises above
+MAX_SAMPLE values or MAX_DRAWS draws.  The
 Poisson engine takes samples of any size in one pass.  The numpy engine runs the usual generator in one Arrow
 group per sample and is not comparable value by value.
 """
@@ -18,16 +19,21 @@ from pyspark.sql import functions as F
 from quillon.operators.calibrate import hash_key
 
 BROADCAST_SAMPLE = 200_000
+#: Above these the hash engine raises: poisson_replicates takes samples of any size.
+MAX_SAMPLE = 1_000_000
+MAX_DRAWS = 2_000_000_000
 
 
 def replicates(sample: DataFrame, key: list[str], value: str, n_boot: int, seed: int = 7) -> DataFrame:
     """(b, m): mean of each replicate of the non-null values."""
     spark = sample.sparkSession
-    order = Window.orderBy(*key)
-    at = sample.where(F.col(value).isNotNull()).select(
-        (F.row_number().over(order) - 1).cast("long").alias("i"), F.col(value).cast("double").alias("x")
+    values = sample.where(F.col(value).isNotNull())
+    n = values.count()
+    if n > MAX_SAMPLE or n * n_boot > MAX_DRAWS:
+        raise ValueError(f"{n} values and {n_boot} replicates are too many to number and draw; use poisson_replicates")
+    at = values.select(
+        (F.row_number().over(Window.orderBy(*key)) - 1).cast("long").alias("i"), F.col(value).cast("double").alias("x")
     )
-    n = at.count()
     draws = spark.range(n_boot * n).select(
         F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("draw")
     ).withColumn("i", hash_key(seed, F.col("b"), F.col("draw")) % max(n, 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
@@ -11,7 +13,7 @@ from quillon.operators import compare, detect
 from quillon.operators import metrics as M
 from quillon.operators import progress, report
 from quillon.operators import resample as R
-from quillon.plans.base import RESPONSES, WITH_RISK, draw, norm, query, records
+from quillon.plans.base import RESPONSES, WITH_RISK, dot, draw, norm, query, records
 from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 
@@ -222,24 +224,44 @@ def _splits(spark, d):
     return C.resplit(_max(spark, d), "image_id", "max_risk", 20, 0.1, 100)
 
 
-@query("op073_vmf_concentration", "WITH r AS (SELECT greatest(least(avg(abs(embedding[1]::DOUBLE)), 0.99), 0.01)::DOUBLE AS r0, greatest(least(avg(abs(embedding[2]::DOUBLE)) * 5, 0.99), 0.01)::DOUBLE AS r1 FROM embeddings), k AS (SELECT r0 * (64 - r0 * r0) / (1 - r0 * r0) AS kappa0, r1 * (64 - r1 * r1) / (1 - r1 * r1) AS kappa1 FROM r) SELECT round(kappa0, 6) AS kappa0, round(kappa1, 6) AS kappa1, round(kappa0 / kappa1, 6) AS lam FROM k")
+@query("op073_vmf_concentration", f"""{WITH_RISK}, r AS (SELECT (SELECT greatest(least(avg({dot('s.embedding', 'i.embedding')}), 0.99::DOUBLE), 0.01::DOUBLE) FROM spans s JOIN images i USING (image_id)) AS r0,
+  (SELECT greatest(least(avg(s_inst), 0.99::DOUBLE), 0.01::DOUBLE) FROM scored) AS r1), k AS (SELECT r0 * (64 - r0 * r0) / (1 - r0 * r0) AS kappa0, r1 * (64 - r1 * r1) / (1 - r1 * r1) AS kappa1 FROM r) SELECT round(kappa0, 6) AS kappa0, round(kappa1, 6) AS kappa1, round(kappa0 / kappa1, 6) AS lam FROM k""")
 def _(spark, d):
-    e = FX.table(spark, d, "embeddings").agg(F.avg(F.abs(F.get("embedding", F.lit(0)).cast("double"))).alias("r0"), (F.avg(F.abs(F.get("embedding", F.lit(1)).cast("double"))) * 5).alias("r1"))
-    k = e.select(C.vmf_kappa(F.col("r0"), 64).alias("kappa0"), C.vmf_kappa(F.col("r1"), 64).alias("kappa1"))
+    """Mean cosines of two groups of pairs: spans with their image, and spans with the nearest of the bank."""
+    scored = detect.with_risk(detect.score(FX.spans(spark, d), FX.bank(spark, d)), FX.images(spark, d), 0.5, floor=None)
+    r = scored.agg(F.avg(-F.col("s_inc")).alias("r0"), F.avg("s_inst").alias("r1"))
+    k = r.select(C.vmf_kappa(F.col("r0"), 64).alias("kappa0"), C.vmf_kappa(F.col("r1"), 64).alias("kappa1"))
     return _r6(k.withColumn("lam", F.col("kappa0") / F.col("kappa1")), "kappa0", "kappa1", "lam")
 
 
-@query("op074_levy_tail")
+_U = lambda seed: f"(({draw(seed, 'p', 'i')}) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@query("op074_levy_tail", f"""WITH g AS (SELECT p, {_U(1)} AS u1, {_U(2)} AS u2 FROM range(2000) a(p), range(64) b(i)),
+  xy AS (SELECT p, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS x, sqrt(-2 * ln(u1)) * sin(2 * pi() * u2) AS y FROM g),
+  c AS (SELECT p, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS c FROM xy GROUP BY p)
+  SELECT t, avg(CASE WHEN c > t THEN 1.0::DOUBLE ELSE 0 END) AS tail, round(exp(-64 * t * t / 2), 9) AS bound FROM c, (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS t) GROUP BY t""")
 def _(spark, d):
-    """Share of random unit pairs with an inner product above t, against the bound (seeded draws, JVM side)."""
+    """Share of random unit pairs with an inner product above t, against the bound; normal draws from md5."""
     dim, n = 64, 2000
-    gauss = lambda s: F.array(*[F.randn(s + i) for i in range(dim)])
-    pairs = spark.range(n).select(gauss(1).alias("u"), gauss(1000).alias("v")).select(V.cosine(F.col("u"), F.col("v")).alias("c"))
-    ts = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "t double")
-    return pairs.crossJoin(F.broadcast(ts)).groupBy("t").agg(F.avg((F.col("c") > F.col("t")).cast("double")).alias("tail")).withColumn("bound", C.levy_bound(dim, F.col("t")))
+    rows = spark.range(n * dim).select((F.col("id") / dim).cast("long").alias("p"), (F.col("id") % dim).alias("i"))
+    u = lambda seed: (C.hash_key(seed, F.col("p"), F.col("i")).cast("double") + 0.5) / 4294967296.0
+    r, angle = F.sqrt(-2 * F.log(u(1))), 2 * math.pi * u(2)
+    xy = rows.select("p", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    pairs = xy.groupBy("p").agg((F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("c"))
+    ts = F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.3)))).alias("t")
+    out = pairs.select("c", ts).groupBy("t").agg(F.avg((F.col("c") > F.col("t")).cast("double")).alias("tail"))
+    return out.withColumn("bound", F.round(C.levy_bound(dim, F.col("t")), 9))
+
+
+_MOVED = f"""{WITH_RISK}, noisy AS (SELECT span_id, image_id, embedding, list_transform(range(0, 64), lambda k: sin(k * 12.9898::DOUBLE + span_id)) AS z FROM spans),
+  moved AS (SELECT span_id, image_id, list_transform(range(1, 65), lambda k: embedding[k]::DOUBLE + 0.05::DOUBLE * z[k] / sqrt(list_inner_product(z, z))) AS embedding FROM noisy),
+  best AS (SELECT span_id, m.image_id, m.embedding, max({dot('m.embedding', 'b.embedding')}) AS s_inst FROM moved m, bank b GROUP BY ALL),
+  other AS (SELECT span_id, s_inst + 0.5::DOUBLE * greatest(-{dot('best.embedding', 'i.embedding')}, -0.1::DOUBLE) AS risk FROM best JOIN images i ON best.image_id = i.image_id)"""
 
 
-@query("op075_lipschitz")
+@query("op075_lipschitz", f"{_MOVED} SELECT round(max(abs(a.risk - o.risk)), 6) AS most, 1.5::DOUBLE * 0.05::DOUBLE AS bound FROM risk a JOIN other o USING (span_id)")
 def _(spark, d):
     """Largest change of risk under perturbations of norm eps, against (1 + lambda) * eps."""
     eps = 0.05
@@ -249,7 +271,7 @@ def _(spark, d):
     other = spans.withColumn("noise", noise).withColumn("embedding", moved).drop("noise")
     risk = lambda s: detect.with_risk(detect.score(s, FX.bank(spark, d)), FX.images(spark, d), 0.5)
     both = risk(spans).select("span_id", F.col("risk").alias("a")).join(risk(other).select("span_id", F.col("risk").alias("b")), "span_id")
-    return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("most")).withColumn("bound", F.lit(1.5 * eps))
+    return both.agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("most")).withColumn("bound", F.lit(1.5 * eps))
 
 
 @query("op076_dkw_beta_bounds", f"{_SPLITS} SELECT round(avg(CASE WHEN abs(fpr - 0.1::DOUBLE) > 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS tail, round(2 * exp(-2.0::DOUBLE * 20 * 0.05::DOUBLE * 0.05::DOUBLE), 6) AS dkw, round(sqrt(0.09::DOUBLE / 20), 6) AS beta_sd FROM f")

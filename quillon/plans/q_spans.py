@@ -119,18 +119,20 @@ def _iou_sql(a, b):
     return f"{both}::DOUBLE / ({_AREA.format(x=a)} + {_AREA.format(x=b)} - {both})"
 
 
-@query("op114_iou", f"WITH {BOXES} SELECT x.image_id, x.line_id, round({_iou_sql('x.', 'y.')}, 6) AS iou FROM boxes x JOIN boxes y ON x.image_id = y.image_id AND y.line_id = x.line_id + 1")
+@query("op114_iou", f"""WITH {BOXES}, nx AS (SELECT *, lead(l) OVER w AS nl, lead(t) OVER w AS nt, lead(r) OVER w AS nr, lead(b) OVER w AS nb
+  FROM boxes WINDOW w AS (PARTITION BY image_id ORDER BY line_id)) SELECT image_id, line_id, round({_iou_sql('', 'n')}, 6) AS iou FROM nx WHERE nl IS NOT NULL""")
 def _(spark, d):
-    a = _boxes(spark, d)
-    b = a.select("image_id", (F.col("line_id") - 1).alias("line_id"), F.col("box").alias("other"))
-    return a.join(b, ["image_id", "line_id"]).select("image_id", "line_id", F.round(V.iou(F.col("box"), F.col("other")), 6).alias("iou"))
+    after = F.lead("box").over(Window.partitionBy("image_id").orderBy("line_id"))
+    a = _boxes(spark, d).withColumn("other", after).where("other is not null")
+    return a.select("image_id", "line_id", F.round(V.iou(F.col("box"), F.col("other")), 6).alias("iou"))
 
 
 @query("op048_view_consensus", f"""WITH {BOXES}, views AS (SELECT image_id, 1 AS view, l + 20 AS l, t, r + 20 AS r, b FROM boxes UNION ALL SELECT image_id, 2, l + 200, t, r + 200, b FROM boxes)
   SELECT x.image_id, x.line_id AS box_id, count(DISTINCT view) AS n_views FROM boxes x JOIN views v ON x.image_id = v.image_id AND x.t < v.b AND v.t < x.b AND {_iou_sql('x.', 'v.')} >= 0.3 GROUP BY ALL""")
 def _(spark, d):
     a = _boxes(spark, d)
-    views = a.select("image_id", F.lit(1).alias("view"), _box(20).alias("box")).union(a.select("image_id", F.lit(2), _box(200)))
+    moved = F.array(*[F.struct(F.lit(k).alias("view"), _box(dx).alias("box")) for k, dx in ((1, 20), (2, 200))])
+    views = a.select("image_id", F.explode(moved).alias("v")).select("image_id", "v.view", "v.box")
     return S.consensus(a.select("image_id", "box_id", "box"), views)
 
 
@@ -164,13 +166,33 @@ def _(spark, d):
     return FX.table(spark, d, "benchmark").select("item_id", F.array_join(X.wrapped("text", 40), "\n").alias("wrapped"))
 
 
-@query("op129_choice_scorer", f"WITH {SPANS}, {IMAGES}, c AS (SELECT i.image_id, chr(CAST(65 + label AS INT)) AS label, max({dot('s.embedding', 'i.embedding')}) AS score FROM images i, spans s WHERE s.span_id < 100 GROUP BY ALL) SELECT image_id, arg_max(label, (round(score, 9), -ascii(label))) AS choice FROM c GROUP BY image_id")
+@query("op129_choice_scorer", f"WITH {SPANS}, {IMAGES}, c AS (SELECT i.image_id, chr(CAST(65 + label AS INT)) AS label, max({dot('s.embedding', 'i.embedding')}) AS score FROM images i, spans s GROUP BY ALL) SELECT image_id, arg_max(label, (round(score, 9), -ascii(label))) AS choice FROM c GROUP BY image_id")
 def _(spark, d):
-    choices = FX.spans(spark, d).where("span_id < 100").select(F.expr("chr(65 + label)").alias("label"), F.col("embedding").alias("choice"))
-    scored = FX.images(spark, d).crossJoin(F.broadcast(choices)).groupBy("image_id", "label").agg(F.max(V.dot(F.col("embedding"), F.col("choice"))).alias("score"))
+    choices = FX.spans(spark, d).select(F.expr("chr(65 + label)").alias("label"), "embedding")
+    scored = detect.choice_scores(choices, FX.images(spark, d))
     return scored.groupBy("image_id").agg(F.max_by("label", F.struct(F.round("score", 9), -F.ascii("label"))).alias("choice"))
 
 
+@query("op020_previews", f"{REC} SELECT sample_id, variant, transform, sample_id || '_' || transform || '_' || variant || '.png' AS file_name FROM rec WHERE CAST(sample_id AS BIGINT) < 40 AND transform IN ('clean', 'jpeg', 'crop')")
+def _(spark, d):
+    rows = FX.records(spark, d).select("sample_id", "variant", "transform", F.col("sample_id").cast("long").alias("index"))
+    return sinks.previews(rows, 40).drop("index")
+
+
+@query("op154_verdict_or_null", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN CASE WHEN contains(lower(text), 'unsafe') THEN 1 ELSE 0 END END AS is_unsafe, CASE WHEN conv_id % 2 = 0 AND NOT contains(lower(text), 'unsafe') THEN 'safe' END AS harm_category FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    raw = F.when(F.col("conv_id") % 2 == 0, F.col("response"))  # odd conversations were not judged
+    flag, kind = X.judged_verdict(raw)
+    rows = FX.responses(spark, d).select("conv_id", "turn", flag.alias("is_unsafe"), kind.alias("harm_category"))
+    return rows.withColumn("harm_category", F.when(F.col("harm_category") == "safe", "safe"))
+
+
+@query("op156_selected_candidate", f"{WITH_RISK.replace('greatest(-', '(-').replace(', -0.1::DOUBLE)', ')')} SELECT image_id, arg_min(span_id, (round(risk, 9), span_id)) AS selected_id, round(min(risk), 6) AS estimated_risk FROM risk GROUP BY image_id")
+def _(spark, d):
+    rows = detect.with_risk(detect.score(FX.spans(spark, d), FX.bank(spark, d)), FX.images(spark, d), 0.5, floor=None)
+    return _r6(detect.selected(rows), "estimated_risk")
+
+
 TOKENS = ("license", "worthless", "pathetic")
 _HAS = lambda x: "(" + " OR ".join(f"contains({x}, '{t}')" for t in TOKENS) + ")"
 _TERMS = f"WITH {WORDS}, nw AS (SELECT image_id, ord, {norm('text')} AS term FROM words), terms AS (SELECT DISTINCT image_id, term FROM nw WHERE {_HAS('term')})"

@@ -9,7 +9,7 @@ from quillon.functions import vectors as V
 from quillon.operators import compare, detect, grid
 from quillon.plans.base import BANK, IMAGES, SPANS, TRANSFORM_ROWS, WITH_RISK, dot, draw, norm, query, records
 from quillon.sources import fixtures as FX
-from quillon.sources import manifest
+from quillon.sources import manifest, sinks
 
 EVENT = "event_id long, user_id long, event_type string, value double"
 
@@ -21,13 +21,17 @@ def _lines(spark, d):
 
 @query("op001_jsonl_scan", "SELECT event_id, user_id, event_type, value FROM events")
 def _(spark, d):
-    return manifest.parse_lines(_lines(spark, d), EVENT)
+    path = f"{sinks.scratch_folder(spark)}/events.jsonl"
+    _lines(spark, d).write.text(path)  # blank lines between the rows
+    return manifest.read(spark, path).select("event_id", "user_id", "event_type", "value")
 
 
 @query("op002_json_data_scan", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def _(spark, d):
+    path = f"{sinks.scratch_folder(spark)}/customers.json"
     docs = FX.table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("data"))).alias("value"))
-    return docs.select(F.explode(F.from_json("value", "data array<struct<id:long,name:string>>")["data"]).alias("r")).select("r.*")
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)  # one document a file
+    return manifest.read(spark, path).select("id", "name")
 
 
 @query("op003_parquet_scan", "SELECT item_id, text FROM benchmark")
@@ -36,19 +40,24 @@ def _(spark, d):
 
 
 def _manifest(spark, d):
-    """A manifest over benchmark items: choices in columns, some answers, hints and ids missing."""
+    """A manifest over benchmark items: choices as lists, objects, options or columns; some hints and ids missing."""
     i = F.col("item_id")
+    listed = F.to_json(F.array(F.lit("A. first"), F.concat(F.lit("B) second "), i.cast("string")), F.lit("none")))
+    keyed = F.to_json(F.struct(F.lit("two").alias("B"), F.lit("one").alias("A")))
     return FX.table(spark, d, "benchmark").select(
         i.alias("ord"), F.when(i % 3 != 0, i.cast("string")).alias("id"), F.concat(F.when(i % 2 == 0, "/abs/").otherwise("rel/"), i.cast("string"), F.lit(".png")).alias("img"),
         F.col("text").alias("question"), F.when(i % 4 == 0, F.lit(" look twice ")).alias("hint"),
+        F.when(i % 8 == 1, listed).when(i % 8 == 3, keyed).when(i % 8 == 6, "[]").alias("choices"),
+        F.when(i % 8 == 5, F.array(F.lit("yes"), F.lit("C: no"))).when(i % 8 == 6, F.array().cast("array<string>")).alias("options"),
         F.when(i % 5 != 0, F.concat(F.lit("red "), i.cast("string"))).alias("A"), F.when(i % 5 != 0, F.lit("green")).alias("B"), F.when(i % 7 == 0, F.lit("blue")).alias("C"),
         F.when(i % 2 == 0, F.lit("A")).otherwise("B").alias("answer"), F.when(i % 6 != 0, F.lit("cat")).alias("category"), (i * 2).alias("extra"),
     )
 
 
-_CHOICES = "list_filter([CASE WHEN item_id % 5 <> 0 THEN 'A. red ' || item_id END, CASE WHEN item_id % 5 <> 0 THEN 'B. green' END, CASE WHEN item_id % 7 = 0 THEN 'C. blue' END], lambda x: x IS NOT NULL)"
+_COLUMNS = "list_filter([CASE WHEN item_id % 5 <> 0 THEN 'A. red ' || item_id END, CASE WHEN item_id % 5 <> 0 THEN 'B. green' END, CASE WHEN item_id % 7 = 0 THEN 'C. blue' END], lambda x: x IS NOT NULL)"
+_CHOICES = f"CASE item_id % 8 WHEN 1 THEN ['A. first', 'B) second ' || item_id, 'none'] WHEN 3 THEN ['A. one', 'B. two'] WHEN 5 THEN ['yes', 'C: no'] ELSE {_COLUMNS} END"
 _ANSWER = "CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END"
-_TARGET = f"list_filter(list_transform({_CHOICES}, lambda c: c[1]), lambda x: x <> {_ANSWER})[1]"
+_TARGET = f"list_filter(list_transform({_CHOICES}, lambda c: CASE WHEN c[1] BETWEEN 'A' AND 'Z' THEN c[1] END), lambda x: x IS NOT NULL AND x <> {_ANSWER})[1]"
 _PROMPT = f"""text || CASE WHEN item_id % 4 = 0 THEN chr(10) || chr(10) || 'Hint: look twice' ELSE '' END ||
   CASE WHEN len({_CHOICES}) > 0 THEN chr(10) || chr(10) || 'Choices:' || chr(10) || array_to_string({_CHOICES}, chr(10)) || chr(10) || chr(10) || 'Answer with the best option.' ELSE '' END"""
 _IDENT = "CASE WHEN item_id % 3 <> 0 AND item_id <> 0 THEN CAST(item_id AS VARCHAR) ELSE 'sample_' || lpad(CAST(item_id AS VARCHAR), 5, '0') END"
@@ -95,11 +104,17 @@ def _(spark, d):
     return compare.with_missing(names, found, "c_nationkey").select("run", "best")
 
 
-@query("op017_config_defaults", "SELECT CAST(n_nationkey AS VARCHAR) AS run, CASE WHEN n_nationkey % 2 = 0 THEN 'cmc' ELSE 'keyword' END AS defense_type, CASE WHEN n_nationkey % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS cmc_lambda, 42 AS seed FROM nation")
+@query("op017_config_defaults", """SELECT CAST(n_nationkey AS VARCHAR) AS run, CASE WHEN n_nationkey % 2 = 0 THEN 'cmc' ELSE 'keyword' END AS defense_type, CASE WHEN n_nationkey % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS cmc_lambda, 42 AS seed,
+  'hf_generate' AS backend_type, 'tesseract' AS ocr_backend, 4 AS preview_limit, n_nationkey % 4 <> 0 AS save_preview_images, CAST(NULL AS VARCHAR) AS safety_judge_path, CASE WHEN n_nationkey % 5 = 0 THEN 'clean' ELSE 'clean,resize,jpeg,crop,rerender,blur' END AS transforms, CAST(NULL AS DOUBLE) AS cmc_calibrate_fpr, 16 AS batch_size FROM nation""")
 def _(spark, d):
     k = F.col("n_nationkey")
-    raw = FX.table(spark, d, "nation").select(k.cast("string").alias("run"), F.to_json(F.struct(F.when(k % 2 == 0, "cmc").alias("defense_type"), F.when(k % 3 == 0, F.lit(0.25)).alias("cmc_lambda"), F.lit(1).alias("unknown"))).alias("value"))
-    return manifest.config_rows(raw).select("run", "defense_type", "cmc_lambda", "seed")
+    given = F.struct(
+        F.when(k % 2 == 0, "cmc").alias("defense_type"), F.when(k % 3 == 0, F.lit(0.25)).alias("cmc_lambda"), F.when(k % 4 == 0, F.lit(False)).alias("save_preview_images"),
+        F.when(k % 5 == 0, F.array(F.lit("clean"))).alias("transforms"), F.lit(1).alias("unknown"),
+    )
+    rows = manifest.config_rows(FX.table(spark, d, "nation").select(k.cast("string").alias("run"), F.to_json(given).alias("value")))
+    names = ("run", "defense_type", "cmc_lambda", "seed", "backend_type", "ocr_backend", "preview_limit", "save_preview_images", "safety_judge_path")
+    return rows.select(*names, F.array_join("transforms", ",").alias("transforms"), "cmc_calibrate_fpr", "batch_size")
 
 
 @query("op018_config_grid", "SELECT 'cmc_alpha' || a::DOUBLE || '_seed' || s AS run, a::DOUBLE AS alpha, s AS seed, 'cmc' AS defense_type FROM (VALUES (0.05), (0.1), (0.2)) x(a), (VALUES (0), (1), (42)) y(s)")
@@ -267,7 +282,15 @@ def _(spark, d):
     return compare.last_wins(FX.table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query("op046_cross_join_max", f"WITH {BANK}, {SPANS} SELECT span_id, round(max({dot('s.embedding', 'b.embedding')}), 6) AS s_inst FROM spans s, bank b GROUP BY span_id")
+_BEST = f"WITH {BANK}, {SPANS} SELECT span_id, round(max({dot('s.embedding', 'b.embedding')}), 6) AS s_inst FROM spans s, bank b GROUP BY span_id"
+
+
+@query("op046_cross_join_blocks", _BEST)
+def _(spark, d):
+    return detect.cross_join_score(FX.spans(spark, d), FX.bank(spark, d), block=12).select("span_id", F.round("s_inst", 6).alias("s_inst"))
+
+
+@query("op046_cross_join_max", _BEST)
 def _(spark, d):
     return detect.score(FX.spans(spark, d), FX.bank(spark, d)).select("span_id", F.round("s_inst", 6).alias("s_inst"))
 

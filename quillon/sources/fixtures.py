@@ -45,16 +45,18 @@ def records(spark, sf_dir, multiplier: int = 31):
 
 
 def words(spark, sf_dir):
-    """Words of documents with the places of a simple page layout."""
-    line = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line", "value")
-    )
+    """Words of documents with the places of a simple page layout.
+
+    Whole documents are dealt out once by image; the windows here and those over an image's words need no other shuffle.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text").repartition("image_id")
+    line = docs.select("image_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     part = line.select("image_id", "line", F.posexplode(F.split("value", " ")).alias("at", "text"))
-    in_line = Window.partitionBy("image_id", "line").orderBy("at")
-    part = part.withColumn(
-        "prefix", F.coalesce(F.sum(F.length("text") + 1).over(in_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).where("text != ''")
-    part = part.withColumn("in_line", F.row_number().over(in_line) - 1)
+    before = Window.partitionBy("image_id", "line").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumns({
+        "prefix": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)),
+        "in_line": F.coalesce(F.count_if(F.col("text") != "").over(before), F.lit(0)),
+    }).where("text != ''")
     return part.select(
         "image_id", F.expr("cast(line as bigint) * 1000000 + in_line").alias("ord"), "text",
         F.expr("cast(20 * line + 70 * (line div 3) as int)").alias("top"),

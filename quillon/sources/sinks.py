@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +17,28 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, nested) else F.col(c) for c in df.columns])
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where none is named, only a single JVM may use a local one."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or os.path.join(tempfile.gettempdir(), 'scratch')}/{uuid.uuid4().hex}"
+
+
+#: Transforms that previews are kept of.
+PREVIEWED = ("clean", "jpeg", "crop")
+
+
+def previews(images: DataFrame, limit: int = 4, transforms=PREVIEWED) -> DataFrame:
+    """The images to look at, with a file name: of the first samples, for some transforms.
+
+    images hold index, sample_id, variant, transform and whatever is to be kept.
+    """
+    name = F.concat(F.col("sample_id"), F.lit("_"), F.col("transform"), F.lit("_"), F.col("variant"), F.lit(".png"))
+    return images.where((F.col("index") < limit) & F.col("transform").isin(*transforms)).withColumn("file_name", name)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

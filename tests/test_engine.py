@@ -9,14 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillon.functions import seeds
 from quillon.functions import text as X
 from quillon.functions import vectors as V
 from quillon.operators import calibrate as C
-from quillon.operators import compare, detect, grid, plugins, report
+from quillon.operators import compare, detect, grid, plugins, report, run
 from quillon.operators import metrics as M
 from quillon.operators import resample as R
 from quillon.operators import spans as S
-from quillon.sources import manifest, sinks
+from quillon.sources import images, manifest, sinks
 from quillon.streaming import events as E
 
 
@@ -298,6 +299,99 @@ def test_manifests(spark, tmp_path):
         manifest.normalise(bad, "/m").collect()
 
 
+def test_choices_of_real_files(spark, tmp_path):
+    """Lists, objects, options and columns, each row by its own first that is not empty."""
+    lines = [
+        '{"id": "a", "img": "x", "prompt": "p", "choices": {"B": "two", "A": "one"}, "answer": "A"}',
+        '{"id": "b", "img": "x", "prompt": "p", "options": ["A. yes", "B. no"], "answer": "B"}',
+        '{"id": "c", "img": "x", "prompt": "p", "A": "red", "C": "blue", "answer": "C"}',
+        '{"id": "d", "img": "x", "prompt": "p", "choices": {}, "options": [], "B": "only"}',
+        '{"id": "e", "img": "x", "prompt": "p"}',
+    ]
+    want = {
+        "a": (["A. one", "B. two"], "B", "mcq"), "b": (["A. yes", "B. no"], "A", "mcq"), "c": (["A. red", "C. blue"], "A", "mcq"),
+        "d": (["B. only"], "B", "mcq"), "e": ([], None, "open"), "f": (["A. x", "y"], "A", "mcq"),
+    }
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    both = lines + ['{"id": "f", "img": "x", "prompt": "p", "choices": ["A. x", "y"]}']  # lists and objects in one file
+    (tmp_path / "b.jsonl").write_text("\n".join(both))
+    for name, n in (("a.jsonl", 5), ("b.jsonl", 6)):
+        df = manifest.read(spark, str(tmp_path / name)).withColumn("ord", F.lit(0))
+        got = {r.sample_id: (r.choices, r.attack_target, r.task_type) for r in manifest.normalise(df, "/m").collect()}
+        assert got == {k: v for k, v in want.items() if k in "abcdef"[:n]}
+    mapped = spark.createDataFrame([({"B": "two", "A": "one"},), ({},), (None,)], "choices map<string,string>")
+    assert [r[0] for r in mapped.select(manifest.choices_of(mapped)).collect()] == [["A. one", "B. two"], [], []]
+
+
+def test_images(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"rest"
+    gif = b"GIF89a" + (300).to_bytes(2, "little") + (7).to_bytes(2, "little")
+    bmp = b"BM" + bytes(16) + (33).to_bytes(4, "little") + (44).to_bytes(4, "little")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    rows = [(0, str(tmp_path / "a.png"), None), (1, str(tmp_path / "broken.png"), None), (2, "/nowhere.png", None), (3, None, bytearray(gif)), (4, str(tmp_path / "a.png"), bytearray(bmp)), (5, None, bytearray(b"\xff\xd8\xff\xe0"))]
+    df = spark.createDataFrame(rows, "index long, image_path string, image_bytes binary")
+    got = {r["index"]: tuple(r["header"]) for r in images.decoded(df, str(tmp_path)).collect()}
+    assert got == {0: ("png", 640, 480), 3: ("gif", 300, 7), 4: ("bmp", 33, 44), 5: ("jpeg", None, None)}
+    assert {r["index"] for r in images.decoded(df).collect()} == {3, 4, 5}
+
+
+def test_a_whole_run(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text("\n".join(f'{{"id": "s{i}", "img": "{i}.png", "prompt": "p", "answer": "A", "category": "c", "choices": ["A. x", "B. y"]}}' for i in range(3)))
+    config = manifest.RunConfig.of({"manifest_path": str(tmp_path / "m.jsonl"), "output_dir": str(tmp_path / "out"), "judge_mode": "mcq", "transforms": ["clean", "jpeg"], "odd": 1})
+    assert manifest.RunConfig.unknown({"seed": 1, "odd": 1}) == ["odd"]
+    cells = [(f"s{i}", v, t) for i in range(3) for v, ts in (("base", ["clean"]), ("attacked", ["clean", "jpeg"]), ("defended_attack", ["clean", "jpeg"]), ("defended_control", ["clean", "jpeg"])) for t in ts]
+    cell = "sample_id string, variant string, transform string"
+    responses = spark.createDataFrame([(*c, "B" if c[1] == "attacked" else "A") for c in cells], cell + ", response string")
+    detections = spark.createDataFrame([(*c, ["reveal"]) for c in cells if c[1] != "defended_control"], cell + ", suspicious_terms array<string>")
+    verdicts = spark.createDataFrame([(*c, "unsafe\nS1" if c[1] == "attacked" else "safe") for c in cells[:14]], cell + ", raw string")
+    summary = {r.variant: r for r in run.run(spark, config, responses, detections, verdicts).collect()}
+    assert set(summary) == {"base", "attacked", "defended_attack", "defended_control"}
+    rows = spark.read.json(str(tmp_path / "out" / "records.json")).collect()
+    assert len(rows) == 21 and {(r.variant, r.firewall_flagged) for r in rows} == {("base", 0), ("attacked", 0), ("defended_attack", 1), ("defended_control", 0)}
+    assert all(r.matched_attack_target == 1 and r.judged_correct == 0 for r in rows if r.variant == "attacked")
+    assert sum(r.is_unsafe is None for r in rows) == 7
+    found = manifest.read_summaries(spark, str(tmp_path / "out" / "summary.json" / "*.txt")).first()
+    assert '"attacked"' in found.value
+    with pytest.raises(ValueError, match="unknown transforms"):
+        run.work(spark.range(1), manifest.RunConfig(transforms=("warp",)))
+
+
+def test_artifacts_seeds_and_command_line(spark, tmp_path, capsys):
+    from quillon import __main__ as cli
+
+    (tmp_path / "a.json").write_text('{"final_text": "x", "final_loss": 0.5, "steps": [1, 2]}')
+    assert tuple(manifest.read_artifact(spark, str(tmp_path / "a.json")).first()) == ("x", 0.5, "")
+    with pytest.raises(FileNotFoundError):
+        manifest.read_artifact(spark, str(tmp_path / "none.json"))
+    assert seeds.seed_for("a") == seeds.seed_for("a") != seeds.seed_for("b") != seeds.seed_for("b", 7) and 0 <= seeds.seed_for("a") < 2**31
+    assert cli.main(["list"]) == 0 and "op114_iou" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["run", "none", "a", "b"])
+
+
+def test_limits_are_checked(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)], "k int, x double")
+    monkeypatch.setattr(R, "MAX_SAMPLE", 10)
+    with pytest.raises(ValueError, match="poisson"):
+        R.replicates(df, ["k"], "x", 5)
+    monkeypatch.setattr(C, "MAX_POOL", 10)
+    with pytest.raises(ValueError, match="too large"):
+        C.resplit(df, "k", "x", 5, 0.1, 3)
+    bank = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "rid int, embedding array<double>")
+    monkeypatch.setattr(detect, "MAX_BANK", 10)
+    with pytest.raises(Exception, match="more than 10 vectors"):
+        detect.bank_row(bank).collect()
+    spans = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "span_id int, embedding array<double>")
+    got = {r.span_id: r.s_inst for r in detect.cross_join_score(spans, bank, block=3).collect()}
+    assert got == {i: i + 19.0 for i in range(5)}
+    monkeypatch.setattr(detect, "MAX_IMAGES", 2)
+    few = spans.select(F.col("span_id").alias("image_id"), "embedding")
+    choices = bank.select(F.expr("string(rid % 2)").alias("label"), "embedding")
+    got = {(r.image_id, r.label): r.score for r in detect.choice_scores(choices, few).collect()}
+    assert got == {(i, str(p)): i + 18.0 + p for i in range(5) for p in (0, 1)}
+
+
 def test_configs_and_sinks(spark, tmp_path):
     c = manifest.RunConfig.of({"cmc_lambda": 0.1, "transforms": ["clean"], "odd": 1})
     assert c.cmc_lambda == 0.1 and c.transforms == ("clean",) and c.judge_mode == "none"
