@@ -335,24 +335,21 @@ def learn(found: DataFrame, rules: PiiRules = PiiRules()) -> list[tuple[list, tu
     return out
 
 
-def _score_sql(trees) -> str:
-    def has(i: int) -> str:
-        return f"(c.f & {1 << i}) != 0"
-
-    parts = [
-        f"if({has(i)}, if({has(j)}, {d!r}D, {c!r}D), if({has(j)}, {b!r}D, {a!r}D))" for i, j, (a, b, c, d) in trees
-    ]
-    return " + ".join(parts) or "0D"
+def accepted_sql(learned) -> str:
+    """Is a candidate c accepted?  The trees see 2^13 patterns at most, so the verdicts of all are one bit each of a constant."""
+    words, width = [], 1 << len(FEATURES)
+    for trees, (least, _, _) in learned:
+        for begin in range(0, width, 32):
+            verdicts = [trees and tree_score(f, trees) >= least for f in range(begin, begin + 32)]
+            words.append(sum(1 << i for i, yes in enumerate(verdicts) if yes))
+    table = ", ".join(f"{w}L" for w in words)
+    return f"shiftright(get(array({table}), c.k * {width // 32} + c.f div 32), c.f % 32) % 2 = 1"
 
 
 def detect(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
     found = saved(candidates(docs, rules))
-    accepted = [
-        f"when {k} then " + ("false" if math.isinf(least) else f"{_score_sql(trees)} >= {least!r}D")
-        for k, (trees, (least, _, _)) in enumerate(learn(found, rules))
-    ]
-    df = found.selectExpr("doc_id", "base", f"filter(loose, c -> case c.k {' '.join(accepted)} end) as loose")
+    df = found.selectExpr("doc_id", "base", f"filter(loose, c -> {accepted_sql(learn(found, rules))}) as loose")
     df = df.selectExpr("doc_id", "base", f"{_untouched()} as free").selectExpr("doc_id", "base", f"{_merged()} as added")
     listed = "array_join(transform(array_sort({a}), x -> concat(element_at(array('email', 'ip', 'card', 'phone'), x.k + 1), ':', x.s, ':', x.e)), ',')"
     base = "transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
