@@ -169,7 +169,7 @@ def _quality() -> str:
     dist AS (SELECT r, {js.format(p='p', q='rp')} AS c, {js.format(p='q', q='rq')} AS v FROM d, refs WHERE long_enough),
     near AS (SELECT r, arg_min(c, c + v) AS c, arg_min(v, c + v) AS v FROM dist GROUP BY r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      NOT base_failed AND coalesce(c <= {rules.max_char_distance} AND NOT (n_words >= {rules.guard_words_common} AND v > {rules.max_word_distance}), true) AS kept,
+      NOT base_failed AND coalesce(c <= {rules.max_char_distance} AND v <= {rules.max_word_distance} + {rules.word_distance_noise}::DOUBLE / sqrt(n_words), true) AS kept,
       round(c, 6) AS js_char, round(v, 6) AS js_word
     FROM d LEFT JOIN near USING (r)"""
 

@@ -4,9 +4,10 @@ Each document becomes two histograms, one over character classes and one
 over the common words of the known languages plus "any other word".  The
 references are the mean histograms of all documents of each known language, so
 they cover the whole corpus.  A document's distance is the Jensen-Shannon
-distance (base 2, 0 to 1) to the nearest known language; documents shorter than
-the guards are not judged by it, and neither is any document if none of a
-known language passes them.
+distance (base 2, 0 to 1) to the nearest known language; the word distance that
+is allowed falls with the number of words, as the noise of a sample does.
+Documents shorter than the guards are not judged by distance, and neither is any
+document if none of a known language passes them.
 
 Any other label is vetted: where its mean shares of letters of any script,
 digits, blanks, controls, points and symbols are close to a known language's,
@@ -14,11 +15,15 @@ its documents, and no others, may also be near the label's own reference.  A
 null label, and one that is not vetted, is judged against the known languages.
 
 Defined cases: a null text has no words and no characters; it fails the base
-rules.  An empty table gives no rows.  Repeated rows are judged alike, one row each.
+rules.  An empty table gives no rows.  Repeated rows are judged alike, one row
+each; of equally near references the first by name counts.  Long texts are
+judged whole.  Only doc_id, text and lang are read, whatever other columns are
+called.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -76,9 +81,10 @@ class QualityRules:
     max_repeat_percent: int = 50
     guard_chars: int = 200
     guard_words: int = 50
-    guard_words_common: int = 150
     max_char_distance: float = 0.30
-    max_word_distance: float = 0.32
+    #: A sample of n words is off its own reference by about 1 / sqrt(n); so much is allowed, and a distance of its own.
+    max_word_distance: float = 0.15
+    word_distance_noise: float = 1.5
     #: Labels held at a time while histograms are summed; also a limit of the SQL twin, as is the next.
     max_languages: int = 64
     min_documents: int = 30
@@ -250,8 +256,8 @@ class Judge:
         if distances is None:
             return True
         rules = self.rules
-        strange = len(words) >= rules.guard_words_common and distances[1] > rules.max_word_distance
-        return distances[0] <= rules.max_char_distance and not strange
+        allowed = rules.max_word_distance + rules.word_distance_noise / math.sqrt(len(words))
+        return distances[0] <= rules.max_char_distance and distances[1] <= allowed
 
     def kept(self, text: str | None, lang: str | None = None) -> bool:
         """The verdict alone; distances are taken only where the base rules leave the text."""

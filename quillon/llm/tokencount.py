@@ -5,13 +5,18 @@ each node holds the best unigram score of its prefix and the number of tokens
 of that best path, so a prefix that pre-tokens share is scored once.  The node
 where a pre-token ends gives its count, which is stored.
 
-Scores come from the ranks of a public vocabulary under Zipf's law: the piece
-of rank r has log-probability -log((r + 1) * H).  Single bytes that the
-vocabulary lacks get the score of the rank behind its last.  Ties go to fewer
-tokens.  The trie and the stored counts of a worker are dropped whenever they
-pass ``max_nodes``, which only costs time; no text is cut.
-
-Defined cases: a null or empty text has no tokens.
+Scores are those of a vocabulary file of pieces and log-probabilities
+(``piece<TAB>score``), or, where only ranks are known, as in the default file,
+Zipf's law: the piece of rank r has log-probability -log((r + 1) * H).  Single
+bytes that the vocabulary lacks get the least score of all, less a little.  Ties
+go to fewer tokens.  The trie and the stored counts of a worker are dropped
+whenever they pass ``max_nodes``, which only costs time; a pre-token above LONG
+bytes is scored by the same steps without being kept, so that one text cannot
+fill the trie.  No text is cut.
+
+Defined cases: a null or empty text has no tokens.  Repeated rows are counted
+alike, an empty table gives no rows, long texts are counted whole.  Only doc_id
+and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -36,9 +41,28 @@ def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
     """Pieces by rank, read on the driver; refuses vocabularies above MAX_PIECES."""
     with open(path, "rb") as f:
         ranked = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f))
-    if len(ranked) > MAX_PIECES:
-        raise ValueError(f"{path} has {len(ranked)} pieces; at most {MAX_PIECES} are sent to the workers")
-    return [piece for _, piece in ranked]
+    return [piece for _, piece in _bounded(ranked, path)]
+
+
+def _bounded(pieces: list, path: str) -> list:
+    if len(pieces) > MAX_PIECES:
+        raise ValueError(f"{path} has {len(pieces)} pieces; at most {MAX_PIECES} are sent to the workers")
+    return pieces
+
+
+def read_scores(path: str = VOCABULARY) -> dict[bytes, float]:
+    """Log-probabilities by piece: of a file with scores, or by Zipf's law of one with ranks (``.tiktoken``).
+
+    In files with scores "\u2581" stands for a blank; a line without a score, or with an empty piece, is left out.
+    """
+    if path.endswith(".tiktoken"):
+        return zipf_scores(read_vocabulary(path))
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").rpartition("\t") for line in f]
+    found = {piece.replace("\u2581", " ").encode(): float(s) for piece, _, s in rows if piece and s.strip()}
+    _bounded(list(found), path)
+    least = min(found.values(), default=0.0) - 1.0
+    return {bytes([b]): least for b in range(256)} | found
 
 
 def zipf_scores(pieces: list[bytes]) -> dict[bytes, float]:
@@ -126,10 +150,10 @@ class TrieCounter:
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, max_nodes: int = MAX_NODES) -> DataFrame:
     """One row per document: tokens, pre-tokens and bytes of its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(read_scores(vocabulary))
 
     def make():
-        counter = TrieCounter(zipf_scores(shared.value), max_nodes)
+        counter = TrieCounter(shared.value, max_nodes)
 
         def f(ids, texts):
             tokens, parts = zip(*map(counter.text, texts))

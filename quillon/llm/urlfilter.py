@@ -5,9 +5,15 @@ letter or digit touches it on either side.  One strict term rejects; so do
 distinct soft terms whose weights reach the threshold, however often each of
 them occurs.
 
+The vocabulary is a parameter: terms with weight and class, from a table or a
+tab-separated file (``vocabulary``); the few built-in terms are a default.
+
 Defined cases: a null url, or one without "://", has empty host and path; its
 whole text (nothing for null) is still searched.  Rows are judged one by one,
-so ties and repeated rows are judged alike.
+so repeated rows are judged alike; an empty table gives no rows.  Of equally
+long rules the first in order counts.  A very long url is searched whole, in
+time in proportion to its length.  Only page_id and url are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -15,7 +21,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import ahocorasick
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.rowmap import map_rows
 
@@ -44,6 +51,29 @@ class UrlRules:
     least_distinct: int = 2
 
 
+#: Terms that one automaton in a worker may hold, about 0.3 KB each.
+MOST_TERMS = 1_000_000
+
+
+def vocabulary(terms: DataFrame, **rules) -> UrlRules:
+    """Rules with the vocabulary of a table (term, weight, class): class "strict" or "soft".
+
+    Terms are lower-cased; null and empty ones and other classes are left out; the largest weight of a term counts.
+    """
+    rows = terms.select(F.lower(F.trim("term")).alias("t"), F.col("weight").cast("double").alias("w"), F.lower("class").alias("c"))
+    rows = rows.where("t != '' and c in ('strict', 'soft')").groupBy("t", "c").agg(F.max(F.coalesce("w", F.lit(1.0))).alias("w"))
+    found = sorted((r.c, r.t, r.w) for r in rows.limit(MOST_TERMS + 1).collect())
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has at most {MOST_TERMS} terms")
+    soft = {t: w for c, t, w in found if c == "soft"}
+    return UrlRules(strict=tuple(t for c, t, _ in found if c == "strict"), soft=soft, **rules)
+
+
+def read_vocabulary(spark: SparkSession, path: str, **rules) -> UrlRules:
+    """Rules with the vocabulary of a tab-separated file of term, weight and class without a header."""
+    return vocabulary(spark.read.option("sep", "\t").schema("term string, weight double, class string").csv(path), **rules)
+
+
 def ascii_lower(text: str) -> str:
     return text.translate(_LOWER)
 
