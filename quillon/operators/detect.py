@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions import vectors as V
-from quillon.operators import spans as S
 
 MAX_BANK = 4096
 
@@ -127,23 +126,38 @@ def flags(images: DataFrame, scored: DataFrame, tau, column: str = "risk") -> Da
 def window_scores(spans: DataFrame, images: DataFrame, bank: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
     """Windows of spans with s_inst and the cosine to their image.
 
-    A window's vector is the normalised sum of its spans' vectors.  Arrow
-    batches are stacked and multiplied with the bank as matrices.
+    A window's vector is the normalised sum of its spans' vectors.  An image's spans, which are few, make one row, so
+    vectors move once and are summed and multiplied with the bank as matrices.
     """
     matrix = np.array(bank_row(bank).first()[0], dtype=np.float64)
     image = images.select(F.col("image_id").alias("of_image"), F.col("embedding").alias("image_embedding"))
-    cands = S.windows(spans, sizes, "embedding").join(image, F.col("image_id") == F.col("of_image")).drop("of_image")
-
-    def scores(vectors: pd.Series, of_image: pd.Series) -> pd.DataFrame:
-        total = np.array([np.sum([np.asarray(x, np.float64) for x in v], axis=0) for v in vectors]).reshape(len(vectors), -1)
-        if not len(vectors):
-            return pd.DataFrame({"s_inst": [], "cos": []}, dtype=float)
-        unit = total / np.linalg.norm(total, axis=1, keepdims=True)
-        whole = np.stack(of_image.to_numpy()).astype(np.float64)
-        return pd.DataFrame({"s_inst": (unit @ matrix.T).max(axis=1), "cos": (unit * whole).sum(axis=1)})
-
-    found = F.pandas_udf(scores, "s_inst double, cos double")(F.col("embedding"), F.col("image_embedding"))
-    return cands.withColumn("found", found).select("image_id", "cand_idx", "size", "members", "found.s_inst", "found.cos")
+    own = spans.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "embedding"))).alias("own"))
+    rows = own.join(image, F.col("image_id") == F.col("of_image"))
+
+    def scores(flat: pd.Series, n_spans: pd.Series, of_image: pd.Series) -> pd.DataFrame:
+        made = []
+        for vectors, n, whole in zip(flat, n_spans, of_image):
+            v, found = np.asarray(vectors, np.float64).reshape(n, -1), []
+            for s in sorted(sizes):
+                m = n - s + 1
+                if m <= 0:
+                    continue
+                total = v[:m].copy()
+                for k in range(1, s):
+                    total += v[k : m + k]
+                unit = total / np.linalg.norm(total, axis=1, keepdims=True)
+                found.append((np.arange(m), np.full(m, s), (unit @ matrix.T).max(axis=1), unit @ np.asarray(whole, np.float64)))
+            made.append([np.concatenate(c) for c in zip(*found)] if found else [[], [], [], []])
+        return pd.DataFrame(made, columns=["first", "size", "s_inst", "cos"])
+
+    kinds = "first array<int>, size array<int>, s_inst array<double>, cos array<double>"
+    flat = F.flatten(F.transform("own", lambda p: p["embedding"]))
+    found = F.pandas_udf(scores, kinds)(flat, F.size("own"), F.col("image_embedding"))
+    each = rows.select("image_id", F.transform("own", lambda p: p["span_id"]).alias("ids"), found.alias("f")).select(
+        "image_id", "ids", F.posexplode(F.arrays_zip("f.first", "f.size", "f.s_inst", "f.cos")).alias("cand_idx", "w")
+    )
+    members = F.slice("ids", F.col("w.first") + 1, F.col("w.size"))
+    return each.select("image_id", "cand_idx", F.col("w.size").alias("size"), members.alias("members"), "w.s_inst", "w.cos")
 
 
 def firewall(

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Height of the bands in which boxes of an image are compared.
+BAND = 64
+
+
 def reading():
     """Reading order within an image."""
     return Window.partitionBy("image_id").orderBy("top", "left", "ord")
@@ -36,13 +40,18 @@ def regions(lines: DataFrame, max_gap_y: int = 60) -> DataFrame:
     boxes = line_boxes(lines).groupBy("image_id").agg(
         F.array_sort(F.collect_list(F.struct("line_id", "l", "t", "r", "b"))).alias("lines")
     )
-    fold = f"""aggregate(lines,
-      named_struct('g', -1, 'l', 0, 'r', 0, 'b', 0, 'out', cast(array() as array<int>)),
+    # Spark copies a fold's state at every step: blocks of 64 lines are folded with what they add, then put together
+    state = "named_struct('g', {0}.g, 'l', {0}.l, 'r', {0}.r, 'b', {0}.b, 'out', {1})"
+    none = "cast(array() as array<int>)"
+    block = f"""aggregate(block, {state.format('w', none)},
       (s, x) -> if(s.g >= 0 and x.t - s.b < {max_gap_y} and not (x.r < s.l or x.l > s.r),
         named_struct('g', s.g, 'l', cast(least(s.l, x.l) as int), 'r', cast(greatest(s.r, x.r) as int),
           'b', cast(greatest(s.b, x.b) as int), 'out', concat(s.out, array(s.g))),
         named_struct('g', s.g + 1, 'l', cast(x.l as int), 'r', cast(x.r as int), 'b', cast(x.b as int),
-          'out', concat(s.out, array(s.g + 1))))).out"""
+          'out', concat(s.out, array(s.g + 1)))),
+      done -> {state.format('done', 'concat(w.out, done.out)')})"""
+    fold = f"""aggregate(transform(sequence(0, (size(lines) - 1) div 64), i -> slice(lines, i * 64 + 1, 64)),
+      named_struct('g', -1, 'l', 0, 'r', 0, 'b', 0, 'out', {none}), (w, block) -> {block}).out"""
     ids = boxes.select("image_id", "lines", F.expr(fold).alias("ids"))
     return ids.select("image_id", F.explode(F.arrays_zip("lines.line_id", "ids")).alias("x")).select(
         "image_id", F.col("x.line_id").alias("line_id"), F.col("x.ids").alias("region_id")
@@ -110,12 +119,21 @@ def masked_words(candidates: DataFrame) -> DataFrame:
 def consensus(primary: DataFrame, views: DataFrame, least_iou: float = 0.3, least_views: int = 1) -> DataFrame:
     """Primary boxes that enough views confirm: (image_id, box_id, n_views).
 
-    Both sides hold image_id and box (l, t, r, b); views also hold view.
+    Both sides hold image_id and box (l, t, r, b); views also hold view.  least_iou is above 0, so pairs that do not
+    overlap are never compared.
     """
     from quillon.functions.vectors import iou
 
-    other = views.select(F.col("image_id").alias("v_image"), "view", F.col("box").alias("v_box"))
-    near = primary.join(other, F.col("image_id") == F.col("v_image")).where(iou(F.col("box"), F.col("v_box")) >= least_iou)
+    # boxes that overlap share a band of their image; a pair is met in the first band of both alone
+    def bands(box: str):
+        return F.expr(f"explode(sequence(floor({box}.t / {BAND}), floor({box}.b / {BAND})))")
+
+    mine = primary.select("image_id", "box_id", "box", bands("box").alias("band"))
+    other = views.select(F.col("image_id").alias("v_image"), "view", F.col("box").alias("v_box"), bands("box").alias("v_band"))
+    first = F.col("band") == F.floor(F.greatest("box.t", "v_box.t") / BAND)
+    near = mine.join(other, (F.col("image_id") == F.col("v_image")) & (F.col("band") == F.col("v_band"))).where(
+        first & (iou(F.col("box"), F.col("v_box")) >= least_iou)
+    )
     return near.groupBy("image_id", "box_id").agg(F.countDistinct("view").alias("n_views")).where(
         F.col("n_views") >= least_views
     )

@@ -123,10 +123,10 @@ def _(spark, d):
     return R.numpy_ci(FX.records(spark, d), ["variant"], "sample_id", "is_unsafe", 10_000)
 
 
-@query("op062_bootstrap_picked", f"{_boot_sql(_QUALITY, 200, 42)}, s AS (SELECT list(m ORDER BY m) AS v FROM reps) SELECT round(v[5 + 1], 6) AS lo, round(v[195 + 1], 6) AS hi FROM s")
+@query("op062_bootstrap_picked", f"{_boot_sql(_QUALITY, 1000, 42)}, s AS (SELECT list(m ORDER BY m) AS v FROM reps) SELECT round(v[25 + 1], 6) AS lo, round(v[975 + 1], 6) AS hi FROM s")
 def _(spark, d):
-    reps = R.replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality", 200, 42)
-    return _r6(R.picked_interval(reps, 200), "lo", "hi")
+    reps = R.replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality", 1000, 42)
+    return _r6(R.picked_interval(reps, 1000), "lo", "hi")
 
 
 _DIFF = f"""{REC}, vals AS (SELECT a.sample_id || a.transform AS k, a.is_unsafe - b.is_unsafe AS x FROM rec a JOIN rec b ON a.sample_id = b.sample_id AND a.transform = b.transform
@@ -209,7 +209,8 @@ def _(spark, d):
     return _r6(C.false_positives(rows.where("image_id >= 25"), "max_risk", C.threshold(rows.where("image_id < 25"), "max_risk", 0.1), 0.1), "tau", "fpr", "bound")
 
 
-_SPLITS = f"""{_MAX}, perm AS (SELECT b, max_risk, row_number() OVER (PARTITION BY b ORDER BY {draw(7, 'b', 'image_id')}, image_id) - 1 AS pos FROM mx, range(100) r(b)),
+N_SPLITS = 2000
+_SPLITS = f"""{_MAX}, perm AS (SELECT b, max_risk, row_number() OVER (PARTITION BY b ORDER BY {draw(7, 'b', 'image_id')}, image_id) - 1 AS pos FROM mx, range({N_SPLITS}) r(b)),
   tt AS (SELECT b, list(max_risk ORDER BY max_risk)[CAST(ceil(21 * 0.9::DOUBLE) - 1 AS BIGINT) + 1] AS tau FROM perm WHERE pos < 20 GROUP BY b),
   f AS (SELECT b, tau, avg(CASE WHEN max_risk >= tau THEN 1.0::DOUBLE ELSE 0 END) AS fpr FROM perm JOIN tt USING (b) WHERE pos >= 20 GROUP BY ALL)"""
 
@@ -221,7 +222,7 @@ def _(spark, d):
 
 
 def _splits(spark, d):
-    return C.resplit(_max(spark, d), "image_id", "max_risk", 20, 0.1, 100)
+    return C.resplit(_max(spark, d), "image_id", "max_risk", 20, 0.1, N_SPLITS)
 
 
 @query("op073_vmf_concentration", f"""{WITH_RISK}, r AS (SELECT (SELECT greatest(least(avg({dot('s.embedding', 'i.embedding')}), 0.99::DOUBLE), 0.01::DOUBLE) FROM spans s JOIN images i USING (image_id)) AS r0,
@@ -424,12 +425,13 @@ def _(spark, d):
     return FX.table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(e).cast("double"), 6).alias("most"), F.round(F.get(F.sort_array(e, False), F.lit(1)).cast("double"), 6).alias("second"), F.size(F.slice(e, 1, 10)).cast("long").alias("n"))
 
 
-@query("op120_map_functions", "SELECT n_nationkey, 'A. ' || n_name || '/B. ' || n_regionkey AS rendered, 'B' AS best FROM nation")
+@query("op120_map_functions", "SELECT n_nationkey, 'A. ' || n_name || '/B. ' || n_regionkey AS rendered, CASE WHEN n_nationkey % 7 > n_regionkey THEN 'A' ELSE 'B' END AS best FROM nation")
 def _(spark, d):
     m = F.create_map(F.lit("B"), F.col("n_regionkey").cast("string"), F.lit("A"), F.col("n_name"))
     shown = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(". "), e["value"]))
-    scores = F.array_sort(F.map_entries(F.create_map(F.lit("A"), F.lit(0.1), F.lit("B"), F.lit(0.9))), lambda a, b: F.when(a["value"] > b["value"], -1).otherwise(1))
-    return FX.table(spark, d, "nation").select("n_nationkey", F.array_join(shown, "/").alias("rendered"), F.get(scores, F.lit(0))["key"].alias("best"))
+    by_label = F.map_entries(F.create_map(F.lit("A"), (F.col("n_nationkey") % 7).cast("double"), F.lit("B"), F.col("n_regionkey").cast("double")))
+    best = F.array_max(F.transform(by_label, lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))["k"]  # B on ties
+    return FX.table(spark, d, "nation").select("n_nationkey", F.array_join(shown, "/").alias("rendered"), best.alias("best"))
 
 
 @query("op121_json_optional_keys", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS lacking FROM events")
