@@ -375,10 +375,9 @@ def keep_one(docs: DataFrame, tree_values: int = TREE_VALUES, broadcast_values:
     """
     prints = saved(fingerprints(docs))
     keep = component_map(prints, tree_values, broadcast_values).select("keep_doc", "keep_fp").distinct()
-    rows = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = saved(
-        keep.join(rows, F.expr("keep_doc <=> doc_id")).selectExpr("keep_doc", "keep_fp", "n > 1 or keep_doc is null as odd")
-    )
+    rows = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    named = keep.join(rows, F.col("keep_doc") == F.col("doc_id")).selectExpr("keep_doc", "keep_fp", "n > 1 as odd")
+    keep = saved(named.unionByName(keep.where("keep_doc is null").withColumn("odd", F.lit(True))))
     ids = keep.where("not odd").select(F.col("keep_doc").alias("doc_id"))
     plain = docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
     odd = keep.where("odd").select("keep_doc", "keep_fp")
@@ -386,10 +385,13 @@ def keep_one(docs: DataFrame, tree_values: int = TREE_VALUES, broadcast_values:
 
 
 def _keep_with_prints(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """For ids that several rows have: one row of each kept (doc_id, fp), found with the fingerprint beside the row."""
+    """For ids that several rows have, or none: one row of each kept (doc_id, fp), found with the fingerprint beside the row.
+
+    Rows without an id are told apart by their fingerprints alone, so they do not meet in one task.
+    """
     mark = F.pandas_udf(lambda texts: texts.map(lambda t: signed(fingerprint(t))), "long")
-    ids = keep.select("keep_doc").distinct()
-    own = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["keep_doc"]), "left_semi")
+    ids = keep.where("keep_doc is not null").select("keep_doc").distinct()
+    own = docs.join(ids, docs["doc_id"].cast("long") == ids["keep_doc"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
     own = own.select(F.struct(*[own[c] for c in docs.columns]).alias("row"), mark(text_column(own)).alias("fp"))
     own = own.join(
         keep, (own["fp"] == keep["keep_fp"]) & own["row.doc_id"].cast("long").eqNullSafe(keep["keep_doc"]), "left_semi"

@@ -682,6 +682,46 @@ def test_empty_tables(op, none):
     assert op(none).count() == 0
 
 
+def plain_model(rows, pieces=100, chars=600):
+    """The dictionaries by their definition: hashed pieces of the labelled texts outside the held-out fold."""
+    import zlib
+
+    crc = lambda x: zlib.crc32(x.encode())
+    known = [(d, t, lang) for d, t, lang in rows if None not in (d, t, lang) and crc(str(d)) % 4 != 2]
+    counts = Counter(lang for _, _, lang in known)
+    chosen = {}
+    for d, t, lang in known:
+        place = crc(f"dictionary:{d}") / 2**32
+        if place < 2 * pieces / counts[lang]:
+            begin = crc(f"piece:{d}") % (max(len(t) - chars, 0) + 1)
+            one = chosen.setdefault(lang, {})
+            one[place, d] = min(one.get((place, d), "\U0010ffff"), t[begin : begin + chars])
+    order = sorted(counts, key=lambda lang: (-counts[lang], lang))
+    return [(lang, "\n".join(t for _, t in sorted(chosen[lang].items())[:pieces]).lower().encode()) for lang in order if lang in chosen]
+
+
+@pytest.mark.parametrize("name", ["docs", "edge"])
+def test_languages_against_brute_force(name, request):
+    import zstandard
+
+    df = request.getfixturevalue(name)
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+    model = plain_model(rows)
+    assert langid.learn(df) == model
+    want = Counter()
+    for d, text, _ in rows:
+        sizes = []
+        for k, (lang, content) in enumerate(model):
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=12)
+            coder = zstandard.ZstdCompressor(level=12, dict_data=raw, write_content_size=False, write_dict_id=False)
+            data = (text or "").lower().encode()
+            sizes.append((sum(len(coder.compress(data[i : i + 2048])) for i in range(0, len(data), 2048)), k, lang))
+        letter = any(c.isalpha() for c in text or "")
+        want[(d, min(sizes)[2] if letter and sizes else "und")] += 1
+    assert want == Counter((r.doc_id, r.lang_pred) for r in langid.identify(df).collect())
+
+
 def test_language_needs_a_letter():
     from quillon.llm import langid
 
