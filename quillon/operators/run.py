@@ -81,3 +81,17 @@ def run(
     samples = manifest.normalise(raw, place, config.image_root, condition_text="Reply with only {}.")
     samples = samples.withColumn("attack_text", F.coalesce("attack_text", F.lit(config.default_attack_text)))
     return write(records(samples, config, responses, detections, verdicts), config)
+
+
+def queue(spark: SparkSession, configs: dict[str, RunConfig], inputs) -> list[str]:
+    """Runs the configurations, by name, that have no summary yet; returns the names that ran.
+
+    inputs(config) gives the arguments of ``run`` after the configuration.  A queue that was cut off goes on where it was.
+    """
+    hadoop, conf, ran = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration(), []
+    for name, config in configs.items():
+        done = hadoop(f"{config.output_dir.rstrip('/')}/summary.json/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            run(spark, config, *inputs(config))
+            ran.append(name)
+    return ran

@@ -1,6 +1,7 @@
 """Operators on small tables: edge cases, quirks and properties."""
 
 import math
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -351,6 +352,9 @@ def test_a_whole_run(spark, tmp_path):
     assert len(rows) == 21 and {(r.variant, r.firewall_flagged) for r in rows} == {("base", 0), ("attacked", 0), ("defended_attack", 1), ("defended_control", 0)}
     assert all(r.matched_attack_target == 1 and r.judged_correct == 0 for r in rows if r.variant == "attacked")
     assert sum(r.is_unsafe is None for r in rows) == 7
+    again = replace(config, output_dir=str(tmp_path / "again"))
+    both = {"first": config, "second": again}
+    assert run.queue(spark, both, lambda c: (responses, detections)) == ["second"] and run.queue(spark, both, lambda c: (responses,)) == []
     found = manifest.read_summaries(spark, str(tmp_path / "out" / "summary.json" / "*.txt")).first()
     assert '"attacked"' in found.value
     with pytest.raises(ValueError, match="unknown transforms"):
@@ -417,6 +421,28 @@ def test_plugins(spark):
     assert plugins.apply("safety", spark.range(1)).first().raw_verdict == "safe"
 
 
+def test_batched_models_and_backends(spark):
+    def make():
+        return lambda texts, marks: [[float(len(t)), float(len(texts)), float(m)] for t, m in zip(texts, marks)]
+
+    encode = plugins.batched("text_encoder", make, ["text", "mark"], "embedding", "array<double>", batch=4)
+    df = spark.createDataFrame([("x" * i, i) for i in range(10)], "text string, mark int").coalesce(1)
+    plugins.register("text_encoder", encode)
+    got = [r.embedding for r in plugins.apply("text_encoder", df).orderBy("mark").collect()]
+    assert [x[0] for x in got] == [x[2] for x in got] == list(map(float, range(10))) and max(x[1] for x in got) == 4
+    one = plugins.batched("generate", lambda: lambda prompts: [p.upper() for p in prompts], ["text"], "response", "string", batch=3)
+    assert {r.response for r in one(df).collect()} == {"X" * i for i in range(10)}
+    short = plugins.batched("generate", lambda: lambda prompts: prompts[:1], ["text"], "response", "string")
+    with pytest.raises(Exception, match="returned 1 results"):
+        short(df).collect()
+    with pytest.raises(ValueError):
+        plugins.batched("none", make, [], "x", "string")
+    plugins.register_backend("upper", one)
+    assert plugins.backend("upper") is one
+    with pytest.raises(ValueError, match="unknown backend"):
+        plugins.backend("other")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, h, m), "click", float(m)) for h in range(4) for m in (0, 30)]
     df = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
