@@ -50,6 +50,8 @@ class MixRules:
     tolerance: float = 1e-12
     rounds: int = 100
     seed: int = 42
+    #: A column of the documents that holds their topic; without one, topics go by TOPIC_RULES.
+    topic_column: str | None = None
     power: dict[str, float] = field(default_factory=lambda: {"source": 0.7, "lang": 0.7, "topic": 0.9})
     #: axis -> {value: share}; values that are not listed get nothing.
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -183,7 +185,7 @@ def fit(cells: DataFrame, rules: MixRules = MixRules()) -> tuple[DataFrame, int]
 
 def residuals(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """(axis, value, target, got): tokens that each group should and does get; they differ where groups lack tokens."""
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, rules)
     cells = saved(keyed.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")))
     fitted, _ = fit(cells, rules)
     whole = fitted.agg((F.sum("tokens") * rules.budget).alias("goal"))
@@ -198,7 +200,7 @@ def residuals(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, rules: MixRules) -> DataFrame:
     """The rows as one struct, with the cell, tokens and draw beside it."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return docs.select(
@@ -206,7 +208,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         docs["doc_id"].cast("long").alias("doc_id"),
         docs["source"].cast("string").alias("source"),
         docs["lang"].cast("string").alias("lang"),
-        topic_of(text).alias("topic"),
+        (docs[rules.topic_column].cast("string") if rules.topic_column else topic_of(text)).alias("topic"),
         tokens_of(text).alias("tokens"),
     )
 
@@ -221,7 +223,7 @@ def _decided(keyed: DataFrame, rules: MixRules) -> DataFrame:
 
 def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """One row per document: cell, tokens, probability and decision."""
-    keyed = saved(_keyed(docs).drop("row"))  # narrow, so the texts are read once
+    keyed = saved(_keyed(docs, rules).drop("row"))  # narrow, so the texts are read once
     return _decided(keyed, rules).select(
         "doc_id", *AXES, F.col("tokens").alias("n_tokens"), F.round("p", 6).alias("p"), "selected"
     )
@@ -229,4 +231,4 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
 
 def sample(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """The selected documents with all their columns."""
-    return _decided(_keyed(docs), rules).where("selected").select("row.*")
+    return _decided(_keyed(docs, rules), rules).where("selected").select("row.*")

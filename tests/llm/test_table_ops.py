@@ -272,6 +272,16 @@ def test_mixing_goes_on_where_sources_and_languages_are_tied(spark):
     assert max(abs(r.target - r.got) / r.target for r in few) > 1e-6
 
 
+def test_mixing_by_a_topic_column(spark):
+    rows = [(i, "w " * (i % 9 + 1), "en", "s", ("a", "b", None)[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    rules = mixing.MixRules(topic_column="subject", targets={"topic": {"a": 0.6, "b": 0.4}}, budget=0.3)
+    found = {r.value: r for r in mixing.residuals(df, rules).collect() if r.axis == "topic"}
+    assert set(found) == {"a", "b", None} and found[None].got == 0
+    assert all(r.got == pytest.approx(r.target, rel=1e-9) for r in found.values())
+    assert {r.topic for r in mixing.mix(df, rules).where("selected").collect()} == {"a", "b"}
+
+
 def test_mixing_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
 
