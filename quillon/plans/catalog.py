@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import base, q_metrics, q_spans, q_tables  # noqa: F401  the modules register their queries
+from quillon.plans import base, q_boundary, q_metrics, q_spans, q_tables  # noqa: F401  the modules register their queries
 
 
 def flagship(spark, sf_dir):
