@@ -41,6 +41,7 @@ TOPIC_RULES = (
 #: Strings of which a text with the pattern holds at least one; the quick search for them comes first.
 TOPIC_HINTS = {"table": (" | ",), "notice": ("icen", "LICENSE", "opyright", "COPYRIGHT")}
 BROADCAST_CELLS = 100_000
+HOT_SHARE = 1000
 
 
 @dataclass(frozen=True)
@@ -214,11 +215,20 @@ def _keyed(docs: DataFrame, rules: MixRules) -> DataFrame:
 
 
 def _decided(keyed: DataFrame, rules: MixRules) -> DataFrame:
-    cells = keyed.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    cells = saved(keyed.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")))
     fitted, n = fit(cells, rules)
     p = fitted.select(*[F.col(a).alias(f"cell_{a}") for a in AXES], "p")
     same = [F.col(a).eqNullSafe(F.col(f"cell_{a}")) for a in AXES]
-    return keyed.join(_small(p, n), same).withColumn("selected", draw(F.col("doc_id"), rules.seed) < F.col("p"))
+    if n <= BROADCAST_CELLS:
+        found = keyed.join(F.broadcast(p), same)
+    else:
+        # cells of more than one in HOT_SHARE of the documents are fewer than HOT_SHARE: their rows are not shuffled
+        p = saved(p.join(cells.select(*AXES, "n_docs"), same).drop(*AXES))
+        least = (cells.agg(F.sum("n_docs")).first()[0] or 0) // HOT_SHARE
+        hot = F.broadcast(p.where(F.col("n_docs") > least).drop("n_docs"))
+        cold = p.where(F.col("n_docs") <= least).drop("n_docs")
+        found = keyed.join(hot, same).unionByName(keyed.join(hot, same, "left_anti").join(cold, same))
+    return found.withColumn("selected", draw(F.col("doc_id"), rules.seed) < F.col("p"))
 
 
 def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
