@@ -30,7 +30,7 @@ def replicates(sample: DataFrame, key: list[str], value: str, n_boot: int, seed:
     values = sample.where(F.col(value).isNotNull())
     n = values.count()
     if n > MAX_SAMPLE or n * n_boot > MAX_DRAWS:
-        raise ValueError(f"{n} values and {n_boot} replicates are too many to number and draw; use poisson_replicates")
+        raise ValueError(f"{n} values and {n_boot} replicates are too many to number and draw; use the engine \"poisson\"")
     at = values.select(
         (F.row_number().over(Window.orderBy(*key)) - 1).cast("long").alias("i"), F.col(value).cast("double").alias("x")
     )
@@ -73,13 +73,26 @@ def picked_interval(reps: DataFrame, n_boot: int, alpha: float = 0.05) -> DataFr
     return reps.agg(F.get(v, F.lit(at[0])).alias("lo"), F.get(v, F.lit(at[1])).alias("hi"))
 
 
-def bootstrap_ci(sample: DataFrame, key: list[str], value: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
-    """One row: mean, lo, hi, n."""
+ENGINES = {"indexed": replicates, "poisson": poisson_replicates}
+
+
+def engine_of(name: str):
+    if name not in ENGINES:
+        raise ValueError(f"unknown bootstrap engine: {name}")
+    return ENGINES[name]
+
+
+def bootstrap_ci(
+    sample: DataFrame, key: list[str], value: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 7, engine: str = "indexed"
+) -> DataFrame:
+    """One row: mean, lo, hi, n.  The engine "poisson" takes samples of any size."""
     plain = sample.agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count(value).alias("n"))
-    return plain.crossJoin(interval(replicates(sample, key, value, n_boot, seed), alpha)).select("mean", "lo", "hi", "n")
+    return plain.crossJoin(interval(engine_of(engine)(sample, key, value, n_boot, seed), alpha)).select("mean", "lo", "hi", "n")
 
 
-def paired_test(pairs: DataFrame, key: list[str], n_boot: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+def paired_test(
+    pairs: DataFrame, key: list[str], n_boot: int = 1000, alpha: float = 0.05, seed: int = 7, engine: str = "indexed"
+) -> DataFrame:
     """One row: mean_diff, lo, hi, p_value, n_pairs of columns a - b.
 
     The p-value counts centred replicates beyond the observed difference on
@@ -87,7 +100,7 @@ def paired_test(pairs: DataFrame, key: list[str], n_boot: int = 1000, alpha: flo
     """
     diff = pairs.withColumn("d", F.col("a").cast("double") - F.col("b").cast("double"))
     plain = diff.agg(F.avg("d").alias("mean_diff"), F.count("d").alias("n_pairs"))
-    reps = replicates(diff, key, "d", n_boot, seed)
+    reps = engine_of(engine)(diff, key, "d", n_boot, seed)
     centre = reps.agg(F.avg("m").alias("centre"))
     far = reps.crossJoin(F.broadcast(centre)).crossJoin(F.broadcast(plain))
     c = F.round(F.col("m") - F.col("centre"), 12)

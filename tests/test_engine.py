@@ -226,6 +226,10 @@ def test_bootstrap(spark):
     assert r.n == 60 and r.mean == 0.5 and r.lo < 0.5 < r.hi
     again = R.bootstrap_ci(df, ["k"], "x", 200).first()
     assert tuple(r) == tuple(again)
+    p = R.bootstrap_ci(df, ["k"], "x", 400, engine="poisson").first()
+    assert p.n == 60 and p.mean == 0.5 and abs(p.lo - r.lo) < 0.08 and abs(p.hi - r.hi) < 0.08
+    with pytest.raises(ValueError, match="unknown bootstrap engine"):
+        R.bootstrap_ci(df, ["k"], "x", 10, engine="other")
     n = R.numpy_ci(df.withColumn("g", F.lit(1)), ["g"], "k", "x", 2000).first()
     rng = np.random.default_rng(7)
     x = np.array([i % 2 for i in range(60)], float)
@@ -239,6 +243,8 @@ def test_paired(spark):
     assert R.paired_test(far, ["k"], 50).first().mean_diff == 1.0
     r = R.paired_test(same, ["k"], 50).first()
     assert (r.mean_diff, r.p_value, r.n_pairs) == (0.0, 1.0, 40)
+    wide = R.paired_test(far, ["k"], 50, engine="poisson").first()
+    assert (wide.mean_diff, wide.n_pairs, wide.lo, wide.hi) == (1.0, 40, 1.0, 1.0)
     empty = R.paired_test(far.limit(0), ["k"], 50).first()
     assert empty.n_pairs == 0 and empty.mean_diff is None
 
