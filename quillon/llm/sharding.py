@@ -26,7 +26,7 @@ from quillon.llm.store import saved
 
 SHARDS = 16
 #: Rows wanted in a bucket, and the most buckets, whose counts are summed in one task.
-BUCKET_ROWS = 250
+BUCKET_ROWS = 100
 MOST_BUCKETS = 65_536
 
 
