@@ -138,11 +138,6 @@ def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.where(sums > 0, np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2)), 1.0)
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """The distance of two vectors."""
-    return float(js_distances(p, q[None, :])[0])
-
-
 def repeat_words(words: list[str]) -> int:
     """Words inside 3-word windows that the text holds twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
