@@ -60,8 +60,10 @@ def records(
 
 
 def write(rows: DataFrame, config: RunConfig, by: str = "variant") -> DataFrame:
-    """records.json, records.csv and summary.json below the output folder; returns the summary by variant."""
+    """config.json, records.json, records.csv and summary.json below the output folder; returns the summary by variant."""
     folder = config.output_dir.rstrip("/")
+    settings = rows.sparkSession.createDataFrame([(manifest.as_json(config),)], "value string")
+    settings.coalesce(1).write.mode("overwrite").text(f"{folder}/config.json")
     sinks.write_json(rows, f"{folder}/records.json")
     sinks.write_csv(rows, f"{folder}/records.csv")
     summary = M.summary(rows.sparkSession.read.schema(rows.schema).json(f"{folder}/records.json"), by)

@@ -11,8 +11,6 @@ from quillon.plans.base import BANK, IMAGES, SPANS, TRANSFORM_ROWS, WITH_RISK, d
 from quillon.sources import fixtures as FX
 from quillon.sources import manifest, sinks
 
-EVENT = "event_id long, user_id long, event_type string, value double"
-
 
 def _lines(spark, d):
     events = FX.table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value"))

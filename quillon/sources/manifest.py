@@ -32,11 +32,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported manifest format: {path}")
 
 
-def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Rows of JSON lines, blank lines skipped."""
-    return lines.where(F.trim(F.col(column)) != "").select(F.from_json(column, schema).alias("row")).select("row.*")
-
-
 def head(df: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first n rows by an explicit order."""
     return df if n is None else df.orderBy(order).limit(n)
