@@ -138,6 +138,8 @@ def _quality() -> str:
       CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END
       + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2))"""
     windows = "list_transform(range(1, greatest(len(w) - 2, 0) + 1), lambda i: {})"
+    blend = "list_transform(list_zip(a.{0}, b.{0}), lambda z: s * z[1] + (1 - s) * z[2])"
+    shares = ", ".join(f"({s}::DOUBLE)" for s in quality.MIXTURES)
     return f"""
     WITH a AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -166,7 +168,9 @@ def _quality() -> str:
       FROM d WHERE long_enough),
     ref AS (SELECT lang, list(t ORDER BY bin) AS t FROM (SELECT lang, bin, sum(u) AS t FROM units GROUP BY ALL) GROUP BY lang),
     refs AS (SELECT lang, list_transform(t[1:9], lambda x: x / list_sum(t[1:9])) AS rp, list_transform(t[10:], lambda x: x / list_sum(t[10:])) AS rq FROM ref),
-    dist AS (SELECT r, {js.format(p='p', q='rp')} AS c, {js.format(p='q', q='rq')} AS v FROM d, refs WHERE long_enough),
+    mixed AS (SELECT rp, rq FROM refs UNION ALL SELECT {blend.format('rp')}, {blend.format('rq')}
+      FROM refs a JOIN refs b ON a.lang < b.lang AND a.lang IN ({known}) AND b.lang IN ({known}), (VALUES {shares}) m(s)),
+    dist AS (SELECT r, {js.format(p='p', q='rp')} AS c, {js.format(p='q', q='rq')} AS v FROM d, mixed WHERE long_enough),
     near AS (SELECT r, arg_min(c, c + v) AS c, arg_min(v, c + v) AS v FROM dist GROUP BY r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT base_failed AND coalesce(c <= {rules.max_char_distance} AND v <= {rules.max_word_distance} + {rules.word_distance_noise}::DOUBLE / sqrt(n_words), true) AS kept,

@@ -4,8 +4,9 @@ Each document becomes two histograms, one over character classes and one
 over the common words of the known languages plus "any other word".  The
 references are the mean histograms of all documents of each known language, so
 they cover the whole corpus.  A document's distance is the Jensen-Shannon
-distance (base 2, 0 to 1) to the nearest known language; the word distance that
-is allowed falls with the number of words, as the noise of a sample does.
+distance (base 2, 0 to 1) to the nearest known language, or mixture of two of
+them by quarters, as a text may be in both; the word distance that is allowed
+falls with the number of words, as the noise of a sample does.
 Documents shorter than the guards are not judged by distance, and neither is any
 document if none of a known language passes them.
 
@@ -28,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS_OF = _classes()
+#: Shares of the first of two known languages in the references of texts in both.
+MIXTURES = (0.25, 0.5, 0.75)
 #: Histograms are summed as whole numbers of this unit, so sums do not depend on order.
 UNIT = 1 << 20
 
@@ -228,8 +232,13 @@ class Judge:
 
     def __init__(self, references: dict[str, np.ndarray], rules: QualityRules):
         self.rules, self.vocab = rules, vocabulary()
-        known = [x for lang, x in sorted(references.items()) if lang in COMMON_WORDS]
-        self.known = np.array(known).reshape(len(known), len(CLASS_NAMES) + len(self.vocab) + 1)
+        split = len(CLASS_NAMES)
+        plain = [
+            np.concatenate([x[:split] / x[:split].sum(), x[split:] / x[split:].sum()])
+            for lang, x in sorted(references.items()) if lang in COMMON_WORDS
+        ]
+        mixed = [s * a + (1 - s) * b for a, b in combinations(plain, 2) for s in MIXTURES]
+        self.known = np.array(plain + mixed).reshape(len(plain) + len(mixed), split + len(self.vocab) + 1)
         self.vetted = {lang: np.vstack([self.known, x]) for lang, x in references.items() if lang not in COMMON_WORDS}
 
     def base_failed(self, words: list[str], repeats: int) -> bool:

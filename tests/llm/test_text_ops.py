@@ -63,12 +63,17 @@ def test_quality_verdict(docs):
         m = (p + q) / 2
         return math.sqrt(max(0, (kl(p, m) + kl(q, m)) / 2))
 
+    refs = {k: [x[0] / x[0].sum(), x[1] / x[1].sum()] for k, x in sums.items()}
+    for i, a in enumerate(sorted(set(refs) - {""})):  # texts in two languages
+        for b in sorted(set(sums) - {""})[i + 1 :]:
+            for s in (0.25, 0.5, 0.75):
+                refs[a, b, s] = [s * x + (1 - s) * y for x, y in zip(refs[a], refs[b])]
     rejected = 0
     for r in quality.judge(docs).collect():
         a, b = hists(texts[r.doc_id].text)
         want = not r.base_failed
         if r.n_words >= 50 and len(texts[r.doc_id].text) >= 200:
-            c, w = min(((jsd(a, x[0]), jsd(b, x[1])) for x in sums.values()), key=sum)
+            c, w = min(((jsd(a, x[0]), jsd(b, x[1])) for x in refs.values()), key=sum)
             assert r.js_char == pytest.approx(c, abs=1e-6) and r.js_word == pytest.approx(w, abs=1e-6)
             want = want and c <= rules.max_char_distance and w <= 0.15 + 1.5 / math.sqrt(r.n_words)
         assert r.kept == want
@@ -91,6 +96,13 @@ def test_quality_tells_labelled_junk(spark):
     assert kept[0, False] >= 0.9 * (kept[0, True] + kept[0, False])
 
 
+def test_quality_keeps_texts_in_two_languages(spark, docs):
+    by = {k: " ".join(r.text for r in docs.where(f"lang = '{k}' and n_chars > 2000").limit(3).collect()).split() for k in ("en", "de", "fr")}
+    rows = [(10**6 + i, " ".join(by[a][:n] + by[b][:m]), "en") for i, (a, b, n, m) in enumerate([("en", "de", 200, 200), ("fr", "en", 100, 300), ("de", "fr", 250, 150)])]
+    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(r.kept or r.base_failed for r in quality.judge(df).where("doc_id >= 1000000").collect())
+
+
 def test_quality_labels_do_not_excuse_junk(spark, docs):
     rng = np.random.default_rng(2)
 
