@@ -178,6 +178,38 @@ def _quality() -> str:
     FROM d LEFT JOIN near USING (r)"""
 
 
+def _interaction() -> str:
+    return r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    m AS (SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+            + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS INT)
+            + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+            + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d),
+    l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+          FROM labels GROUP BY doc_id),
+    h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+          FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM f a, f b, f c, f e, f g
+          WHERE length(a.x || b.x || c.x || e.x || g.x) = len(list_distinct([a.x, b.x, c.x, e.x, g.x]))),
+    s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+            coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0) AS before
+          FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    r AS (SELECT part, filter_order, step, own,
+            sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM h, s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+      CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+      CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_divergence": _quality(),
@@ -185,4 +217,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": _urls(),
         "op4_mixing": _mixing(),
         "op10_sharding": _sharding(),
+        "op12_filter_interaction": _interaction(),
     }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, langid, mixing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter
+from quillon.llm import (
+    decontaminate, interaction, langid, mixing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter, variants,
+)
 from quillon.sources.scan import table as _table
 
 
@@ -46,11 +48,19 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction(spark, sf_dir):
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_variant_grouping(spark, sf_dir):
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         f.__name__: f
         for f in (
             op1_quality_divergence, op2_decontaminate, op3_url_filter, op4_mixing, op5_pii, op6_token_counts,
-            op7_secrets, op8_simhash, op9_language_id, op10_sharding,
+            op7_secrets, op8_simhash, op9_language_id, op10_sharding, op12_filter_interaction, op13_variant_grouping,
         )
     }
