@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quillon.llm import (
-    decontaminate, interaction, langid, mixing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter, variants,
+    decontaminate, interaction, langid, mixing, pii, quality, secrets, sharding, simhash, tokencount, toxicity, urlfilter,
+    variants,
 )
 from quillon.sources.scan import table as _table
 
@@ -48,6 +49,10 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_filter_interaction(spark, sf_dir):
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def queries():
         f.__name__: f
         for f in (
             op1_quality_divergence, op2_decontaminate, op3_url_filter, op4_mixing, op5_pii, op6_token_counts,
-            op7_secrets, op8_simhash, op9_language_id, op10_sharding, op12_filter_interaction, op13_variant_grouping,
+            op7_secrets, op8_simhash, op9_language_id, op10_sharding, op11_toxicity,
+            op12_filter_interaction, op13_variant_grouping,
         )
     }
