@@ -6,21 +6,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import metrics as M
+from quillon.operators import resample as R
 
 VARIANTS = ["base", "attacked", "defended_attack", "defended_control"]
 
 
 def main_rows(records: DataFrame) -> DataFrame:
-    """Unsafe and flag rate per run and variant; a run without defended rows shows its attacked ones."""
-    rows = records.groupBy("run", "variant").agg(M.rate("is_unsafe").alias("unsafe"), M.rate("firewall_flagged").alias("flag"), F.count("*").alias("n"))
-    runs = rows.select("run").distinct()
-    wide = rows.groupBy("run").pivot("variant", VARIANTS).agg(F.first("unsafe").alias("unsafe"), F.first("flag").alias("flag"))
-    return runs.join(wide, "run", "left").select(
-        "run", "base_unsafe", "attacked_unsafe", F.coalesce("defended_attack_unsafe", "attacked_unsafe").alias("defended_unsafe"),
+    """Unsafe and flag rate per run and variant, one row per run; null where nothing was measured."""
+    rows = records.groupBy("run").pivot("variant", VARIANTS).agg(M.rate("is_unsafe").alias("unsafe"), M.rate("firewall_flagged").alias("flag"))
+    return rows.select(
+        "run", "base_unsafe", "attacked_unsafe", F.col("defended_attack_unsafe").alias("defended_unsafe"),
         F.col("defended_attack_flag").alias("attack_flag"), F.col("defended_control_flag").alias("control_flag"),
     )
 
 
+def main_table(records: DataFrame, runs: DataFrame, n_boot: int = R.N_BOOT, seed: int = 7) -> DataFrame:
+    """(run, state, target, n, and rate and interval of unsafe and of flags) for every row of runs(run).
+
+    The target is the defended attack, and the attack of a run that has no rows of the former at all; a defended
+    attack that was not measured keeps null figures.  n counts the verdicts, else the flags, else it is 0.
+    """
+    key = ["sample_id", "variant", "transform", "attack_position"]
+    rows = records.where(F.col("variant").isin(VARIANTS[1:3]))
+    targets = rows.groupBy("run").agg(F.max(F.struct((F.col("variant") == VARIANTS[2]).alias("first"), "variant")).alias("t")).select("run", F.col("t.variant").alias("variant"))
+    kept = rows.join(targets, ["run", "variant"])  # a row a run
+    reps = R.poisson_replicates(kept, key, ["is_unsafe", "firewall_flagged"], n_boot, seed, ["run"])
+    ends = R.interval(reps, by=["run", "name"]).groupBy("run").pivot("name", ["is_unsafe", "firewall_flagged"]).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    plain = kept.groupBy("run", F.col("variant").alias("target")).agg(
+        M.rate("is_unsafe").alias("unsafe"), M.rate("firewall_flagged").alias("flag"),
+        F.coalesce(F.nullif(F.count("is_unsafe"), F.lit(0)), F.count("firewall_flagged")).alias("n"),
+    )
+    present = records.select("run").distinct().withColumn("state", F.lit("ok"))
+    found = runs.select("run").join(present, "run", "left").join(plain, "run", "left").join(ends, "run", "left")
+    return found.select(
+        "run", F.coalesce("state", F.lit("missing")).alias("state"), "target", F.when(F.col("state").isNotNull(), F.coalesce("n", F.lit(0))).alias("n"),
+        "unsafe", F.col("is_unsafe_lo").alias("unsafe_lo"), F.col("is_unsafe_hi").alias("unsafe_hi"),
+        "flag", F.col("firewall_flagged_lo").alias("flag_lo"), F.col("firewall_flagged_hi").alias("flag_hi"),
+    )
+
+
+def paired_tests(records: DataFrame, tests: list[tuple[str, str]], within: list[str] | None = None, n_boot: int = R.N_BOOT) -> DataFrame:
+    """(a, b, state, n_pairs, mean_diff, lo, hi, p_value): runs a and b row by row, and attack against defended attack within runs.
+
+    Rows match on sample, variant, transform and position (null positions match); rows without a verdict take no part.
+    The state is "missing" if a run has no records, "no overlap" if no rows match.
+    """
+    spark = records.sparkSession
+    plan = [(a, b, None, None) for a, b in tests] + [(r, r, *VARIANTS[1:3]) for r in within or []]
+    listed = spark.createDataFrame(plan, "a_run string, b_run string, a_variant string, b_variant string")
+    key = ["sample_id", "transform", "attack_position"]
+    own = records.where(F.col("is_unsafe").isNotNull())
+
+    def side(name: str) -> DataFrame:
+        other = f"{name}_variant"
+        rows = own.join(F.broadcast(listed), F.col("run") == F.col(f"{name}_run"))  # the list that the caller wrote
+        rows = rows.where(F.col(other).isNull() | (F.col(other) == F.col("variant")))
+        same = F.when(F.col(other).isNull(), F.col("variant")).otherwise(F.lit(""))
+        return rows.select("a_run", "b_run", "a_variant", *key, same.alias("of"), F.col("is_unsafe").alias(name)).withColumnsRenamed(
+            {} if name == "a" else {c: f"r_{c}" for c in ("a_run", "b_run", "a_variant", *key, "of")}
+        )
+
+    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in ("a_run", "b_run", "a_variant", *key, "of")]
+    pairs = side("a").join(side("b"), on).select("a_run", "b_run", F.coalesce("a_variant", F.lit("")).alias("kind"), *key, "of", "a", "b")
+    results = R.paired_test(pairs, [*key[:2], "of"], n_boot, by=["a_run", "b_run", "kind"])
+    present = records.select("run").distinct()
+    wanted = listed.select("a_run", "b_run", F.coalesce("a_variant", F.lit("")).alias("kind"), "b_variant")
+    has = wanted.join(present.select(F.col("run").alias("a_run"), F.lit(1).alias("a_has")), "a_run", "left").join(
+        present.select(F.col("run").alias("b_run"), F.lit(1).alias("b_has")), "b_run", "left"
+    )
+    named = lambda run, variant: F.when(F.col("kind") == "", F.col(run)).otherwise(F.concat(F.col(run), F.lit(" "), variant))
+    state = F.when(F.col("a_has").isNull() | F.col("b_has").isNull(), "missing").when(F.col("n_pairs").isNull(), "no overlap").otherwise("ok")
+    return has.join(results, ["a_run", "b_run", "kind"], "left").select(
+        named("a_run", F.col("kind")).alias("a"), named("b_run", F.col("b_variant")).alias("b"), state.alias("state"),
+        F.when(state != "missing", F.coalesce("n_pairs", F.lit(0))).alias("n_pairs"), "mean_diff", "lo", "hi", "p_value",
+    )
+
+
 def cross_model(records: DataFrame, value: str = "is_unsafe") -> DataFrame:
     """One row per run, one column per variant."""
     return records.groupBy("run").pivot("variant", VARIANTS).agg(M.rate(value))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from quillon.functions.seeds import MIX
+from quillon.operators.resample import N_BOOT, POISSON
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -33,6 +36,46 @@ def draw(seed: int, *parts: str) -> str:
     return f"CAST('0x' || substr(md5('{seed}' || {' || '.join(f''' ':' || {p}''' for p in parts)}), 1, 8) AS BIGINT)"
 
 
+def mixed(x: str, out: str) -> str:
+    """Columns that end in ``out``: the number in column x through the steps of ``functions.seeds.mix32``."""
+    first, second = MIX
+    return (
+        f"xor({x}, {x} >> 16) * {first}::UBIGINT & 4294967295::UBIGINT AS {out}1, "
+        f"xor({out}1, {out}1 >> 15) * {second}::UBIGINT & 4294967295::UBIGINT AS {out}2, xor({out}2, {out}2 >> 16) AS {out}"
+    )
+
+
+def _counters(n: int, seed: int) -> str:
+    return f"SELECT b, CAST(b + {seed * 1_000_003} AS UBIGINT) & 4294967295::UBIGINT AS x, {mixed('x', 'c')} FROM range({n}) r(b)"
+
+
+def poisson_sql(source: str, n_boot: int, seed: int = 7) -> str:
+    """CTEs of reps(g, b, m) over ``vals(g, k, x)``: the Poisson bootstrap of every group g, as ``operators.resample`` draws it."""
+    weigh = lambda half: " + ".join(f"({half} >= {p})::INT" for p in POISSON)
+    return f"""{source}, cnt AS MATERIALIZED ({_counters((n_boot + 1) // 2, seed)}),
+  kept AS MATERIALIZED (SELECT g, x::DOUBLE AS v, CAST('0x' || substr(md5(k), 1, 8) AS UBIGINT) AS k1, CAST('0x' || substr(md5(k), 9, 8) AS UBIGINT) AS k2 FROM vals WHERE x IS NOT NULL),
+  drawn AS (SELECT g, v, b, xor(k1, c) AS y, {mixed('y', 'h')}, h + k2 & 4294967295::UBIGINT AS z, {mixed('z', 'u')}, u & 65535 AS lo_, u >> 16 AS hi_, {weigh('lo_')} AS w0, {weigh('hi_')} AS w1 FROM kept, cnt),
+  halves AS (SELECT g, b, sum(w0 * v) AS s0, sum(w0) AS n0, sum(w1 * v) AS s1, sum(w1) AS n1 FROM drawn GROUP BY g, b),
+  reps AS (SELECT g, 2 * b AS b, s0 / nullif(n0, 0) AS m FROM halves UNION ALL SELECT g, 2 * b + 1, s1 / nullif(n1, 0) FROM halves WHERE 2 * b + 1 < {n_boot})"""
+
+
+def indexed_sql(source: str, n_boot: int, seed: int = 7) -> str:
+    """CTEs n, idx(i, x), reps(b, m) of ``vals(k, x)``: rows drawn with replacement in the order of k."""
+    return f"""{source}, idx AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS UBIGINT) AS i, x::DOUBLE AS x FROM vals WHERE x IS NOT NULL),
+  n AS (SELECT count(*) AS n FROM idx), cnt AS MATERIALIZED (SELECT b, c, xor(c, 2654435769::UBIGINT) AS e, {mixed('e', 'o')} FROM ({_counters(n_boot, seed)})),
+  drawn AS (SELECT b, xor(i, c) AS y, {mixed('y', 'h')}, h + o & 4294967295::UBIGINT AS z, {mixed('z', 'u')}, CAST(u % n AS UBIGINT) AS j FROM idx, cnt, n),
+  reps AS (SELECT b, avg(idx.x) AS m FROM drawn JOIN idx ON j = idx.i GROUP BY b)"""
+
+
+#: Interval and centred p-value of reps beside the observed mean difference of each group.
+def paired_sql(group: str = "g") -> str:
+    return f"""seen AS (SELECT g, avg(x)::DOUBLE AS mean_diff, count(x) AS n_pairs FROM vals GROUP BY g),
+  mid AS (SELECT g, avg(m) AS centre, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY g),
+  far AS (SELECT g, avg((round(m - centre, 12) >= round(abs(mean_diff), 12))::INT) AS up, avg((round(m - centre, 12) <= -round(abs(mean_diff), 12))::INT) AS down
+    FROM reps JOIN mid USING (g) JOIN seen USING (g) GROUP BY g),
+  tested AS (SELECT g AS {group}, mean_diff, lo, hi, least(2 * least(up, down), 1.0::DOUBLE) AS p_value, n_pairs FROM seen LEFT JOIN mid USING (g) LEFT JOIN far USING (g))"""
+
+
 TRANSFORM_ROWS = "(VALUES (0,'clean'),(1,'resize'),(2,'jpeg'),(3,'crop'),(4,'rerender'),(5,'blur')) t(t_id, transform)"
 VARIANT_ROWS = "(VALUES (0,'base'),(1,'attacked'),(2,'defended_attack'),(3,'defended_control')) v(v_id, variant)"
 

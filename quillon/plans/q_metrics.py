@@ -13,7 +13,8 @@ from quillon.operators import compare, detect
 from quillon.operators import metrics as M
 from quillon.operators import progress, report
 from quillon.operators import resample as R
-from quillon.plans.base import RESPONSES, WITH_RISK, dot, draw, norm, query, records
+from quillon.operators.resample import N_BOOT
+from quillon.plans.base import RESPONSES, WITH_RISK, dot, draw, indexed_sql, norm, paired_sql, poisson_sql, query, records
 from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 
@@ -96,26 +97,29 @@ def _(spark, d):
     return _r6(out, *out.columns[1:])
 
 
-def _boot_sql(source, n_boot, seed=7):
-    """CTEs n, idx(i, x), reps(b, m) of a CTE ``vals(k, x)``."""
-    return f"""{source}, idx AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x::DOUBLE AS x FROM vals WHERE x IS NOT NULL),
-  n AS (SELECT count(*) AS n FROM idx), reps AS (SELECT b, avg(x) AS m FROM (SELECT b, {draw(seed, 'b', 'g')} % n AS i FROM n, range({n_boot}) r(b), LATERAL (SELECT unnest(range(n)) AS g)) JOIN idx USING (i) GROUP BY b)"""
+_QUALITY = "WITH vals AS (SELECT 1 AS g, doc_id AS k, quality AS x FROM labels)"
+_LABELS = _QUALITY.replace("doc_id AS k", "CAST(doc_id AS VARCHAR) AS k")
+_MEAN = "(SELECT round(avg(x), 6) FROM vals)"
 
 
-_QUALITY = "WITH vals AS (SELECT doc_id AS k, quality AS x FROM labels)"
+@query("op061_bootstrap_ci", f"{indexed_sql(_QUALITY, N_BOOT)} SELECT {_MEAN} AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n FROM reps")
+def _(spark, d):
+    return _r6(R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", engine="indexed"), "mean", "lo", "hi")
 
 
-@query("op061_bootstrap_ci", f"{_boot_sql(_QUALITY, 200)} SELECT (SELECT round(avg(x), 6) FROM idx) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n FROM reps")
+@query("op061_bootstrap_poisson", f"{poisson_sql(_LABELS, N_BOOT)} SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM reps")
 def _(spark, d):
-    return _r6(R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", 200), "mean", "lo", "hi")
+    return _r6(R.interval(R.poisson_replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality")), "lo", "hi")
 
 
-_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in R.POISSON)
+_BY_LANG = "WITH vals AS (SELECT lang AS g, CAST(doc_id AS VARCHAR) AS k, quality AS x FROM labels JOIN documents USING (doc_id))"
 
 
-@query("op061_bootstrap_poisson", f"WITH d AS (SELECT b, quality::DOUBLE AS x, {draw(7, 'b', 'doc_id')} / 4294967296.0::DOUBLE AS u FROM labels, range(50) r(b)), reps AS (SELECT b, sum(({_WEIGHT}) * x) / sum({_WEIGHT}) AS m FROM d GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM reps")
+@query("op061_bootstrap_groups", f"{poisson_sql(_BY_LANG, N_BOOT)} SELECT lang, mean, lo, hi, n FROM (SELECT g AS lang, round(avg(x), 6) AS mean, count(x) AS n FROM vals GROUP BY g) JOIN (SELECT g AS lang, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM reps GROUP BY g) USING (lang)")
 def _(spark, d):
-    return _r6(R.interval(R.poisson_replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality", 50)), "lo", "hi")
+    docs = FX.table(spark, d, "documents").select("doc_id", "lang")
+    rows = FX.table(spark, d, "labels").join(docs, "doc_id")
+    return _r6(R.bootstrap_ci(rows, ["doc_id"], "quality", by=["lang"]), "mean", "lo", "hi")
 
 
 @query("op061_bootstrap_numpy")
@@ -123,27 +127,26 @@ def _(spark, d):
     return R.numpy_ci(FX.records(spark, d), ["variant"], "sample_id", "is_unsafe", 10_000)
 
 
-@query("op062_bootstrap_picked", f"{_boot_sql(_QUALITY, 1000, 42)}, s AS (SELECT list(m ORDER BY m) AS v FROM reps) SELECT round(v[25 + 1], 6) AS lo, round(v[975 + 1], 6) AS hi FROM s")
+@query("op062_bootstrap_picked", f"{indexed_sql(_QUALITY, 1000, 42)}, s AS (SELECT list(m ORDER BY m) AS v FROM reps) SELECT round(v[25 + 1], 6) AS lo, round(v[975 + 1], 6) AS hi FROM s")
 def _(spark, d):
     reps = R.replicates(FX.table(spark, d, "labels"), ["doc_id"], "quality", 1000, 42)
     return _r6(R.picked_interval(reps, 1000), "lo", "hi")
 
 
-_DIFF = f"""{REC}, vals AS (SELECT a.sample_id || a.transform AS k, a.is_unsafe - b.is_unsafe AS x FROM rec a JOIN rec b ON a.sample_id = b.sample_id AND a.transform = b.transform
+_DIFF = f"""{REC}, vals AS (SELECT 1 AS g, a.sample_id || '/' || a.transform AS k, a.is_unsafe - b.is_unsafe AS x FROM rec a JOIN rec b ON a.sample_id = b.sample_id AND a.transform = b.transform
   AND a.attack_position = b.attack_position AND a.variant = 'attacked' AND b.variant = 'defended_attack')"""
+_TESTED = "round(mean_diff, 6) AS mean_diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_value, 6) AS p_value, n_pairs"
 
 
-@query("op063_paired_bootstrap", f"""{_boot_sql(_DIFF, 50)}, o AS (SELECT avg(x) AS mean_diff, count(*) AS n_pairs FROM idx), c AS (SELECT avg(m) AS centre FROM reps)
-  SELECT round(any_value(mean_diff), 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi,
-  round(least(1.0::DOUBLE, 2 * least(avg(CASE WHEN round(m - centre, 12) >= round(abs(mean_diff), 12) THEN 1.0::DOUBLE ELSE 0 END), avg(CASE WHEN round(m - centre, 12) <= -round(abs(mean_diff), 12) THEN 1.0::DOUBLE ELSE 0 END))), 6) AS p_value, any_value(n_pairs) AS n_pairs FROM reps, o, c""")
+@query("op063_paired_bootstrap", f"{poisson_sql(_DIFF, N_BOOT)}, {paired_sql()} SELECT {_TESTED} FROM tested")
 def _(spark, d):
-    pairs = compare.pair_variants(FX.records(spark, d)).withColumn("k", F.concat("sample_id", "transform"))
-    return _r6(R.paired_test(pairs, ["k"], 50), "mean_diff", "lo", "hi", "p_value")
+    pairs = compare.pair_variants(FX.records(spark, d))
+    return _r6(R.paired_test(pairs, ["sample_id", "transform"]), "mean_diff", "lo", "hi", "p_value")
 
 
-@query("op064_summarize_rate", f"{_boot_sql(_QUALITY, 100)} SELECT (SELECT round(avg(x), 6) FROM idx) AS rate, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 6) AS width FROM reps")
+@query("op064_summarize_rate", f"{poisson_sql(_LABELS, N_BOOT)} SELECT {_MEAN} AS rate, round(quantile_cont(m, 0.025), 6) AS ci95_lo, round(quantile_cont(m, 0.975), 6) AS ci95_hi, round((quantile_cont(m, 0.975) - quantile_cont(m, 0.025)) / 2, 6) AS ci95_halfwidth, (SELECT count(x) FROM vals) AS n FROM reps")
 def _(spark, d):
-    return R.bootstrap_ci(FX.table(spark, d, "labels"), ["doc_id"], "quality", 100).select(F.round("mean", 6).alias("rate"), F.round(F.col("hi") - F.col("lo"), 6).alias("width"))
+    return _r6(R.summarize_rate(FX.table(spark, d, "labels"), ["doc_id"], "quality"), "rate", "ci95_lo", "ci95_hi", "ci95_halfwidth")
 
 
 @query("op065_mean_sample_sd", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(value) AS n FROM events GROUP BY event_type")

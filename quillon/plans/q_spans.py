@@ -12,10 +12,12 @@ from quillon.operators import compare, detect, report
 from quillon.operators import metrics as M
 from quillon.operators import resample as R
 from quillon.operators import spans as S
+from quillon.operators.resample import N_BOOT
 from quillon.plans.base import (
-    BOXES, IMAGES, LINES, REGIONS, SPANS, WINDOWS, WITH_CANDIDATES, WITH_RISK, WORDS, dot, norm, query, records,
+    BOXES, IMAGES, LINES, REGIONS, SPANS, WINDOWS, WITH_CANDIDATES, WITH_RISK, WORDS, dot, norm, paired_sql, poisson_sql, query,
+    records,
 )
-from quillon.plans.q_metrics import _MAX, REC, _boot_sql, _max, _r6, _roc, _roc_sql, _splits, _SPLITS, _tau
+from quillon.plans.q_metrics import _MAX, REC, _max, _r6, _roc, _roc_sql, _splits, _SPLITS, _tau
 from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 from quillon.sources import sinks
@@ -252,20 +254,53 @@ _BY = lambda c, v: f"round(avg({c}) FILTER (variant = '{v}'), 6)"
 _EACH = ", ".join(f"{_BY('is_unsafe', v)} AS {v}" for v in report.VARIANTS)
 
 
-@query("op140_main_table", f"{RUNS} SELECT run, {_BY('is_unsafe', 'base')} AS base_unsafe, {_BY('is_unsafe', 'attacked')} AS attacked_unsafe, {_BY('is_unsafe', 'defended_attack')} AS defended_unsafe, {_BY('firewall_flagged', 'defended_attack')} AS attack_flag, {_BY('firewall_flagged', 'defended_control')} AS control_flag FROM runs GROUP BY run")
+def _report_runs(spark, d):
+    """Runs as reports meet them: one complete, one without defended rows, one whose defended rows were not judged."""
+    return _runs(spark, d).unionByName(
+        FX.records(spark, d, 41).where("variant in ('base', 'attacked')").withColumn("run", F.lit("m41"))
+    ).unionByName(
+        FX.records(spark, d, 43).withColumn("is_unsafe", F.expr("if(variant = 'defended_attack', null, is_unsafe)")).withColumn("run", F.lit("m43"))
+    )
+
+
+REPORT_RUNS = f"""{RUNS}, {records('rec3', 41)}, {records('rec4', 43)}, reported AS (SELECT * FROM runs UNION ALL SELECT 'm41', * FROM rec3 WHERE variant IN ('base', 'attacked')
+  UNION ALL SELECT 'm43', * REPLACE (CASE WHEN variant <> 'defended_attack' THEN is_unsafe END AS is_unsafe) FROM rec4)"""
+_TARGETS = f"""{REPORT_RUNS}, target AS (SELECT run, max(variant) AS variant FROM reported WHERE variant IN ('attacked', 'defended_attack') GROUP BY run),
+  kept AS (SELECT r.*, concat_ws('/', sample_id, variant, transform, attack_position) AS k FROM reported r JOIN target USING (run, variant)),
+  vals AS (SELECT run || '/u' AS g, k, is_unsafe AS x FROM kept UNION ALL SELECT run || '/f', k, firewall_flagged FROM kept)"""
+
+
+@query("op140_main_table", f"""{poisson_sql(_TARGETS, N_BOOT).replace('kept AS MATERIALIZED', 'keyed AS MATERIALIZED').replace('FROM kept, cnt', 'FROM keyed, cnt')},
+  ends AS (SELECT g, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM reps GROUP BY g),
+  plain AS (SELECT run, any_value(variant) AS target, coalesce(nullif(count(is_unsafe), 0), count(firewall_flagged)) AS n, round(avg(is_unsafe), 6) AS unsafe, round(avg(firewall_flagged), 6) AS flag FROM kept GROUP BY run)
+  SELECT run, CASE WHEN target IS NULL THEN 'missing' ELSE 'ok' END AS state, target, n, unsafe, u.lo AS unsafe_lo, u.hi AS unsafe_hi, flag, f.lo AS flag_lo, f.hi AS flag_hi
+  FROM (SELECT unnest(['m31', 'm37', 'm41', 'm43', 'm47']) AS run) LEFT JOIN plain USING (run) LEFT JOIN ends u ON u.g = run || '/u' LEFT JOIN ends f ON f.g = run || '/f'""")
+def _(spark, d):
+    names = spark.createDataFrame([("m31",), ("m37",), ("m41",), ("m43",), ("m47",)], "run string")
+    return _r6(report.main_table(_report_runs(spark, d), names), "unsafe", "unsafe_lo", "unsafe_hi", "flag", "flag_lo", "flag_hi")
+
+
+@query("op140_variant_rates", f"{RUNS} SELECT run, {_BY('is_unsafe', 'base')} AS base_unsafe, {_BY('is_unsafe', 'attacked')} AS attacked_unsafe, {_BY('is_unsafe', 'defended_attack')} AS defended_unsafe, {_BY('firewall_flagged', 'defended_attack')} AS attack_flag, {_BY('firewall_flagged', 'defended_control')} AS control_flag FROM runs GROUP BY run")
 def _(spark, d):
     out = report.main_rows(_runs(spark, d))
     return _r6(out, *out.columns[1:])
 
 
-_PAIRS = f"""{RUNS}, vals AS (SELECT a.sample_id || a.variant || a.transform AS k, a.is_unsafe - b.is_unsafe AS x FROM rec a JOIN rec2 b ON a.sample_id = b.sample_id
-  AND a.variant = b.variant AND a.transform = b.transform AND a.attack_position IS NOT DISTINCT FROM b.attack_position)"""
+_TESTS = [("m31", "m37"), ("m31", "m41"), ("m37", "m47")]
+_SAME = "a.sample_id = b.sample_id AND a.transform = b.transform AND a.attack_position IS NOT DISTINCT FROM b.attack_position"
+_PAIRS = f"""{REPORT_RUNS}, tests AS (SELECT * FROM (VALUES {', '.join(map(str, _TESTS))}) t(ra, rb)), vals AS (
+  SELECT ra || '|' || rb AS g, a.sample_id || '/' || a.transform || '/' || a.variant AS k, a.is_unsafe - b.is_unsafe AS x
+  FROM tests JOIN reported a ON a.run = ra JOIN reported b ON b.run = rb AND a.variant = b.variant AND {_SAME} WHERE a.is_unsafe IS NOT NULL AND b.is_unsafe IS NOT NULL
+  UNION ALL SELECT a.run || ' attacked|' || a.run || ' defended_attack', a.sample_id || '/' || a.transform || '/', a.is_unsafe - b.is_unsafe
+  FROM reported a JOIN reported b ON a.run = b.run AND a.run IN ('m37', 'm43') AND a.variant = 'attacked' AND b.variant = 'defended_attack' AND {_SAME} WHERE a.is_unsafe IS NOT NULL AND b.is_unsafe IS NOT NULL)"""
 
 
-@query("op141_paired_tests", f"{_boot_sql(_PAIRS, 25)} SELECT (SELECT round(avg(x), 6) FROM idx) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n_pairs FROM reps")
+@query("op141_paired_tests", f"""{poisson_sql(_PAIRS, N_BOOT)}, {paired_sql()}, wanted AS (SELECT ra AS a, rb AS b, rb AS needs FROM tests UNION ALL SELECT r || ' attacked', r || ' defended_attack', r FROM (SELECT unnest(['m37', 'm43']) AS r))
+  SELECT a, b, CASE WHEN needs NOT IN (SELECT run FROM reported) THEN 'missing' WHEN n_pairs IS NULL THEN 'no overlap' ELSE 'ok' END AS state,
+    CASE WHEN needs IN (SELECT run FROM reported) THEN coalesce(n_pairs, 0) END AS n_pairs, round(mean_diff, 6) AS mean_diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_value, 6) AS p_value
+  FROM wanted LEFT JOIN tested ON g = a || '|' || b""")
 def _(spark, d):
-    pairs = compare.pair_runs(FX.records(spark, d), FX.records(spark, d, 37)).withColumn("k", F.concat("sample_id", "variant", "transform"))
-    return _r6(R.paired_test(pairs, ["k"], 25).drop("p_value"), "mean_diff", "lo", "hi")
+    return _r6(report.paired_tests(_report_runs(spark, d), _TESTS, ["m37", "m43"]), "mean_diff", "lo", "hi", "p_value")
 
 
 @query("op142_multi_seed", f"{RUNS}, u AS (SELECT run, avg(is_unsafe) AS unsafe FROM runs WHERE variant = 'defended_attack' GROUP BY run) SELECT round(avg(unsafe), 6) AS mean, round(stddev_samp(unsafe), 6) AS sd, count(unsafe) AS n FROM u")

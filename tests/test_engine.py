@@ -237,6 +237,72 @@ def test_bootstrap(spark):
     assert (n.lo, n.hi) == (pytest.approx(lo), pytest.approx(hi))
 
 
+def test_bootstrap_of_every_group_at_once(spark):
+    """Groups of their own sizes, null group and null values; intervals near numpy's; the engines agree."""
+    rng = np.random.default_rng(1)
+    x = {"a": rng.random(300), "b": rng.integers(0, 2, 80).astype(float), None: np.array([3.0])}
+    rows = [(g, i, float(v)) for g, vs in x.items() for i, v in enumerate(vs)] + [("a", 999, None), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, x double").repartition(7)
+    for engine in ("poisson", "indexed"):
+        got = {r.g: r for r in R.bootstrap_ci(df, ["k"], "x", engine=engine, by=["g"]).collect()}
+        assert set(got) == {"a", "b", "c", None} and got["c"].n == 0 and got["c"].lo is None
+        assert got[None].n == 1 and got[None].lo == got[None].hi == got[None].mean == 3.0
+        for g in ("a", "b"):
+            means = x[g][rng.integers(0, len(x[g]), (20_000, len(x[g])))].mean(axis=1)
+            lo, hi = np.quantile(means, [0.025, 0.975])
+            assert got[g].n == len(x[g]) and got[g].mean == pytest.approx(x[g].mean())
+            assert (got[g].lo, got[g].hi) == (pytest.approx(lo, abs=0.1 * (hi - lo)), pytest.approx(hi, abs=0.1 * (hi - lo)))
+    assert R.summarize_rate(df.where("g = 'b'"), ["k"], "x").first().ci95_halfwidth > 0
+    alone = R.poisson_replicates(df.where("g = 'a'"), ["k"], "x", 101).orderBy("b").collect()
+    both = R.poisson_replicates(df.withColumn("y", -F.col("x")), ["k"], ["x", "y"], 101, by=["g"]).where("g = 'a'")
+    assert [r.m for r in alone] == pytest.approx([r.m for r in both.where("name = 'x'").orderBy("b").collect()])
+    assert [r.m for r in alone] == pytest.approx([-r.m for r in both.where("name = 'y'").orderBy("b").collect()])
+
+
+def test_poisson_weights_have_the_right_shares():
+    keys = np.arange(4000, dtype=np.uint32)
+    w = R.poisson_weights(keys, keys[::-1], 501, 7)
+    assert w.shape == (4000, 501) and abs(w.mean() - 1) < 0.005 and abs(w.var() - 1) < 0.01
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_bootstraps_need_no_single_task(spark):
+    """No plan of the one-pass engine sorts or numbers a whole sample."""
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    plan = R.bootstrap_ci(df, ["id"], "x", 50)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan.split("MapInArrow")[-1]
+
+
+def test_main_table_and_paired_tests(spark):
+    def rows(run, variant, verdicts, flag=1):
+        return [(run, str(i), "c", variant, "clean", "center", None, flag, None, v) for i, v in enumerate(verdicts)]
+
+    all_rows = (
+        rows("full", "attacked", [1] * 30) + rows("full", "defended_attack", [1, 0] * 15)
+        + rows("fallback", "attacked", [1, 1, 0, None]) + rows("fallback", "base", [0, 0])
+        + rows("unjudged", "attacked", [1, 1, 1]) + rows("unjudged", "defended_attack", [None, None], flag=0)
+        + rows("bare", "base", [0])
+    )
+    df = spark.createDataFrame(all_rows, RECORDS)
+    names = spark.createDataFrame([(r,) for r in ("full", "fallback", "unjudged", "bare", "none")], "run string")
+    got = {r.run: r for r in report.main_table(df, names, 500).collect()}
+    assert (got["full"].target, got["full"].n, got["full"].unsafe, got["full"].flag) == ("defended_attack", 30, 0.5, 1.0)
+    assert 0.2 < got["full"].unsafe_lo < 0.5 < got["full"].unsafe_hi < 0.8
+    assert (got["fallback"].target, got["fallback"].n, got["fallback"].flag_lo) == ("attacked", 3, 1.0)
+    assert got["fallback"].unsafe == pytest.approx(2 / 3)
+    late = got["unjudged"]  # a defended group is there, so nothing falls back
+    assert (late.target, late.unsafe, late.unsafe_lo, late.flag, late.flag_hi, late.n) == ("defended_attack", None, None, 0.0, 0.0, 2)
+    assert (got["bare"].state, got["bare"].n, got["bare"].target) == ("ok", 0, None)
+    assert (got["none"].state, got["none"].n, got["none"].unsafe) == ("missing", None, None)
+    tests = report.paired_tests(df, [("full", "fallback"), ("full", "none"), ("bare", "full")], ["full", "unjudged"], 500)
+    by = {(r.a, r.b): r for r in tests.collect()}
+    assert by["full", "fallback"].n_pairs == 3 and by["full", "fallback"].mean_diff == pytest.approx(1 / 3)
+    assert by["full", "none"].state == "missing" and by["bare", "full"].state == "no overlap" and by["bare", "full"].n_pairs == 0
+    own = by["full attacked", "full defended_attack"]
+    assert (own.n_pairs, own.mean_diff, own.p_value) == (30, 0.5, 0.0)
+    assert by["unjudged attacked", "unjudged defended_attack"].state == "no overlap"
+
+
 def test_paired(spark):
     far = spark.createDataFrame([(i, 1, 0) for i in range(40)], "k int, a int, b int")
     same = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "k int, a int, b int")
@@ -265,7 +331,7 @@ def test_summaries(spark):
     red = M.reduction(df).first()
     assert red.attacked == 0.5 and red.defended is None and red.absolute is None
     main = report.main_rows(df).first()
-    assert main.defended_unsafe == main.attacked_unsafe == 0.5
+    assert main.attacked_unsafe == 0.5 and main.defended_unsafe is None
     assert M.summary(df.limit(0), "variant").count() == 0
 
 
