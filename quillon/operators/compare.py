@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import prefix
+
 KEY = ["sample_id", "variant", "transform", "attack_position"]
 
 
@@ -48,6 +50,6 @@ def first_per(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.groupBy(by).agg(F.min_by(F.struct(*[c for c in df.columns if c != by]), order).alias("r")).select(by, "r.*")
 
 
-def running_best(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("best", F.min(value).over(w))
+def running_best(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """The rows with the least value so far, in order within by; one series of any length is spread over tasks."""
+    return prefix.running(df, [order], value, "best", "min", by)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import calibrate as C
 from quillon.operators import metrics as M
 from quillon.operators import resample as R
 
@@ -112,3 +113,79 @@ def long(summary: DataFrame, dim: str) -> DataFrame:
     return summary.select(F.lit(dim).alias("dim"), F.col(dim).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in values]).unpivot(
         ["dim", "key"], values, "metric", "value"
     )
+
+
+def conformal_report(settings: DataFrame, records: DataFrame, calibration: DataFrame, test: DataFrame, value: str, resplits: DataFrame, n_cal: int) -> DataFrame:
+    """(view, name, alpha, tau, fpr, lo, hi, bound, within): three views of the share of clean images that are flagged.
+
+    "transformed": the flag rate of the defended clean rows of each run in settings (run, alpha, tau, bound; a null bound is
+    alpha + 1/101); runs without such rows or without tau are left out.  "single": one split into calibration and test scores, for each
+    alpha of the settings.  "resplit": the mean over random splits with its interval.
+    """
+    alphas = sorted({r["alpha"] for r in settings.select("alpha").distinct().collect()})  # a list that the caller wrote
+    rates = records.where(F.col("variant") == VARIANTS[3]).groupBy("run").agg(M.rate("firewall_flagged").alias("fpr"))
+    limit = F.coalesce("bound", F.col("alpha") + 1.0 / 101)
+    none = F.lit(None).cast("double")
+    cols = ["view", "name", "alpha", "tau", "fpr", "lo", "hi", "bound", "within"]
+    transformed = settings.join(rates, "run").where("fpr is not null and tau is not null").select(
+        F.lit("transformed").alias("view"), F.col("run").alias("name"), "alpha", "tau", "fpr", none.alias("lo"), none.alias("hi"),
+        limit.alias("bound"), (F.col("fpr") <= limit).alias("within"),
+    )
+    tau = C.thresholds(calibration, value, alphas)
+    hit = F.avg((F.col(value) >= F.col("tau")).cast("double"))
+    single = test.where(F.col(value).isNotNull()).crossJoin(F.broadcast(tau)).groupBy("alpha", "tau", "n").agg(hit.alias("fpr")).select(  # tau: a row an alpha
+        F.lit("single").alias("view"), F.lit(None).cast("string").alias("name"), "alpha", "tau", "fpr", none.alias("lo"), none.alias("hi"),
+        (F.col("alpha") + 1.0 / (F.col("n") + 1)).alias("bound"), (F.col("fpr") <= F.col("alpha") + 1.0 / (F.col("n") + 1)).alias("within"),
+    )
+    many = C.resplit_summary(resplits, n_cal).select(
+        F.lit("resplit").alias("view"), F.lit(None).cast("string").alias("name"), "alpha", none.alias("tau"), F.col("mean_fpr").alias("fpr"), "lo", "hi",
+        "bound", "within",
+    )
+    return transformed.select(cols).unionByName(single.select(cols)).unionByName(many.select(cols))
+
+
+def _points(df: DataFrame, plot: str, key: str) -> DataFrame:
+    """(plot, key, metric, value) of a table with one row per key."""
+    return long(df, key).select(F.lit(plot).alias("plot"), "key", "metric", "value")
+
+
+def plot_data(settings: DataFrame, records: DataFrame, resplits: DataFrame, n_cal: int, bins: int = 25) -> DataFrame:
+    """(plot, key, metric, value): the numbers behind four figures.
+
+    "alpha_dial" and "lambda_sweep": flag rates of clean and attacked rows and the unsafe rate of the defended attack of
+    each run, by the settings (run, alpha, lam); both name a run by its setting, and by alpha and lambda where a lambda occurs twice.  "resplit":
+    mean, interval, bound and a histogram of equal bins between the least and the greatest share.  "category":
+    unsafe rates before and after, their difference and its place, smallest first; categories without both rates are left out.
+    """
+    flag = lambda v: M.rate("firewall_flagged", F.col("variant") == v)
+    rates = records.groupBy("run").agg(
+        flag(VARIANTS[3]).alias("clean_flag"), flag(VARIANTS[2]).alias("attack_flag"),
+        M.rate("is_unsafe", F.col("variant") == VARIANTS[2]).alias("unsafe_defended"),
+    )
+    runs = settings.join(rates, "run")
+    dial = runs.select("alpha", "clean_flag", "attack_flag", "unsafe_defended", (F.col("alpha") + 1.0 / (n_cal + 1)).alias("bound"))
+    sweep = runs.select(F.concat(F.col("lam").cast("string"), F.lit(" at "), F.col("alpha").cast("string")).alias("lam"), "clean_flag", "attack_flag", "unsafe_defended")
+    ends = resplits.groupBy("alpha").agg(F.min("fpr").alias("first"), F.max("fpr").alias("last"))
+    share = F.coalesce(F.try_divide(F.col("fpr") - F.col("first"), F.col("last") - F.col("first")), F.lit(0.0))
+    at = F.least(F.floor(share * bins), F.lit(bins - 1))
+    counts = resplits.join(ends, "alpha").groupBy("alpha", at.alias("bin")).agg(F.count("*").cast("double").alias("value"))
+    hist = counts.select(
+        F.lit("resplit").alias("plot"), F.col("alpha").cast("string").alias("key"), F.format_string("bin_%02d", "bin").alias("metric"), "value"
+    )
+    summary = C.resplit_summary(resplits, n_cal).join(ends, "alpha").select("alpha", "mean_fpr", "lo", "hi", "bound", "first", "last")
+    both = M.by_category(records).where("attacked_unsafe is not null and defended_unsafe is not null")
+    falls = both.select("category", "attacked_unsafe", "defended_unsafe", (F.col("attacked_unsafe") - F.col("defended_unsafe")).alias("reduction"))
+    place = F.row_number().over(Window.orderBy("reduction", "category"))  # a row a category
+    return (
+        _points(dial, "alpha_dial", "alpha").unionByName(_points(sweep, "lambda_sweep", "lam")).unionByName(_points(summary, "resplit", "alpha"))
+        .unionByName(hist).unionByName(_points(falls.withColumn("place", place.cast("double")), "category", "category"))
+    )
+
+
+def bundle(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(part, key, metric, value) of several tables, each given with its key column; truth values are 1 and 0."""
+    out = None
+    for name, (key, df) in parts.items():
+        rows = long(df, key).select(F.lit(name).alias("part"), "key", "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

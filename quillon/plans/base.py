@@ -45,14 +45,14 @@ def mixed(x: str, out: str) -> str:
     )
 
 
-def _counters(n: int, seed: int) -> str:
+def counters_sql(n: int, seed: int) -> str:
     return f"SELECT b, CAST(b + {seed * 1_000_003} AS UBIGINT) & 4294967295::UBIGINT AS x, {mixed('x', 'c')} FROM range({n}) r(b)"
 
 
 def poisson_sql(source: str, n_boot: int, seed: int = 7) -> str:
     """CTEs of reps(g, b, m) over ``vals(g, k, x)``: the Poisson bootstrap of every group g, as ``operators.resample`` draws it."""
     weigh = lambda half: " + ".join(f"({half} >= {p})::INT" for p in POISSON)
-    return f"""{source}, cnt AS MATERIALIZED ({_counters((n_boot + 1) // 2, seed)}),
+    return f"""{source}, cnt AS MATERIALIZED ({counters_sql((n_boot + 1) // 2, seed)}),
   kept AS MATERIALIZED (SELECT g, x::DOUBLE AS v, CAST('0x' || substr(md5(k), 1, 8) AS UBIGINT) AS k1, CAST('0x' || substr(md5(k), 9, 8) AS UBIGINT) AS k2 FROM vals WHERE x IS NOT NULL),
   drawn AS (SELECT g, v, b, xor(k1, c) AS y, {mixed('y', 'h')}, h + k2 & 4294967295::UBIGINT AS z, {mixed('z', 'u')}, u & 65535 AS lo_, u >> 16 AS hi_, {weigh('lo_')} AS w0, {weigh('hi_')} AS w1 FROM kept, cnt),
   halves AS (SELECT g, b, sum(w0 * v) AS s0, sum(w0) AS n0, sum(w1 * v) AS s1, sum(w1) AS n1 FROM drawn GROUP BY g, b),
@@ -62,7 +62,7 @@ def poisson_sql(source: str, n_boot: int, seed: int = 7) -> str:
 def indexed_sql(source: str, n_boot: int, seed: int = 7) -> str:
     """CTEs n, idx(i, x), reps(b, m) of ``vals(k, x)``: rows drawn with replacement in the order of k."""
     return f"""{source}, idx AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS UBIGINT) AS i, x::DOUBLE AS x FROM vals WHERE x IS NOT NULL),
-  n AS (SELECT count(*) AS n FROM idx), cnt AS MATERIALIZED (SELECT b, c, xor(c, 2654435769::UBIGINT) AS e, {mixed('e', 'o')} FROM ({_counters(n_boot, seed)})),
+  n AS (SELECT count(*) AS n FROM idx), cnt AS MATERIALIZED (SELECT b, c, xor(c, 2654435769::UBIGINT) AS e, {mixed('e', 'o')} FROM ({counters_sql(n_boot, seed)})),
   drawn AS (SELECT b, xor(i, c) AS y, {mixed('y', 'h')}, h + o & 4294967295::UBIGINT AS z, {mixed('z', 'u')}, CAST(u % n AS UBIGINT) AS j FROM idx, cnt, n),
   reps AS (SELECT b, avg(idx.x) AS m FROM drawn JOIN idx ON j = idx.i GROUP BY b)"""
 

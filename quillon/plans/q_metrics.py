@@ -14,7 +14,9 @@ from quillon.operators import metrics as M
 from quillon.operators import progress, report
 from quillon.operators import resample as R
 from quillon.operators.resample import N_BOOT
-from quillon.plans.base import RESPONSES, WITH_RISK, dot, draw, indexed_sql, norm, paired_sql, poisson_sql, query, records
+from quillon.plans.base import (
+    RESPONSES, WITH_RISK, counters_sql, dot, draw, indexed_sql, mixed, norm, paired_sql, poisson_sql, query, records,
+)
 from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 
@@ -212,30 +214,61 @@ def _(spark, d):
     return _r6(C.false_positives(rows.where("image_id >= 25"), "max_risk", C.threshold(rows.where("image_id < 25"), "max_risk", 0.1), 0.1), "tau", "fpr", "bound")
 
 
-N_SPLITS = 2000
-_SPLITS = f"""{_MAX}, perm AS (SELECT b, max_risk, row_number() OVER (PARTITION BY b ORDER BY {draw(7, 'b', 'image_id')}, image_id) - 1 AS pos FROM mx, range({N_SPLITS}) r(b)),
-  tt AS (SELECT b, list(max_risk ORDER BY max_risk)[CAST(ceil(21 * 0.9::DOUBLE) - 1 AS BIGINT) + 1] AS tau FROM perm WHERE pos < 20 GROUP BY b),
-  f AS (SELECT b, tau, avg(CASE WHEN max_risk >= tau THEN 1.0::DOUBLE ELSE 0 END) AS fpr FROM perm JOIN tt USING (b) WHERE pos >= 20 GROUP BY ALL)"""
+N_SPLITS, N_CAL, ALPHAS = 2000, 20, (0.05, 0.1, 0.2)
 
 
-@query("op072_resplit_bootstrap", f"{_SPLITS} SELECT round(avg(fpr), 6) AS mean_fpr, round(quantile_cont(fpr, 0.025), 6) AS lo, round(quantile_cont(fpr, 0.975), 6) AS hi, round(avg(CASE WHEN fpr <= 0.1::DOUBLE + 1.0::DOUBLE / 21 THEN 1.0::DOUBLE ELSE 0 END), 6) AS within, round(stddev_pop(fpr), 6) AS sd, count(*) AS n FROM f")
+def splits_sql(pool: str, n_cal: int, n_splits: int, alphas, n_test: int | None = None, draws: int = 400, name: str = "f") -> str:
+    """CTEs that end in f(b, alpha, tau, fpr), of a table pool(x): splits by drawn ranks, as ``operators.calibrate`` draws them."""
+    k = "CAST(greatest(least(ceil(({0} + 1) * (1.0::DOUBLE - alpha)) - 1, {0} - 1), 0) AS BIGINT) + 1".format(n_cal)
+    share = "(s.n - r.begin - (len(cal) - len(list_filter(cal, lambda y: y < r.begin)))) / (s.n - len(cal))::DOUBLE"
+    if n_test:
+        share = "len(list_filter(test, lambda y: y >= r.begin)) / len(test)::DOUBLE"
+    return f"""ranked AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) - 1 AS rank, rank() OVER (ORDER BY x) - 1 AS begin FROM {pool} WHERE x IS NOT NULL),
+  size AS (SELECT count(*) AS n FROM ranked),
+  cn AS MATERIALIZED (SELECT b, c, xor(c, 2654435769::UBIGINT) AS e, {mixed('e', 'o')} FROM ({counters_sql(n_splits, 7)})),
+  dr AS (SELECT b, n, j, xor(j, c) AS y, {mixed('y', 'g')}, g + o & 4294967295::UBIGINT AS z, {mixed('z', 'h')}, xor(h, o) AS t, {mixed('t', 'l')},
+    CAST((h & 2147483647::UBIGINT) * 4294967296::UBIGINT + l AS BIGINT) % n AS rank FROM cn, size, (SELECT CAST(unnest(range({draws})) AS UBIGINT) AS j)),
+  came AS (SELECT b, n, rank, row_number() OVER (PARTITION BY b ORDER BY min(j)) AS pos FROM dr GROUP BY b, n, rank),
+  split AS MATERIALIZED (SELECT b, n, list(rank ORDER BY rank) FILTER (pos <= {n_cal}) AS cal, list(rank ORDER BY rank) FILTER (pos > {n_cal} AND pos <= {n_cal + (n_test or 0)}) AS test FROM came GROUP BY b, n),
+  {name} AS (SELECT s.b, alpha, r.x AS tau, {share} AS fpr FROM (SELECT *, cal[{k}] AS rank FROM split, (SELECT unnest({[float(a) for a in alphas]}::DOUBLE[]) AS alpha)) s JOIN ranked r USING (rank))"""
+
+
+_SPLITS = f"{_MAX}, pool AS (SELECT max_risk AS x FROM mx), {splits_sql('pool', N_CAL, N_SPLITS, ALPHAS)}"
+_SUMMARY = """SELECT alpha, round(avg(fpr), 6) AS mean_fpr, round(quantile_cont(fpr, 0.025), 6) AS lo, round(quantile_cont(fpr, 0.975), 6) AS hi,
+  round(alpha + 1.0::DOUBLE / {0}, 6) AS bound, avg(fpr) <= alpha + 1.0::DOUBLE / {0} AS within, round(avg((fpr <= alpha + 1.0::DOUBLE / {0})::INT), 6) AS share_within, round(stddev_pop(fpr), 6) AS sd, count(*) AS n FROM f GROUP BY alpha"""
+
+
+@query("op072_resplit_bootstrap", f"{_SPLITS} {_SUMMARY.format(N_CAL + 1)}")
 def _(spark, d):
-    out = C.resplit_summary(_splits(spark, d), 0.1 + 1.0 / 21)
-    return _r6(out, "mean_fpr", "lo", "hi", "within", "sd")
+    return _r6(C.resplit_summary(_splits(spark, d), N_CAL), "mean_fpr", "lo", "hi", "bound", "share_within", "sd")
 
 
 def _splits(spark, d):
-    return C.resplit(_max(spark, d), "image_id", "max_risk", 20, 0.1, N_SPLITS)
+    return C.resplit(_max(spark, d), "max_risk", N_CAL, list(ALPHAS), N_SPLITS)
+
+
+_SPAN_SPLITS = f"{WITH_RISK}, pool AS (SELECT risk AS x FROM risk), {splits_sql('pool', 100, N_SPLITS, ALPHAS)}"
+
+
+@query("op072_resplit_spans", f"{_SPAN_SPLITS} {_SUMMARY.format(101)}")
+def _(spark, d):
+    """The risks of all spans as the pool, which grows with the table."""
+    fprs = C.resplit(_risk(spark, d).select("risk"), "risk", 100, list(ALPHAS), N_SPLITS)
+    return _r6(C.resplit_summary(fprs, 100), "mean_fpr", "lo", "hi", "bound", "share_within", "sd")
 
 
 @query("op073_vmf_concentration", f"""{WITH_RISK}, r AS (SELECT (SELECT greatest(least(avg({dot('s.embedding', 'i.embedding')}), 0.99::DOUBLE), 0.01::DOUBLE) FROM spans s JOIN images i USING (image_id)) AS r0,
   (SELECT greatest(least(avg(s_inst), 0.99::DOUBLE), 0.01::DOUBLE) FROM scored) AS r1), k AS (SELECT r0 * (64 - r0 * r0) / (1 - r0 * r0) AS kappa0, r1 * (64 - r1 * r1) / (1 - r1 * r1) AS kappa1 FROM r) SELECT round(kappa0, 6) AS kappa0, round(kappa1, 6) AS kappa1, round(kappa0 / kappa1, 6) AS lam FROM k""")
 def _(spark, d):
     """Mean cosines of two groups of pairs: spans with their image, and spans with the nearest of the bank."""
+    return _r6(_vmf(spark, d).select("kappa0", "kappa1", "lam"), "kappa0", "kappa1", "lam")
+
+
+def _vmf(spark, d):
     scored = detect.with_risk(detect.score(FX.spans(spark, d), FX.bank(spark, d)), FX.images(spark, d), 0.5, floor=None)
-    r = scored.agg(F.avg(-F.col("s_inc")).alias("r0"), F.avg("s_inst").alias("r1"))
-    k = r.select(C.vmf_kappa(F.col("r0"), 64).alias("kappa0"), C.vmf_kappa(F.col("r1"), 64).alias("kappa1"))
-    return _r6(k.withColumn("lam", F.col("kappa0") / F.col("kappa1")), "kappa0", "kappa1", "lam")
+    r = scored.agg(F.avg(-F.col("s_inc")).alias("r0"), F.avg("s_inst").alias("r1"), F.count("*").alias("n_spans"))
+    k = r.select("n_spans", "r0", "r1", C.vmf_kappa(F.col("r0"), 64).alias("kappa0"), C.vmf_kappa(F.col("r1"), 64).alias("kappa1"))
+    return k.withColumn("lam", F.col("kappa0") / F.col("kappa1"))
 
 
 _U = lambda seed: f"(({draw(seed, 'p', 'i')}) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
@@ -259,6 +292,51 @@ def _(spark, d):
     return out.withColumn("bound", F.round(C.levy_bound(dim, F.col("t")), 9))
 
 
+N_DIRECTIONS, TAILS = 32, (0.05, 0.1, 0.15, 0.2)
+_LEVY = f"""gauss AS (SELECT p, i, sqrt(-2 * ln({_U(1)})) * cos(2 * pi() * ({_U(2)})) AS z FROM range({N_DIRECTIONS}) a(p), range(64) b(i)),
+  direction AS (SELECT p, list(z ORDER BY i) AS z, sqrt(sum(z * z)) AS len FROM gauss GROUP BY p),
+  inner_ AS (SELECT list_inner_product(embedding::DOUBLE[], z) / len / sqrt({dot('embedding', 'embedding')}) AS c FROM embeddings, direction),
+  levy AS (SELECT t, avg((c > t)::INT) AS tail, exp(-64 * t * t / 2) AS bound FROM inner_, (SELECT unnest({list(TAILS)}::DOUBLE[]) AS t) GROUP BY t)"""
+
+
+@query("op074_levy_directions", f"WITH {_LEVY} SELECT t, round(tail, 6) AS tail, round(bound, 6) AS bound, round(tail / bound, 6) AS ratio, tail <= bound AS holds FROM levy")
+def _(spark, d):
+    """All embeddings against random directions."""
+    return _r6(_levy(spark, d), "tail", "bound", "ratio")
+
+
+def _levy(spark, d):
+    rows = spark.range(N_DIRECTIONS * 64).select((F.col("id") / 64).cast("long").alias("p"), (F.col("id") % 64).alias("i"))
+    u = lambda seed: (C.hash_key(seed, F.col("p"), F.col("i")).cast("double") + 0.5) / 4294967296.0
+    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))
+    drawn = rows.select("p", "i", z.alias("z")).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("i", "z"))).alias("zs"))
+    directions = drawn.select(V.normalized(F.transform("zs", lambda x: x["z"])).alias("v"))
+    unit = FX.table(spark, d, "embeddings").select(V.normalized(F.transform("embedding", lambda x: x.cast("double"))).alias("u"))
+    return C.levy_check(unit, directions, 64, list(TAILS))
+
+
+EPSILONS, TURNS = (0.01, 0.05, 0.1, 0.2), 20
+_LIPSCHITZ = f"""turned AS (SELECT span_id, image_id, embedding, epsilon, list_transform(range(0, 64), lambda k: sin(k * 12.9898::DOUBLE + span_id + 977 * turn)) AS z
+    FROM spans, (SELECT unnest({list(EPSILONS)}::DOUBLE[]) AS epsilon), range({TURNS}) t(turn)),
+  pushed AS (SELECT span_id, image_id, epsilon, list_transform(range(1, 65), lambda k: embedding[k]::DOUBLE + epsilon * z[k] / sqrt(list_inner_product(z, z))) AS v FROM turned),
+  own AS (SELECT span_id, s_inst - 0.5::DOUBLE * {dot('s.embedding', 'i.embedding')} AS risk FROM scored s JOIN images i USING (image_id)),
+  near_ AS (SELECT rid, list(rid) AS g, any_value(embedding)::DOUBLE[] AS embedding FROM bank GROUP BY rid),
+  after_ AS (SELECT p.span_id, epsilon, v, (SELECT max(list_inner_product(v, n.embedding)) FROM near_ n) / sqrt(list_inner_product(v, v))
+    - 0.5::DOUBLE * list_inner_product(v, i.embedding::DOUBLE[]) / sqrt(list_inner_product(v, v)) AS risk FROM pushed p JOIN images i USING (image_id)),
+  lipschitz AS (SELECT epsilon, max(abs(a.risk - o.risk)) AS worst, 1.5::DOUBLE * epsilon AS bound FROM after_ a JOIN own o USING (span_id) GROUP BY epsilon)"""
+
+
+def _lipschitz(spark, d):
+    risk = lambda s: detect.with_risk(detect.score(s, FX.bank(spark, d), "arrow"), FX.images(spark, d), 0.5, floor=None)
+    return C.lipschitz_check(FX.spans(spark, d).select("span_id", "image_id", "embedding"), risk, list(EPSILONS), 0.5, TURNS)
+
+
+@query("op075_lipschitz_norms", f"{WITH_RISK}, {_LIPSCHITZ} SELECT epsilon, round(worst, 6) AS worst, round(bound, 6) AS bound, round(worst / bound, 6) AS ratio, worst <= bound + 1e-6 AS holds FROM lipschitz")
+def _(spark, d):
+    """All spans, pushed to four distances."""
+    return _r6(_lipschitz(spark, d), "worst", "bound", "ratio")
+
+
 _MOVED = f"""{WITH_RISK}, noisy AS (SELECT span_id, image_id, embedding, list_transform(range(0, 64), lambda k: sin(k * 12.9898::DOUBLE + span_id)) AS z FROM spans),
   moved AS (SELECT span_id, image_id, list_transform(range(1, 65), lambda k: embedding[k]::DOUBLE + 0.05::DOUBLE * z[k] / sqrt(list_inner_product(z, z))) AS embedding FROM noisy),
   best AS (SELECT span_id, m.image_id, m.embedding, max({dot('m.embedding', 'b.embedding')}) AS s_inst FROM moved m, bank b GROUP BY ALL),
@@ -278,10 +356,21 @@ def _(spark, d):
     return both.agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("most")).withColumn("bound", F.lit(1.5 * eps))
 
 
-@query("op076_dkw_beta_bounds", f"{_SPLITS} SELECT round(avg(CASE WHEN abs(fpr - 0.1::DOUBLE) > 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS tail, round(2 * exp(-2.0::DOUBLE * 20 * 0.05::DOUBLE * 0.05::DOUBLE), 6) AS dkw, round(sqrt(0.09::DOUBLE / 20), 6) AS beta_sd FROM f")
+N_REPEATS = 500
+_DKW = f"{WITH_RISK}, pool AS (SELECT risk AS x FROM risk), {splits_sql('pool', 50, N_REPEATS, [0.1], 80)}"
+_DKW_ROW = """SELECT alpha, avg(fpr) AS mean, stddev_pop(fpr) AS sd, sqrt(alpha * (1 - alpha) / 50.0::DOUBLE) AS beta_sd, 2 * exp(-2.0::DOUBLE * 50 * 0.05::DOUBLE * 0.05::DOUBLE) AS dkw_bound,
+  avg((abs(fpr - alpha) > 0.05::DOUBLE + 2.0::DOUBLE / 50)::INT) AS excess FROM f GROUP BY alpha"""
+
+
+@query("op076_dkw_beta_bounds", f"{_DKW}, k AS ({_DKW_ROW}) SELECT alpha, round(mean, 6) AS mean, round(sd, 6) AS sd, round(beta_sd, 6) AS beta_sd, round(dkw_bound, 6) AS dkw_bound, round(excess, 6) AS excess, excess <= dkw_bound + 0.05::DOUBLE AS dkw_holds FROM k")
 def _(spark, d):
-    tail = _splits(spark, d).agg(F.avg((F.abs(F.col("fpr") - 0.1) > 0.05).cast("double")).alias("tail"))
-    return _r6(tail.withColumns({"dkw": C.dkw_bound(F.lit(20), 0.05), "beta_sd": C.beta_sd(0.1, F.lit(20))}), "tail", "dkw", "beta_sd")
+    """500 splits into a calibration part and a test part of given sizes."""
+    return _r6(_concentration(spark, d), "mean", "sd", "beta_sd", "dkw_bound", "excess")
+
+
+def _concentration(spark, d):
+    fprs = C.resplit(_risk(spark, d).select("risk"), "risk", 50, [0.1], N_REPEATS, n_test=80)
+    return C.concentration(fprs, 50)
 
 
 @query("op078_retention", f"{REC}, r AS (SELECT category, avg(judged_correct) FILTER (variant = 'base') AS base, avg(judged_correct) FILTER (variant = 'defended_control') AS control FROM rec GROUP BY category) SELECT category, round(control / nullif(base, 0), 6) AS retention FROM r")
@@ -302,9 +391,9 @@ def _(spark, d):
     return _r6(M.histogram(rows, "s_inst", [i / 20 for i in range(21)]), "density")
 
 
-@query("op081_fpr_histogram", f"{_SPLITS}, g AS (SELECT least(CAST(floor(fpr / (1.0::DOUBLE / 25)) AS INT), 24) AS bin FROM f) SELECT bin, count(*) AS count, round(count(*) / (sum(count(*)) OVER () * 0.04), 6) AS density FROM g GROUP BY bin")
+@query("op081_fpr_histogram", f"{_SPLITS}, g AS (SELECT least(CAST(floor(fpr / (1.0::DOUBLE / 25)) AS INT), 24) AS bin FROM f WHERE alpha = 0.1) SELECT bin, count(*) AS count, round(count(*) / (sum(count(*)) OVER () * 0.04), 6) AS density FROM g GROUP BY bin")
 def _(spark, d):
-    return _r6(M.histogram(_splits(spark, d), "fpr", [i / 25 for i in range(26)]), "density")
+    return _r6(M.histogram(_splits(spark, d).where("alpha = 0.1"), "fpr", [i / 25 for i in range(26)]), "density")
 
 
 # ---- scalar functions ----------------------------------------------------

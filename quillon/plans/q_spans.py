@@ -17,7 +17,10 @@ from quillon.plans.base import (
     BOXES, IMAGES, LINES, REGIONS, SPANS, WINDOWS, WITH_CANDIDATES, WITH_RISK, WORDS, dot, norm, paired_sql, poisson_sql, query,
     records,
 )
-from quillon.plans.q_metrics import _MAX, REC, _max, _r6, _roc, _roc_sql, _splits, _SPLITS, _tau
+from quillon.plans.q_metrics import (
+    _concentration, _DKW, _DKW_ROW, _levy, _LEVY, _lipschitz, _LIPSCHITZ, _max, _MAX, _r6, _roc, _roc_sql, _splits, _SPLITS, _tau, _vmf,
+    ALPHAS, N_CAL, N_SPLITS, REC,
+)
 from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 from quillon.sources import sinks
@@ -91,7 +94,14 @@ def _(spark, d):
 @query("op093_running_best", "SELECT event_id, user_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
 def _(spark, d):
     rows = FX.table(spark, d, "events").select("event_id", "user_id", "value")
-    return compare.running_best(rows, "user_id", "event_id", "value").select("event_id", "user_id", "best")
+    return compare.running_best(rows, ["user_id"], "event_id", "value").select("event_id", "user_id", "best")
+
+
+@query("op093_loss_history", "SELECT event_id, min(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
+def _(spark, d):
+    """All events as one series, as the history of one search is."""
+    rows = FX.table(spark, d, "events").select("event_id", "value")
+    return compare.running_best(rows, [], "event_id", "value").select("event_id", "best")
 
 
 @query("op112_span_text", f"WITH {LINES} SELECT image_id, line_id, md5(string_agg(text, ' ' ORDER BY top, left_, ord)) AS digest FROM lines GROUP BY ALL")
@@ -309,12 +319,31 @@ def _(spark, d):
     return _r6(report.seeds(rows, "unsafe"), "mean", "sd")
 
 
-@query("op143_conformal_report", f"{_SPLITS}, {_tau(0.1)} SELECT 'single' AS view, round(avg(CASE WHEN max_risk >= tau.tau THEN 1.0::DOUBLE ELSE 0 END), 6) AS fpr FROM mx, tau WHERE image_id >= 25 UNION ALL SELECT 'resplit', round(avg(fpr), 6) FROM f")
+_SETTINGS = [("m31", 0.05, 0.5), ("m37", 0.1, 0.25), ("m41", 0.2, 1.0), ("m43", 0.2, 0.03)]
+_SETTING_ROWS = f"settings AS (SELECT * FROM (VALUES {', '.join(f'({r!r}, {a!r}::DOUBLE, {lam!r}::DOUBLE)' for r, a, lam in _SETTINGS)}) t(run, alpha, lam))"
+_REPORT = REPORT_RUNS.replace("WITH ", "", 1)
+_TAUS = "taus AS (SELECT alpha, n, v[CAST(greatest(least(ceil((n + 1) * (1.0::DOUBLE - alpha)) - 1, n - 1), 0) AS BIGINT) + 1] AS tau FROM (SELECT count(*) AS n, list(max_risk ORDER BY max_risk) AS v FROM mx WHERE image_id < 25), (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS alpha))"
+
+
+def _settings(spark, calibration):
+    """Runs with alpha and lambda; their tau is that of the calibration images."""
+    rows = spark.createDataFrame(_SETTINGS, "run string, alpha double, lam double")
+    taus = C.thresholds(calibration, "max_risk", list(ALPHAS))
+    return rows.join(taus, "alpha").select("run", "alpha", "lam", "tau", F.when(F.col("run") != "m37", C.bound(0.0, F.col("n")) + F.col("alpha")).alias("bound"))
+
+
+@query("op143_conformal_report", f"""{_SPLITS}, {_REPORT}, {_SETTING_ROWS}, {_TAUS},
+  clean AS (SELECT run, avg(firewall_flagged) AS fpr FROM reported WHERE variant = 'defended_control' GROUP BY run),
+  views AS (SELECT 'transformed' AS view, run AS name, alpha, tau, fpr, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, alpha + CASE WHEN run = 'm37' THEN 1.0::DOUBLE / 101 ELSE 1.0::DOUBLE / (n + 1) END AS bound FROM settings JOIN taus USING (alpha) JOIN clean USING (run)
+  UNION ALL SELECT 'single', NULL, alpha, tau, avg((max_risk >= tau)::INT), NULL, NULL, any_value(alpha + 1.0::DOUBLE / (n + 1)) FROM mx, taus WHERE image_id >= 25 GROUP BY alpha, tau
+  UNION ALL SELECT 'resplit', NULL, alpha, NULL, avg(fpr), quantile_cont(fpr, 0.025), quantile_cont(fpr, 0.975), alpha + 1.0::DOUBLE / {N_CAL + 1} FROM f GROUP BY alpha)
+  SELECT view, name, alpha, round(tau, 6) AS tau, round(fpr, 6) AS fpr, round(lo, 6) AS lo, round(hi, 6) AS hi, round(bound, 6) AS bound, fpr <= bound AS within FROM views""")
 def _(spark, d):
-    rows = _max(spark, d)
-    one = C.false_positives(rows.where("image_id >= 25"), "max_risk", C.threshold(rows.where("image_id < 25"), "max_risk", 0.1), 0.1)
-    many = C.resplit_summary(_splits(spark, d), 0.1)
-    return one.select(F.lit("single").alias("view"), F.round("fpr", 6).alias("fpr")).union(many.select(F.lit("resplit"), F.round("mean_fpr", 6)))
+    rows = sinks.saved(_max(spark, d))  # scored once for all views
+    cal, test = rows.where("image_id < 25"), rows.where("image_id >= 25")
+    splits = C.resplit(rows, "max_risk", N_CAL, list(ALPHAS), N_SPLITS)
+    out = report.conformal_report(_settings(spark, cal), _report_runs(spark, d), cal, test, "max_risk", splits, N_CAL)
+    return _r6(out, "tau", "fpr", "lo", "hi", "bound")
 
 
 @query("op144_ablation_table", f"{RUNS}, s AS (SELECT run, avg(is_unsafe) AS unsafe, avg(firewall_flagged) AS flag FROM runs WHERE variant = 'defended_attack' GROUP BY run) SELECT n AS run, round(unsafe, 6) AS unsafe, round(flag, 6) AS flag, round(0.1958::DOUBLE - unsafe, 6) AS delta, CASE WHEN unsafe IS NULL THEN 'missing' ELSE 'ok' END AS state FROM (VALUES ('m31'), ('m37'), ('m41')) x(n) LEFT JOIN s ON n = run")
@@ -339,13 +368,48 @@ def _(spark, d):
     return _roc(spark, d, "s_inst")
 
 
-@query("op148_theorem_bundle", f"{_SPLITS} SELECT 'dkw' AS name, round(2 * exp(-2.0::DOUBLE * 20 * 0.0025::DOUBLE), 6) AS value UNION ALL SELECT 'mean_fpr', round(avg(fpr), 6) FROM f UNION ALL SELECT 'sd_fpr', round(stddev_pop(fpr), 6) FROM f")
+_LONG = lambda part, key, source: (
+    f"SELECT '{part}' AS part, CAST(k_ AS VARCHAR) AS key, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT {key} AS k_, {source}) ON COLUMNS(* EXCLUDE (k_)) INTO NAME metric VALUE value)"
+)
+_DBL = lambda *names: ", ".join(f"CAST({n} AS DOUBLE) AS {n.rpartition(' AS ')[2]}" for n in names)
+
+
+@query("op148_theorem_bundle", f"""{_DKW}, {_LEVY}, {_LIPSCHITZ}, dkw AS ({_DKW_ROW}),
+  align AS (SELECT avg({dot('s.embedding', 'i.embedding')}) AS r0, avg(s_inst) AS r1, count(*) AS n_spans FROM scored s JOIN images i USING (image_id)),
+  clamped AS (SELECT *, greatest(least(r0, 0.99::DOUBLE), 0.01::DOUBLE) AS c0, greatest(least(r1, 0.99::DOUBLE), 0.01::DOUBLE) AS c1 FROM align),
+  vmf AS (SELECT n_spans, r0, r1, c0 * (64 - c0 * c0) / (1 - c0 * c0) AS kappa0, c1 * (64 - c1 * c1) / (1 - c1 * c1) AS kappa1 FROM clamped)
+  {_LONG('levy', 't', _DBL('tail', 'bound') + ', tail / bound AS ratio, CAST(tail <= bound AS DOUBLE) AS holds FROM levy')}
+  UNION ALL {_LONG('lipschitz', 'epsilon', _DBL('worst', 'bound') + ', worst / bound AS ratio, CAST(worst <= bound + 1e-6 AS DOUBLE) AS holds FROM lipschitz')}
+  UNION ALL {_LONG('dkw', 'alpha', _DBL('mean', 'sd', 'beta_sd', 'dkw_bound', 'excess') + ', CAST(excess <= dkw_bound + 0.05::DOUBLE AS DOUBLE) AS dkw_holds FROM dkw')}
+  UNION ALL {_LONG('vmf', "'all'", _DBL('n_spans', 'r0', 'r1', 'kappa0', 'kappa1') + ', kappa0 / kappa1 AS lam FROM vmf')}""")
+def _(spark, d):
+    vmf = _vmf(spark, d).withColumn("of", F.lit("all"))
+    parts = {"levy": ("t", _levy(spark, d)), "lipschitz": ("epsilon", _lipschitz(spark, d)), "dkw": ("alpha", _concentration(spark, d)), "vmf": ("of", vmf)}
+    return _r6(report.bundle(parts), "value")
+
+
+_RATES = ", ".join(f"avg({c}) FILTER (variant = '{v}') AS {n}" for n, c, v in (("clean_flag", "firewall_flagged", "defended_control"), ("attack_flag", "firewall_flagged", "defended_attack"), ("unsafe_defended", "is_unsafe", "defended_attack")))
+
+
+@query("op149_plot_data", f"""{_SPLITS}, {_REPORT}, {_SETTING_ROWS}, rates AS (SELECT run, {_RATES} FROM reported GROUP BY run), shown AS (SELECT * FROM settings JOIN rates USING (run)),
+  ends AS (SELECT alpha, min(fpr) AS first, max(fpr) AS last, avg(fpr) AS mean_fpr, quantile_cont(fpr, 0.025) AS lo, quantile_cont(fpr, 0.975) AS hi, alpha + 1.0::DOUBLE / {N_CAL + 1} AS bound FROM f GROUP BY alpha),
+  bins AS (SELECT alpha, CAST(least(floor((fpr - first) / (last - first) * 25), 24) AS INT) AS bin, count(*) AS n FROM f JOIN ends USING (alpha) GROUP BY ALL),
+  cats AS (SELECT category, avg(is_unsafe) FILTER (variant = 'attacked') AS attacked_unsafe, avg(is_unsafe) FILTER (variant = 'defended_attack') AS defended_unsafe FROM reported WHERE coalesce(category, '') <> '' GROUP BY category),
+  falls AS (SELECT *, attacked_unsafe - defended_unsafe AS reduction, row_number() OVER (ORDER BY attacked_unsafe - defended_unsafe, category) AS place FROM cats WHERE attacked_unsafe IS NOT NULL AND defended_unsafe IS NOT NULL),
+  points(plot, key, metric, value) AS (
+  {' UNION ALL '.join(f"SELECT 'alpha_dial', CAST(alpha AS VARCHAR), '{m}', {m} FROM shown" for m in ('clean_flag', 'attack_flag', 'unsafe_defended'))}
+  UNION ALL SELECT 'alpha_dial', CAST(alpha AS VARCHAR), 'bound', alpha + 1.0::DOUBLE / {N_CAL + 1} FROM shown
+  UNION ALL {' UNION ALL '.join(f"SELECT 'lambda_sweep', lam || ' at ' || alpha, '{m}', {m} FROM shown" for m in ('clean_flag', 'attack_flag', 'unsafe_defended'))}
+  UNION ALL {' UNION ALL '.join(f"SELECT 'resplit', CAST(alpha AS VARCHAR), '{m}', {m} FROM ends" for m in ('mean_fpr', 'lo', 'hi', 'bound', 'first', 'last'))}
+  UNION ALL SELECT 'resplit', CAST(alpha AS VARCHAR), printf('bin_%02d', bin), n::DOUBLE FROM bins
+  UNION ALL {' UNION ALL '.join(f"SELECT 'category', category, '{m}', {m}::DOUBLE FROM falls" for m in ('attacked_unsafe', 'defended_unsafe', 'reduction', 'place'))})
+  SELECT plot, key, metric, round(value, 6) AS value FROM points""")
 def _(spark, d):
-    s = C.resplit_summary(_splits(spark, d), 0.1).select(C.dkw_bound(F.lit(20), 0.05).alias("dkw"), "mean_fpr", F.col("sd").alias("sd_fpr"))
-    return _r6(s.unpivot([], ["dkw", "mean_fpr", "sd_fpr"], "name", "value"), "value")
+    settings = spark.createDataFrame(_SETTINGS, "run string, alpha double, lam double")
+    return _r6(report.plot_data(settings, _report_runs(spark, d), _splits(spark, d), N_CAL), "value")
 
 
-@query("op149_plot_data", f"{RUNS} SELECT 'variant' AS dim, variant AS key, 'unsafe_rate' AS metric, round(avg(is_unsafe), 6) AS value FROM runs GROUP BY variant")
+@query("op149_variant_rates", f"{RUNS} SELECT 'variant' AS dim, variant AS key, 'unsafe_rate' AS metric, round(avg(is_unsafe), 6) AS value FROM runs GROUP BY variant")
 def _(spark, d):
     s = M.summary(_runs(spark, d), "variant").select("variant", "unsafe_rate")
     return _r6(report.long(s, "variant"), "value")

@@ -17,13 +17,26 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, nested) else F.col(c) for c in df.columns])
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where none is named, only a single JVM may use a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where none is named, only a single JVM may use a local folder."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or os.path.join(tempfile.gettempdir(), 'scratch')}/{uuid.uuid4().hex}"
+    return named or os.path.join(tempfile.gettempdir(), "scratch")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 #: Transforms that previews are kept of.

@@ -16,6 +16,7 @@ from quillon.functions import vectors as V
 from quillon.operators import calibrate as C
 from quillon.operators import compare, detect, grid, plugins, report, run
 from quillon.operators import metrics as M
+from quillon.operators import prefix
 from quillon.operators import resample as R
 from quillon.operators import spans as S
 from quillon.sources import images, manifest, sinks
@@ -211,6 +212,92 @@ def test_known_figures(spark):
     assert r.levy == pytest.approx(0.0031511, abs=1e-7) and r.dkw == pytest.approx(1.2130613) and r.sd == pytest.approx(0.03)
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_order_statistics_under_skew(spark, levels):
+    """One value of 1e12 among 200,000, a value that half of the rows have, and a group of its own: exact, in even slices."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.random(99_999), [1e12], np.full(100_000, 0.25)])
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 7.0), (None, None), (None, 2.0)], "g string, x double").repartition(8)
+    ranks = {"low": F.lit(0), "middle": F.floor(F.col("n") / 2), "high": F.col("n") - 1}
+    got = {r.g: r for r in C.ranked_values(df, ["g"], "x", ranks, levels).collect()}
+    x = np.sort(x)
+    assert (got["a"].n, got["a"].low, got["a"].middle, got["a"].high) == (200_000, x[0], x[100_000], 1e12)
+    assert (got["b"].middle, got[None].n, got[None].high) == (7.0, 1, 2.0)
+    counted = df.where("g = 'a'").groupBy("g", "x").count()
+    sizes = [r["count"] for r in C.sliced(counted, ["g"]).groupBy("slice").count().collect()]
+    assert len(sizes) == C.SLICES and max(sizes) <= 2 * 100_001 / C.SLICES
+    assert C.levels_for(10) == 1 and C.levels_for(C.SORTED * C.SLICES + 1) == 2
+
+
+def test_prefix_scans(spark):
+    """Sums and minima against loops, with null groups and nulls, one long series over several tasks, and ties of range ends."""
+    rng = np.random.default_rng(8)
+    rows = [(("u", "v", None)[int(k)], i, None if rng.random() < 0.1 else int(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 3000), rng.integers(-50, 50, 3000)))]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "g string, t long, x long").repartition(5)
+    state, want = {}, {}
+    for g, t, x in rows:
+        total, least = state.get(g, (0, None))
+        total, least = total + (x or 0), least if x is None else x if least is None else min(least, x)
+        state[g] = want[t] = total, least
+    sums = {r.t: r.s for r in prefix.running(df, ["t"], "x", "s", "sum", ["g"]).collect()}
+    mins = {r.t: r.best for r in compare.running_best(df, ["g"], "t", "x").collect()}
+    assert {t: (sums[t], mins[t]) for t in sums} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    one = prefix.running(df, ["t"], "x", "s", "sum")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert one.rdd.getNumPartitions() >= 2  # one series, several tasks
+    parts = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= 3 and max(parts) < 2000
+    total, xs = 0, {}
+    for _, t, x in rows:
+        total += x or 0
+        xs[t] = total
+    assert {r.t: r.s for r in one.collect()} == xs
+    assert sorted((r["index"], r.t) for r in prefix.numbered(df, ["t"]).collect()) == [(i, i) for i in range(3000)]
+    assert prefix.numbered(df.where("t < 0"), ["t"]).count() == 0
+    assert prefix.numbered(df.where("t = 7"), ["t"]).first().asDict().keys() == {"g", "t", "x", "index"}
+
+
+def test_resplits_agree_with_permutations(spark):
+    """Drawn ranks give the thresholds and shares of their own split exactly, and the distribution that permuting rows gives."""
+    rng = np.random.default_rng(2)
+    pool = np.round(rng.random(120), 2)  # with ties
+    df = spark.createDataFrame([(float(v),) for v in pool] + [(None,)], "x double").repartition(5)
+    for n_cal, n_test in ((30, None), (30, 40), (100, None)):
+        got = C.resplit(df, "x", n_cal, [0.1, 0.3], 400, n_test).collect()
+        assert len(got) == 800
+        x = np.sort(pool)
+        counters, others = C._counters(np.arange(400), 7)
+        for r in got:
+            cal, test = C.split_ranks(counters[r.b], others[r.b], n_cal, n_test, 120)
+            rest = np.setdiff1d(np.arange(120), cal) if test is None else test
+            k = min(int(np.ceil((n_cal + 1) * (1 - r.alpha))) - 1, n_cal - 1)
+            assert len(set(cal)) == n_cal and r.tau == x[cal[k]] and r.fpr == pytest.approx((x[rest] >= r.tau).mean())
+        shares = []
+        for _ in range(4000):
+            p = rng.permutation(pool)
+            tau = np.sort(p[:n_cal])[min(int(np.ceil((n_cal + 1) * 0.9)) - 1, n_cal - 1)]
+            shares.append((p[n_cal : n_cal + n_test if n_test else None] >= tau).mean())
+        mine = [r.fpr for r in got if r.alpha == 0.1]
+        assert np.mean(mine) == pytest.approx(np.mean(shares), abs=4 * np.std(shares) / 20)
+        assert np.quantile(mine, [0.1, 0.9]) == pytest.approx(np.quantile(shares, [0.1, 0.9]), abs=0.03)
+    whole = C.resplit(df, "x", 120, [0.1], 3).collect()
+    assert {r.fpr for r in whole} == {None}
+    s = {r.alpha: r for r in C.resplit_summary(C.resplit(df, "x", 30, [0.1], 200), 30).collect()}
+    assert s[0.1].n == 200 and s[0.1].bound == pytest.approx(0.1 + 1 / 31)
+
+
+def test_draws_are_uniform():
+    counters, others = C._counters(np.arange(3000), 1)
+    seen = np.zeros(40)
+    for c, o in zip(counters, others):
+        drawn = C.drawn_ranks(c, o, 10, 40)
+        assert len(set(drawn)) == 10
+        seen[drawn] += 1
+    assert abs(seen / 3000 - 0.25).max() < 0.04
+    assert C.drawn_ranks(counters[0], others[0], 3, 10**12).max() < 10**12
+
+
 def test_roc_handles_empty_denominators(spark):
     df = spark.createDataFrame([(0.5, 1), (0.4, 0)], "score double, positive int")
     rows = {r.tau: r for r in C.roc(df, [0.4, 0.5, 9.0]).collect()}
@@ -451,9 +538,8 @@ def test_limits_are_checked(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_SAMPLE", 10)
     with pytest.raises(ValueError, match="poisson"):
         R.replicates(df, ["k"], "x", 5)
-    monkeypatch.setattr(C, "MAX_POOL", 10)
-    with pytest.raises(ValueError, match="too large"):
-        C.resplit(df, "k", "x", 5, 0.1, 3)
+    with pytest.raises(ValueError, match="25 values are needed"):
+        C.resplit(df, "x", 20, [0.1], 3, n_test=5)
     bank = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "rid int, embedding array<double>")
     monkeypatch.setattr(detect, "MAX_BANK", 10)
     with pytest.raises(Exception, match="more than 10 vectors"):
