@@ -13,6 +13,7 @@ from quillon.operators import grid
 from quillon.operators import metrics as M
 from quillon.sources import manifest, sinks
 from quillon.sources.manifest import RunConfig
+from quillon.sources.samples import samples as read_samples
 
 CELL = ("sample_id", "variant", "transform")
 
@@ -76,11 +77,7 @@ def run(
     verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Reads the manifest, makes the records and writes them with their summary."""
-    raw = manifest.read(spark, config.manifest_path)
-    if "ord" not in raw.columns:
-        raw = raw.withColumn("ord", F.monotonically_increasing_id())
-    place = config.manifest_path.rpartition("/")[0] or "."
-    samples = manifest.normalise(raw, place, config.image_root, condition_text="Reply with only {}.")
+    samples = read_samples(spark, config.manifest_path, config.image_root, config.limit)
     samples = samples.withColumn("attack_text", F.coalesce("attack_text", F.lit(config.default_attack_text)))
     return write(records(samples, config, responses, detections, verdicts), config)
 

@@ -9,7 +9,7 @@ from quillon.functions import vectors as V
 from quillon.operators import compare, detect, grid
 from quillon.plans.base import BANK, IMAGES, SPANS, TRANSFORM_ROWS, WITH_RISK, dot, draw, norm, query, records
 from quillon.sources import fixtures as FX
-from quillon.sources import manifest, sinks
+from quillon.sources import files, manifest, samples, sinks
 
 
 def _lines(spark, d):
@@ -26,12 +26,24 @@ def _(spark, d):
 
 @query("op002_json_data_scan", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def _(spark, d):
+    """Documents with a list under "data" beside other keys."""
     path = f"{sinks.scratch_folder(spark)}/customers.json"
-    docs = FX.table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("data"))).alias("value"))
+    listed = F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    docs = FX.table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit(1).alias("version"), listed.alias("data"), F.lit("x").alias("origin"))).alias("value"))
     docs.select("value").write.option("maxRecordsPerFile", 1).text(path)  # one document a file
     return manifest.read(spark, path).select("id", "name")
 
 
+@query("op002_json_list_scan", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey AS id, p_name AS name FROM part")
+def _(spark, d):
+    """One document that is a list; records keep its order."""
+    path = f"{sinks.scratch_folder(spark)}/parts.json"
+    listed = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))))
+    FX.table(spark, d, "part").agg(F.to_json(listed).alias("value")).coalesce(1).write.text(path)
+    rows = files.records(spark, path)
+    return rows.select(F.col("index").alias("place"), F.expr("variant_get(record, '$.id', 'bigint')").alias("id"), F.expr("variant_get(record, '$.name', 'string')").alias("name"))
+
+
 @query("op003_parquet_scan", "SELECT item_id, text FROM benchmark")
 def _(spark, d):
     return manifest.read(spark, f"{d}/benchmark.parquet").select("item_id", "text")
@@ -68,6 +80,45 @@ def _(spark, d):
     return manifest.normalise(_manifest(spark, d), "/data").select("sample_id", "image_path", "prompt", "answer", "task_type", "category")
 
 
+def _manifest_lines(spark, d):
+    """The manifest as JSON lines in four files or more: choices are a list, an object, text or missing, D is a truth value."""
+    m = _manifest(spark, d)
+    rest = F.to_json(F.struct(*[c for c in m.columns if c not in ("ord", "choices")], F.when(F.col("ord") % 11 == 0, F.lit(True)).alias("D")))
+    line = F.concat(F.expr("left(rest, length(rest) - 1)"), F.coalesce(F.concat(F.lit(',"choices":'), F.col("choices")), F.lit("")), F.lit("}"))
+    rows = m.withColumn("rest", rest).repartitionByRange(4, "ord").sortWithinPartitions("ord")
+    path = f"{sinks.scratch_folder(spark)}/manifest.jsonl"
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+_FILE_CHOICES = _CHOICES.replace("END], lambda x", "END, CASE WHEN item_id % 11 = 0 THEN 'D. True' END], lambda x")
+_FILE_PROMPT, _FILE_TARGET = _PROMPT.replace(_CHOICES, _FILE_CHOICES), _TARGET.replace(_CHOICES, _FILE_CHOICES)
+
+
+@query("op005_manifest_files", f"""SELECT place AS index, CASE WHEN item_id % 3 <> 0 THEN CAST(item_id AS VARCHAR) ELSE 'sample_' || lpad(CAST(place AS VARCHAR), 5, '0') END AS sample_id,
+  CASE WHEN item_id % 2 = 0 THEN '/abs/' ELSE '/data/rel/' END || item_id || '.png' AS image_path, {_FILE_PROMPT} AS prompt, {_ANSWER} AS answer, array_to_string({_FILE_CHOICES}, '/') AS choices,
+  {_FILE_TARGET} AS attack_target, 'Reply with only ' || {_FILE_TARGET} || '.' AS attack_text, CASE WHEN len({_FILE_CHOICES}) > 0 THEN 'mcq' ELSE 'open' END AS task_type,
+  CASE WHEN item_id % 6 <> 0 THEN 'cat' END AS category, CAST(item_id * 2 AS VARCHAR) AS extra, {_FILE_TARGET} AS meta_target, CASE WHEN item_id % 4 = 0 THEN 'look twice' END AS meta_hint
+  FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark)""")
+def _(spark, d):
+    """Real files through VARIANT: keys of mixed types, a gapless index over several files."""
+    rows = samples.samples(spark, _manifest_lines(spark, d), "/data")
+    meta = lambda key: F.get_json_object("metadata", f"$.{key}")
+    return rows.select(
+        "index", "sample_id", "image_path", "prompt", "answer", F.array_join("choices", "/").alias("choices"), "attack_target", "attack_text", "task_type",
+        "category", meta("extra").alias("extra"), meta("attack_target").alias("meta_target"), meta("hint").alias("meta_hint"),
+    )
+
+
+@query("op005_parquet_index", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS index, 'sample_' || lpad(CAST(row_number() OVER (ORDER BY item_id) - 1 AS VARCHAR), 5, '0') AS sample_id, '/data/' || item_id AS image_path FROM benchmark")
+def _(spark, d):
+    """A Parquet manifest of several files: numbers in file order."""
+    path = f"{sinks.scratch_folder(spark)}/manifest.parquet"
+    rows = FX.table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("image"), F.lit("look").alias("prompt"))
+    rows.repartitionByRange(4, "item_id").sortWithinPartitions("item_id").write.parquet(path)
+    return samples.samples(spark, path, "/data").select("index", "sample_id", "image_path")
+
+
 @query("op006_head_limit", "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 10")
 def _(spark, d):
     return manifest.head(FX.table(spark, d, "benchmark"), "item_id", 10).select("item_id", "text")
@@ -305,9 +356,9 @@ def _(spark, d):
     return compare.with_missing(FX.table(spark, d, "orders").select(F.col("o_orderkey").alias("run")), found)
 
 
-@query("op050_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("op050_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def _(spark, d):
-    done = FX.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = FX.table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return compare.unknown(FX.table(spark, d, "customer").select("c_custkey"), done, "c_custkey")
 
 

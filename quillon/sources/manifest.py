@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as X
+from quillon.sources import files
 
+# The keys of a record that have a meaning of their own.
 LETTERS = ("A", "B", "C", "D", "E")
 KNOWN = {
     "id", "sample_id", "image", "image_path", "img", "prompt", "question", "hint", "answer", "attack_text",
@@ -19,14 +21,11 @@ KNOWN = {
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, JSON (a list, or an object with "data") or Parquet, by the file's ending."""
+    """JSON lines, JSON (a list, or an object with a list under "data") or Parquet, by the file's ending."""
     if path.endswith(".jsonl"):
         return spark.read.json(path)
     if path.endswith(".json"):
-        df = spark.read.option("multiLine", True).json(path)
-        if df.columns == ["data"] and isinstance(df.schema["data"].dataType, T.ArrayType):
-            return df.select(F.explode("data").alias("row")).select("row.*")
-        return df
+        return files.table(spark, path)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"unsupported manifest format: {path}")

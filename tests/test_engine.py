@@ -1,5 +1,6 @@
 """Operators on small tables: edge cases, quirks and properties."""
 
+import json
 import math
 from dataclasses import replace
 from datetime import datetime
@@ -19,7 +20,7 @@ from quillon.operators import metrics as M
 from quillon.operators import prefix
 from quillon.operators import resample as R
 from quillon.operators import spans as S
-from quillon.sources import images, manifest, sinks
+from quillon.sources import files, images, manifest, samples, sinks
 from quillon.streaming import events as E
 
 
@@ -459,6 +460,76 @@ def test_manifests(spark, tmp_path):
         manifest.normalise(bad, "/m").collect()
 
 
+def test_manifest_documents(spark, tmp_path):
+    """Lists, objects with other keys beside the list, records that hold "data" themselves; anything else raises."""
+    (tmp_path / "a.json").write_text('{"version": 1, "data": [{"id": "k", "n": 1, "data": [2]}, {"id": "l"}], "origin": {"x": 1}}')
+    (tmp_path / "b.json").write_text('[{"id": "k", "data": [{"id": 7}]}]')
+    (tmp_path / "c.json").write_text('{"version": 1, "data": {"id": "k"}}')
+    (tmp_path / "d.json").write_text('{"version": 1}')
+    (tmp_path / "e.json").write_text('{"data": []}')
+    a = manifest.read(spark, str(tmp_path / "a.json"))
+    assert set(a.columns) == {"id", "n", "data"} and sorted(a.select("id", "n").collect()) == [("k", 1), ("l", None)]
+    assert [r.id for r in manifest.read(spark, str(tmp_path / "b.json")).collect()] == ["k"]
+    assert manifest.read(spark, str(tmp_path / "e.json")).count() == 0
+    for name in ("c.json", "d.json"):
+        with pytest.raises(Exception, match="no list of records"):
+            manifest.read(spark, str(tmp_path / name))
+    (tmp_path / "f.json").write_text("{broken")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|malformed"):
+        manifest.read(spark, str(tmp_path / "f.json"))
+
+
+def test_samples_of_mixed_records(spark, tmp_path):
+    lines = [
+        {"id": 0, "image": "a.png", "question": "Q?", "A": "x", "B": 2, "C": None, "D": True, "E": 1.0, "answer": "A", "extra": [1, {"z": 2}], "hint": " h "},
+        {"sample_id": "s1", "img": "/abs/b.png", "prompt": " P ", "options": {"B": "two", "A": 1, "C": None}, "category": " c "},
+        {"id": 12, "image": {"path": "q.png"}, "question": "Q2", "choices": ["A) a", 3, None, False], "attack_target": "Z", "flag": True, "task_type": "vqa"},
+        {"image": "", "image_path": "c.png", "prompt": "", "question": "last", "choices": [], "options": "[\"A. x\"]"},
+    ]
+    (tmp_path / "m.jsonl").write_text("\n \n".join(map(json.dumps, lines)))
+    (tmp_path / "m.json").write_text(json.dumps({"n": 4, "data": lines}))
+    got = [r.asDict() for r in samples.samples(spark, str(tmp_path / "m.jsonl"), "/img").orderBy("index").collect()]
+    assert got == [r.asDict() for r in samples.samples(spark, str(tmp_path / "m.json"), "/img").orderBy("index").collect()]
+    assert [r["sample_id"] for r in got] == ["sample_00000", "s1", "12", "sample_00003"]
+    assert [r["image_path"] for r in got] == ["/img/a.png", "/abs/b.png", "/img/q.png", "/img/c.png"]
+    assert [r["choices"] for r in got] == [["A. x", "B. 2", "D. True", "E. 1.0"], ["A. 1", "B. two", "C. None"], ["A) a", "3", "None", "False"], ["A. x"]]
+    assert [r["attack_target"] for r in got] == ["B", "A", "Z", "A"] and [r["task_type"] for r in got] == ["mcq", "mcq", "vqa", "mcq"]
+    assert got[0]["prompt"].startswith("Q?\n\nHint: h\n\nChoices:\nA. x\nB. 2\nD. True\n") and got[1]["category"] == "c"
+    assert json.loads(got[0]["metadata"]) == {"extra": [1, {"z": 2}], "question_text": "Q?", "hint": "h", "attack_target": "B"}
+    assert json.loads(got[2]["metadata"]) == {"flag": True, "question_text": "Q2", "attack_target": "Z"}
+    assert [r.sample_id for r in samples.samples(spark, str(tmp_path / "m.jsonl"), limit=2).orderBy("index").collect()] == ["sample_00000", "s1"]
+    (tmp_path / "bad.jsonl").write_text('{"image": "x", "prompt": "p"}\n{"prompt": "p"}\n{"image": "y"}\n')
+    assert [r["index"] for r in samples.samples(spark, str(tmp_path / "bad.jsonl"), strict=False).collect()] == [0]
+    with pytest.raises(Exception, match="record 1 is missing: image"):
+        samples.samples(spark, str(tmp_path / "bad.jsonl"), limit=2).collect()
+    (tmp_path / "empty.jsonl").write_text(" \n")
+    assert samples.samples(spark, str(tmp_path / "empty.jsonl")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jsonl"])
+def test_records_are_numbered_in_file_order(spark, tmp_path, kind):
+    """Four files whose sizes differ, so that tasks do not read them in the order of their names; small blocks; no gaps."""
+    path = tmp_path / f"m.{kind}"
+    at = 0
+    for i, n in enumerate((3, 500, 1, 60)):
+        rows = spark.range(at, at + n).selectExpr("id as n", "repeat('x', 40) as image", "'p' as prompt").coalesce(1)
+        at += n
+        part = str(tmp_path / f"part{i}")
+        rows.write.parquet(part) if kind == "parquet" else rows.write.json(part)
+        path.mkdir(exist_ok=True)
+        next(p for p in (tmp_path / f"part{i}").iterdir() if p.name.startswith("part-")).rename(path / f"f{i}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = files.records(spark, str(path)).selectExpr("index", "variant_get(record, '$.n', 'bigint') as n").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["index"], r.n) for r in got) == [(i, i) for i in range(564)]
+    config = manifest.RunConfig.of({"manifest_path": str(path), "output_dir": str(tmp_path / "out"), "transforms": ["clean"], "limit": 40})
+    none = spark.createDataFrame([], "sample_id string, variant string, transform string, response string")
+    run.run(spark, config, none)
+    rows = spark.read.json(str(tmp_path / "out" / "records.json")).where("variant = 'attacked'").collect()
+    assert sorted(r.sample_id for r in rows) == [f"sample_{i:05d}" for i in range(40)]
+    assert all(r.attack_position == grid.POSITIONS[int(r.sample_id[-5:]) % 3] for r in rows)
+
+
 def test_choices_of_real_files(spark, tmp_path):
     """Lists, objects, options and columns, each row by its own first that is not empty."""
     lines = [
