@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import affine as A
+
 #: Height of the bands in which boxes of an image are compared.
-BAND = 64
+BAND, COLUMN = 64, 512
 
 
 def reading():
@@ -124,16 +126,34 @@ def consensus(primary: DataFrame, views: DataFrame, least_iou: float = 0.3, leas
     """
     from quillon.functions.vectors import iou
 
-    # boxes that overlap share a band of their image; a pair is met in the first band of both alone
-    def bands(box: str):
-        return F.expr(f"explode(sequence(floor({box}.t / {BAND}), floor({box}.b / {BAND})))")
+    # boxes that overlap share a cell of their image; a pair is met in the first cell of both alone
+    def cells(box: str):
+        return F.expr(
+            f"""explode(flatten(transform(sequence(floor({box}.t / {BAND}), floor({box}.b / {BAND})),
+            y -> transform(sequence(floor({box}.l / {COLUMN}), floor({box}.r / {COLUMN})), x -> struct(y, x)))))"""
+        )
 
-    mine = primary.select("image_id", "box_id", "box", bands("box").alias("band"))
-    other = views.select(F.col("image_id").alias("v_image"), "view", F.col("box").alias("v_box"), bands("box").alias("v_band"))
-    first = F.col("band") == F.floor(F.greatest("box.t", "v_box.t") / BAND)
-    near = mine.join(other, (F.col("image_id") == F.col("v_image")) & (F.col("band") == F.col("v_band"))).where(
-        first & (iou(F.col("box"), F.col("v_box")) >= least_iou)
+    mine = primary.select("image_id", "box_id", "box", cells("box").alias("cell"))
+    other = views.select(F.col("image_id").alias("v_image"), "view", F.col("box").alias("v_box"), cells("box").alias("v_cell"))
+    start = F.struct(F.floor(F.greatest("box.t", "v_box.t") / BAND).alias("y"), F.floor(F.greatest("box.l", "v_box.l") / COLUMN).alias("x"))
+    near = mine.join(other, (F.col("image_id") == F.col("v_image")) & (F.col("cell") == F.col("v_cell"))).where(
+        (F.col("cell") == start) & (iou(F.col("box"), F.col("v_box")) >= least_iou)
     )
     return near.groupBy("image_id", "box_id").agg(F.countDistinct("view").alias("n_views")).where(
         F.col("n_views") >= least_views
     )
+
+
+def consensus_of_transforms(
+    primary: DataFrame, found: DataFrame, least_iou: float = 0.3, least_views: int = 1
+) -> DataFrame:
+    """Primary boxes that boxes found in transformed views confirm: (image_id, box_id, n_views).
+
+    found holds image_id, transforms (the names of a view's chain), width, height of the image, and box in the coordinates of the view, of
+    which the part inside the image is mapped back; a view is a chain of transforms.
+    """
+    width, height = F.col("width"), F.col("height")
+    seen = found.select("image_id", F.array_join("transforms", ">").alias("view"), "transforms", "width", "height", A.once(A.clipped(F.col("box"), width, height)).alias("box"))
+    maps = seen.where("box is not null").withColumn("map", A.once(A.inverse(A.of_chain(F.col("transforms"), width, height))))
+    back = maps.select("image_id", "view", A.once(A.mapped(F.col("map"), F.col("box"))).alias("box"))
+    return consensus(primary, back, least_iou, least_views)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillon.functions import seeds
 from quillon.functions import text as X
 from quillon.operators import calibrate, plugins
-from quillon.plans.base import draw, query
+from quillon.plans.base import WORDS, draw, query
 from quillon.sources import fixtures as FX
-from quillon.sources import images, manifest, sinks
+from quillon.sources import images, manifest, sinks, wordboxes
 
 
 @query("op008_image_headers", "SELECT item_id, 'png' AS format, item_id + 1 AS width, 2 * item_id + 1 AS height FROM benchmark WHERE item_id % 7 NOT IN (3, 5)")
@@ -27,6 +27,78 @@ def _(spark, d):
     return images.decoded(rows).select("item_id", "header.format", "header.width", "header.height")
 
 
+def _word_rows(spark, d):
+    """Words of the pages with what OCR adds: lines that are no words, blank text, boxes that are empty or not numbers."""
+    w = FX.words(spark, d)
+    n = F.expr("image_id + ord")
+    return w.select(
+        "image_id", (F.col("ord") / 1_000_000).cast("int").alias("line"), (F.col("ord") % 1_000_000).alias("spot"), "left", "top", "height", n.alias("n"),
+        F.when(n % 11 == 0, " ").otherwise(F.regexp_replace("text", "[\\t\\r]", "_")).alias("text"),
+        F.when(n % 13 == 0, "0").when(n % 17 == 0, "wide").otherwise(F.col("width").cast("string")).alias("width"),
+    )
+
+
+_KEPT = f"""WITH {WORDS}, kept AS (SELECT *, image_id + ord AS n FROM words WHERE (image_id + ord) % 11 <> 0 AND (image_id + ord) % 13 <> 0 AND (image_id + ord) % 17 <> 0)"""
+_BOXES_READ = "count(*) AS n_words, CAST(sum(left_) AS BIGINT) AS sum_left, CAST(sum(top) AS BIGINT) AS sum_top, CAST(sum(width) AS BIGINT) AS sum_width, CAST(sum(length(trim(text))) AS BIGINT) AS n_chars"
+
+
+def _totals(rows):
+    return rows.groupBy(F.col("page").cast("long").alias("image_id")).agg(
+        F.count("*").alias("n_words"), F.sum(F.col("left").cast("long")).alias("sum_left"), F.sum(F.col("top").cast("long")).alias("sum_top"),
+        F.sum(F.col("width").cast("long")).alias("sum_width"), F.sum(F.length("text").cast("long")).alias("n_chars"),
+    )
+
+
+@query("op036_tsv_files", f"{_KEPT} SELECT image_id, {_BOXES_READ} FROM kept WHERE n % 5 <> 0 GROUP BY image_id")
+def _(spark, d):
+    """TSV files of many pages, written here with a header each and read back."""
+    r = _word_rows(spark, d)
+    rows = r.select(
+        F.when(F.col("n") % 5 == 0, "4").otherwise("5").alias("level"), F.col("image_id").alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"),
+        F.col("line").alias("line_num"), F.col("spot").alias("word_num"), "left", "top", "width", "height", F.lit(91.5).alias("conf"), "text",
+    )
+    path = f"{sinks.scratch_folder(spark)}/words.tsv"
+    rows.write.option("header", True).option("sep", "\t").option("quote", "").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return _totals(wordboxes.read(spark, path, "tsv"))
+
+
+@query("op036_hocr_files", f"{_KEPT} SELECT image_id, {_BOXES_READ} FROM kept GROUP BY image_id")
+def _(spark, d):
+    """hOCR, a document for each page with the page's number in front of its words."""
+    r = _word_rows(spark, d).where("width != 'wide'")
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    right, bottom = F.col("left") + F.col("width").cast("int"), F.col("top") + F.col("height")
+    box = F.concat_ws(" ", F.lit("bbox"), "left", "top", right, bottom)
+    word = F.concat(F.lit("<span class='ocrx_word' title='"), box, F.lit("; x_wconf 91'>"), text, F.lit("</span>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "spot", word.alias("w")))), lambda x: x["w"]), "\n")
+    pages = r.groupBy("image_id").agg(body.alias("body"))
+    number = F.concat(F.lit("<span class='ocrx_word' title='bbox 0 0 1 1'>page "), F.col("image_id").cast("string"), F.lit("</span>"))
+    path = f"{sinks.scratch_folder(spark)}/pages.hocr"
+    pages.select(F.concat(F.lit("<html><div class='ocr_page'>"), number, "body", F.lit("</div></html>"))).write.text(path)
+    rows = wordboxes.read(spark, path, "hocr")
+    marks = rows.where("text like 'page %' and ord = 0").select(F.col("file").alias("m_file"), F.col("page").alias("m_page"), F.substring("text", 6, 20).cast("long").alias("number"))
+    own = rows.where("not (text like 'page %' and ord = 0)").join(marks, (F.col("file") == F.col("m_file")) & (F.col("page") == F.col("m_page")))
+    return _totals(own.drop("page").withColumnRenamed("number", "page"))
+
+
+@query("op037_polygon_files", f"{_KEPT} SELECT image_id, {_BOXES_READ} FROM kept GROUP BY image_id")
+def _(spark, d):
+    """JSON lines of polygons, a record an image; the box around each polygon."""
+    r = _word_rows(spark, d)
+    x, y = F.col("left").cast("string"), F.col("top").cast("string")
+    right = F.when(F.col("width") == "wide", F.lit('"x"')).otherwise((F.col("left") + F.col("width").try_cast("int")).cast("string"))
+    bottom = (F.col("top") + F.col("height")).cast("string")
+    points = F.concat(F.lit("[["), F.concat_ws("],[", *[F.concat_ws(",", a, b) for a, b in ((x, y), (right, y), (right, bottom), (x, bottom))]), F.lit("]]"))
+    result = F.concat(F.lit("["), points, F.lit(","), F.substring_index(F.to_json(F.struct(F.col("text").alias("t"))), '{"t":', -1))
+    closed = F.concat(F.expr("left(res, length(res) - 1)"), F.lit(",0.5]"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "spot", "word"))), lambda w: w["word"]), ",")
+    rows = r.withColumn("res", result).withColumn("word", closed).groupBy("image_id").agg(listed.alias("words"))
+    path = f"{sinks.scratch_folder(spark)}/words.jsonl"
+    rows.select(F.concat(F.lit('{"image":"'), F.col("image_id").cast("string"), F.lit('.png","words":['), "words", F.lit("]}"))).write.text(path)
+    found = wordboxes.read(spark, path, "polygons")
+    return _totals(found.drop("page").withColumn("page", wordboxes.image_of(F.col("file"))))
+
+
 def _encoder():
     return lambda texts: [[float(len(t or "")), float((t or "").count(" "))] for t in texts]
 

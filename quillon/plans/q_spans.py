@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import affine
 from quillon.functions import text as X
 from quillon.functions import vectors as V
 from quillon.operators import calibrate as C
@@ -159,6 +160,60 @@ def _(spark, d):
     return _r6(_boxes(spark, d).select("image_id", "line_id", box.alias("m")).select("image_id", "line_id", "m.l", "m.b"), "l", "b")
 
 
+CHAINS = [[t] for t in affine.TRANSFORMS] + [["crop", "rerender"]]
+_MAPS = {
+    "crop": ("w / floor(w * 0.82::DOUBLE)", "-floor((w - floor(w * 0.82::DOUBLE)) / 2) * w / floor(w * 0.82::DOUBLE)", "h / floor(h * 0.82::DOUBLE)", "-floor((h - floor(h * 0.82::DOUBLE)) / 2) * h / floor(h * 0.82::DOUBLE)"),
+    "rerender": ("w / (w + 52)", "26 * (w / (w + 52))", "h / (h + 92)", "50 * (h / (h + 92))"),
+}
+_ONE = ("1.0::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE", "0.0::DOUBLE")
+_CROPPED = " UNION ALL ".join(
+    [f"SELECT image_id, '{t}' AS view, w, h, {', '.join(f'({x})::DOUBLE AS {n}' for n, x in zip(('sx', 'tx', 'sy', 'ty'), _MAPS.get(t, _ONE)))} FROM page" for t in affine.TRANSFORMS]
+)
+_VIEWS = f"""WITH {BOXES}, page AS (SELECT image_id, max(r)::DOUBLE + 10 AS w, max(b)::DOUBLE + 10 AS h FROM boxes GROUP BY image_id), single AS ({_CROPPED}),
+  maps AS (SELECT * FROM single UNION ALL SELECT c.image_id, 'crop>rerender', c.w, c.h, c.sx * r.sx, c.tx * r.sx + r.tx, c.sy * r.sy, c.ty * r.sy + r.ty
+    FROM single c JOIN single r ON c.image_id = r.image_id AND c.view = 'crop' AND r.view = 'rerender'),
+  there AS (SELECT image_id, line_id, view, w, h, sx, tx, sy, ty, sx * l + tx AS vl, sy * t + ty AS vt, sx * r + tx AS vr, sy * b + ty AS vb, l, t, r, b FROM boxes JOIN maps USING (image_id)),
+  cut AS (SELECT *, greatest(least(vl, w), 0) AS cl, greatest(least(vt, h), 0) AS ct, greatest(least(vr, w), 0) AS cr, greatest(least(vb, h), 0) AS cb FROM there)"""
+
+
+def _sized(spark, d):
+    """Boxes of lines with the size of their image, which ends ten pixels beyond the last of them."""
+    boxes = _boxes(spark, d)
+    own = Window.partitionBy("image_id")
+    return boxes.withColumn("width", F.max("box.r").over(own).cast("double") + 10).withColumn("height", F.max("box.b").over(own).cast("double") + 10)
+
+
+def _in_views(spark, d):
+    chains = F.explode(F.array(*[F.array(*map(F.lit, c)) for c in CHAINS]))
+    rows = _sized(spark, d).withColumn("transforms", chains)
+    return rows.withColumn("map", affine.once(affine.of_chain(F.col("transforms"), F.col("width"), F.col("height"))))
+
+
+@query("op122_all_transforms", f"""{_VIEWS} SELECT image_id, line_id, view, round(cl, 5) AS l, round(ct, 5) AS t, round(cr, 5) AS r, round(cb, 5) AS b,
+  round((cl - tx) / sx, 5) AS back_l, round((cb - ty) / sy, 5) AS back_b FROM cut WHERE cr > cl AND cb > ct""")
+def _(spark, d):
+    """Every box through six transforms and one chain, clipped to the image, and back."""
+    rows = _in_views(spark, d)
+    seen = affine.clipped(affine.mapped(F.col("map"), F.col("box")), F.col("width"), F.col("height"))
+    cut = rows.select("image_id", "line_id", F.array_join("transforms", ">").alias("view"), "map", seen.alias("seen")).where("seen is not null")
+    back = cut.withColumn("back", affine.mapped(affine.inverse(F.col("map")), F.col("seen")))
+    out = back.select("image_id", "line_id", "view", "seen.l", "seen.t", "seen.r", "seen.b", F.col("back.l").alias("back_l"), F.col("back.b").alias("back_b"))
+    return out.select("image_id", "line_id", "view", *[F.round(c, 5).alias(c) for c in ("l", "t", "r", "b", "back_l", "back_b")])
+
+
+@query("op048_transform_consensus", f"""{_VIEWS}, off AS (SELECT *, greatest(least(vl + 12, w), 0) AS ol, greatest(least(vr + 12, w), 0) AS orr FROM cut),
+  v AS (SELECT image_id, view, (ol - tx) / sx AS l, (ct - ty) / sy AS t, (orr - tx) / sx AS r, (cb - ty) / sy AS b FROM off WHERE orr > ol AND cb > ct),
+  met AS (SELECT x.image_id, x.line_id, view, greatest(least(x.r, v.r) - greatest(x.l, v.l), 0) * greatest(least(x.b, v.b) - greatest(x.t, v.t), 0) AS both_,
+    (x.r - x.l) * (x.b - x.t) AS a1, (v.r - v.l) * (v.b - v.t) AS a2 FROM boxes x JOIN v ON x.image_id = v.image_id AND x.t < v.b AND v.t < x.b)
+  SELECT image_id, line_id AS box_id, count(DISTINCT view) AS n_views FROM met WHERE both_ / (a1 + a2 - both_) >= 0.3 GROUP BY ALL HAVING count(DISTINCT view) >= 2""")
+def _(spark, d):
+    """Boxes found twelve pixels to the right in every view; two views or more confirm."""
+    seen = affine.mapped(F.col("map"), F.col("box"))
+    moved = F.struct((seen["l"] + 12).alias("l"), seen["t"].alias("t"), (seen["r"] + 12).alias("r"), seen["b"].alias("b"))
+    found = _in_views(spark, d).select("image_id", "transforms", "width", "height", moved.alias("box"))
+    return S.consensus_of_transforms(_boxes(spark, d).select("image_id", "box_id", "box"), found, least_views=2)
+
+
 @query("op124_overlay_placement", "SELECT doc_id, CAST([1000 - 300 - 16, 1000 - 300 - 16, 350, 16][doc_id % 4 + 1] AS INT) AS x, CAST([800 - 100 - 16, 16, 350, 16][doc_id % 4 + 1] AS INT) AS y FROM documents")
 def _(spark, d):
     from quillon.operators.grid import cyclic
