@@ -27,6 +27,20 @@ def _(spark, d):
     return images.decoded(rows).select("item_id", "header.format", "header.width", "header.height")
 
 
+@query("op008_jpeg_headers", """SELECT item_id, 'jpeg' AS format, CASE WHEN item_id % 7 <> 5 THEN item_id + 1 END AS width, CASE WHEN item_id % 7 <> 5 THEN 2 * item_id + 1 END AS height
+  FROM benchmark WHERE item_id % 7 <> 3""")
+def _(spark, d):
+    """JPEG behind segments of many lengths, up to some 190 KB of them; every seventh ends before its frame, every seventh is missing."""
+    size = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    i = F.col("item_id")
+    segment = F.concat(F.lit("FFE1"), size(i * 977 % 64_000 + 2, 2), F.expr("repeat('FF', cast(item_id * 977 % 64000 as int))"))
+    lead = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), F.array_join(F.array_repeat(segment, (i % 4).cast("int")), ""), F.lit("FFFF"))
+    frame = F.concat(F.lit("FFC2001108"), size(2 * i + 1, 2), size(i + 1, 2), F.lit("03"))
+    bytes_ = F.unhex(F.concat(lead, F.when(i % 7 != 5, frame).otherwise("")))
+    rows = FX.table(spark, d, "benchmark").select("item_id", F.when(i % 7 != 3, bytes_).alias("image_bytes"), F.lit(None).cast("string").alias("image_path"))
+    return images.headers(rows).where("header is not null").select("item_id", "header.format", "header.width", "header.height")
+
+
 def _word_rows(spark, d):
     """Words of the pages with what OCR adds: lines that are no words, blank text, boxes that are empty or not numbers."""
     w = FX.words(spark, d)

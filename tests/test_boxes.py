@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import affine
 from quillon.operators import plugins
 from quillon.operators import spans as S
-from quillon.sources import wordboxes
+from quillon.sources import images, wordboxes
 
 TSV = "\t".join(wordboxes.HEADER)
 
@@ -69,6 +69,35 @@ def test_polygons_and_the_recorded_plugin(spark, tmp_path):
     assert out == {0: ["word", "text"], 1: [], 2: []}
 
 
+def jpeg(width, height, *segments, frame=0xC0):
+    out = b"\xff\xd8"
+    for n in segments:
+        out += b"\xff\xe1" + (n + 2).to_bytes(2, "big") + b"\xff\xc0" * (n // 2) + b"x" * (n % 2)
+    return out + b"\xff\xff" + bytes([0xFF, frame]) + (17).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"rest" * 200_000
+
+
+def test_headers_read_blocks_of_files(spark, tmp_path):
+    """Sizes of files and bytes; of an 800 KB file a few blocks are read, whatever lies before the frame."""
+    files = {
+        "a.jpg": jpeg(640, 480), "b.jpg": jpeg(31, 77, 60_000, 65_000, 3, 12_345, frame=0xC2), "c.jpg": jpeg(9, 8, 5)[:20], "d.jpg": b"\xff\xd8\xff\xda" + b"x" * 50_000,
+        "e.png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"x" * 900_000, "f.gif": b"GIF89a" + (300).to_bytes(2, "little") + (7).to_bytes(2, "little"),
+        "g.bmp": b"BM" + bytes(16) + (33).to_bytes(4, "little") + (44).to_bytes(4, "little"), "h.txt": b"no image", "i.jpg": b"", "j.png": b"\x89PNG\r\n\x1a\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = [(k, f"{'file:' * (k % 2)}{tmp_path}/{name}", None) for k, name in enumerate(files)]
+    rows += [(20, "/none.jpg", None), (21, None, None), (22, f"{tmp_path}/a.jpg", bytearray(jpeg(5, 6, 4000)))]
+    df = spark.createDataFrame(rows, "index long, image_path string, image_bytes binary")
+    got = {r["index"]: r for r in images.headers(df, str(tmp_path)).collect()}
+    heads = {k: tuple(r.header) if r.header else None for k, r in got.items()}
+    assert heads == {
+        0: ("jpeg", 640, 480), 1: ("jpeg", 31, 77), 2: ("jpeg", None, None), 3: ("jpeg", None, None), 4: ("png", 640, 480), 5: ("gif", 300, 7), 6: ("bmp", 33, 44),
+        7: None, 8: None, 9: None, 20: None, 21: None, 22: ("jpeg", 5, 6),
+    }
+    assert got[0].bytes_read == got[4].bytes_read == images.BLOCK and got[1].bytes_read <= 10 * images.BLOCK and got[22].bytes_read == 0
+    assert set(images.headers(df).where("header is not null").toPandas()["index"]) == {22}
+
+
 def plain_map(name, w, h):
     if name == "crop":
         kw, kh = int(w * 0.82), int(h * 0.82)
