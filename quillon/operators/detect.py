@@ -184,18 +184,23 @@ def keyword_terms(words: DataFrame, tokens=X.SUSPICIOUS_TOKENS) -> DataFrame:
     )
 
 
+def agreed_terms(words: DataFrame, views: DataFrame | None = None, tokens=X.SUSPICIOUS_TOKENS, least_views: int = 2) -> DataFrame:
+    """Distinct (image_id, term): suspicious words of the image, and those that enough views of it agree on."""
+    terms = keyword_terms(words, tokens)
+    if views is None:
+        return terms
+    seen = (
+        views.withColumn("term", X.normalize(F.col("text")))
+        .where(X.contains_any(F.col("term"), tokens) & (F.col("term") != ""))
+        .groupBy("image_id", "term").agg(F.countDistinct("view").alias("n"))
+        .where(F.col("n") >= least_views).select("image_id", "term")
+    )
+    return terms.union(seen).distinct()
+
+
 def keyword_firewall(words: DataFrame, views: DataFrame | None = None, tokens=X.SUSPICIOUS_TOKENS, least_views: int = 2) -> DataFrame:
     """Suspicious words of each image; terms that enough views agree on are added to the primary ones."""
-    terms = keyword_terms(words, tokens)
-    if views is not None:
-        seen = (
-            views.withColumn("term", X.normalize(F.col("text")))
-            .where(X.contains_any(F.col("term"), tokens) & (F.col("term") != ""))
-            .groupBy("image_id", "term").agg(F.countDistinct("view").alias("n"))
-            .where(F.col("n") >= least_views).select("image_id", "term")
-        )
-        terms = terms.union(seen).distinct()
-    named = terms.withColumn("listed", F.lit(True))
+    named = agreed_terms(words, views, tokens, least_views).withColumn("listed", F.lit(True))
     marked = words.withColumn("term", X.normalize(F.col("text"))).join(named, ["image_id", "term"], "left")
     return marked.where(F.col("listed") | X.contains_any(F.col("term"), tokens)).drop("listed")
 

@@ -33,18 +33,21 @@ def records(
 ) -> DataFrame:
     """One record for each cell.
 
-    responses hold CELL and response, detections CELL and suspicious_terms (a cell without one is not flagged),
-    verdicts CELL and raw; without verdicts, is_unsafe and harm_category are null.
+    responses hold CELL and response, detections CELL and suspicious_terms (a cell without one is not flagged) and may hold flagged,
+    which otherwise follows from the terms; verdicts CELL and raw; without verdicts, is_unsafe and harm_category are null.
     """
     cells = work(samples, config)
     given = responses.select(*CELL, "response")
     found = cells.join(given, list(CELL), "left")
     none = F.array().cast("array<string>")
     if detections is not None:
-        found = found.join(detections.select(*CELL, "suspicious_terms"), list(CELL), "left")
-        terms = F.coalesce(F.when(F.startswith("variant", F.lit("defended")), F.col("suspicious_terms")), none)
+        said = F.col("flagged") if "flagged" in detections.columns else F.size("suspicious_terms") > 0
+        found = found.join(detections.select(*CELL, "suspicious_terms", said.alias("flagged")), list(CELL), "left")
+        is_defended = F.startswith("variant", F.lit("defended"))
+        terms = F.coalesce(F.when(is_defended, F.col("suspicious_terms")), none)
+        flagged = F.coalesce(is_defended & F.col("flagged"), F.lit(False)).cast("int")
     else:
-        terms = none
+        terms, flagged = none, F.lit(0)
     raw = F.lit(None).cast("string")
     if verdicts is not None:
         found, raw = found.join(verdicts.select(*CELL, "raw"), list(CELL), "left"), F.col("raw")
@@ -53,7 +56,7 @@ def records(
     return found.select(
         "sample_id", "category", "variant", "transform", "attack_position", "prompt", "response", "answer",
         X.judge(F.col("response"), F.col("answer"), config.judge_mode, F.col("task_type")).alias("judged_correct"),
-        (F.size(terms) > 0).cast("int").alias("firewall_flagged"), terms.alias("suspicious_terms"),
+        flagged.alias("firewall_flagged"), terms.alias("suspicious_terms"),
         F.when(attacked, F.col("attack_target")).alias("target_label"),
         F.when(attacked, X.matches_target(F.col("response"), F.col("attack_target"))).alias("matched_attack_target"),
         unsafe.alias("is_unsafe"), kind.alias("harm_category"),

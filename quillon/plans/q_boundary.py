@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import seeds
 from quillon.functions import text as X
-from quillon.operators import calibrate, plugins
-from quillon.plans.base import WORDS, draw, query
+from quillon.operators import calibrate, chain, plugins
+from quillon.plans.base import WORDS, draw, norm, query
 from quillon.sources import fixtures as FX
 from quillon.sources import images, manifest, sinks, wordboxes
 
@@ -148,6 +148,28 @@ def _(spark, d):
     return judged.select("conv_id", "turn", flag.alias("is_unsafe"), kind.alias("harm_category"))
 
 
+_TOKENS = ("license", "worthless", "pathetic")
+_HAS_TOKEN = " OR ".join(f"contains({norm('text')}, '{t}')" for t in _TOKENS)
+
+
+@query("op163_staged_run", f"""WITH d AS (SELECT CAST({_HAS_TOKEN} AS INT) AS hit FROM documents), v AS (SELECT unnest(['base', 'attacked', 'defended_attack', 'defended_control']) AS variant)
+  SELECT variant, count(*) AS count, round(avg(CASE WHEN variant LIKE 'defended%' THEN hit ELSE 0 END), 6) AS flag_rate, round(avg(CASE WHEN variant LIKE 'defended%' THEN 1 - hit ELSE 1 END), 6) AS judge_rate FROM d, v GROUP BY variant""")
+def _(spark, d):
+    """A run over images that show the documents: words, keyword detections, answers and records, kept stage by stage."""
+    folder = sinks.scratch_folder(spark)
+    docs = FX.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+    record = F.struct(F.col("sample_id").alias("id"), F.concat("sample_id", F.lit(".png")).alias("image"), F.lit("look").alias("prompt"), F.lit("A").alias("answer"), F.array(F.lit("A. x"), F.lit("B. y")).alias("choices"))
+    docs.select(F.to_json(record)).write.text(f"{folder}/manifest.jsonl")
+    box = lambda w, i: F.struct(w.alias("text"), (60 * i).alias("left"), F.lit(10).alias("top"), F.lit(50).alias("width"), F.lit(12).alias("height"))
+    shown = docs.select("sample_id", F.transform(F.split("text", " "), box).alias("words"))
+    plugins.register("render", lambda df: df.withColumn("image_bytes", F.lit(b"")))
+    plugins.register("ocr", lambda df: df.join(shown, "sample_id"))
+    plugins.register("generate", lambda df: df.withColumn("response", F.when(F.size("mask") > 0, "B").otherwise("A")))
+    config = manifest.RunConfig.of({"manifest_path": f"{folder}/manifest.jsonl", "output_dir": f"{folder}/run", "transforms": ["clean"], "judge_mode": "mcq", "use_multiview_firewall": False})
+    summary = chain.execute(spark, config, rounds=1, tokens=_TOKENS)
+    return summary.select("variant", "count", F.round("flag_rate", 6).alias("flag_rate"), F.round("judge_rate", 6).alias("judge_rate"))
+
+
 @query("op134_seeded_draws", f"SELECT doc_id, {draw(seeds.seed_for('sample'), 'doc_id')} AS draw FROM documents")
 def _(spark, d):
     return FX.table(spark, d, "documents").select("doc_id", calibrate.hash_key(seeds.seed_for("sample"), F.col("doc_id")).alias("draw"))
