@@ -149,7 +149,10 @@ def percent(x: Column) -> Column:
 
 
 def wrapped(text: str, width: int) -> Column:
-    """Greedy wrap of a text column to lines of at most width characters; longer words stand alone."""
-    return F.expr(f"""aggregate(filter(split({text}, '[ \\n]+'), w -> w != ''), cast(array() as array<string>),
-      (lines, w) -> if(size(lines) > 0 and length(element_at(lines, -1)) + 1 + length(w) <= {int(width)},
-        concat(slice(lines, 1, size(lines) - 1), array(concat(element_at(lines, -1), ' ', w))), concat(lines, array(w))))""")
+    """Greedy wrap of a text column to lines of at most width characters; longer words stand alone.
+
+    One pass of a pattern: a word that is too long, or as much as fits up to a blank or the end.
+    """
+    joined = F.trim(F.regexp_replace(F.col(text), "[ \\n]+", " "))
+    line = f"(?s)([^ ]{{{int(width) + 1},}}|.{{1,{int(width)}}})(?: |\\z)"
+    return F.regexp_extract_all(joined, F.lit(line), 1)

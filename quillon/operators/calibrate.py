@@ -56,12 +56,14 @@ def sliced(counted: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("slice", place).drop("pivots", *["p_" + b for b in by])
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], levels: int | None = None) -> DataFrame:
+def ranked_values(
+    df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], levels: int | None = None, weight: str | None = None
+) -> DataFrame:
     """One row per group: n, and for each name the value at a 0-based rank, an expression of column n.
 
-    The distinct values with their counts are saved, since every level reads them, and counted for the number of levels.
+    A weight says how often a row's value counts.  The distinct values with their counts are saved, since every level reads them, and counted for the number of levels.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     counted = saved(counted)
     levels = levels or levels_for(counted.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])

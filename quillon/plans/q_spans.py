@@ -26,6 +26,7 @@ from quillon.plans.q_tables import _risk
 from quillon.sources import fixtures as FX
 from quillon.sources import sinks
 from quillon.streaming import events as E
+from quillon.streaming import thresholds as T
 
 
 def _lines(spark, d):
@@ -506,6 +507,20 @@ def _(spark, d):
     return E.windowed(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("ext_stream_thresholds", """WITH r AS (SELECT event_type, round_even(value, 4) AS v FROM events WHERE value IS NOT NULL),
+  s AS (SELECT event_type, count(*) AS n, list(v ORDER BY v) AS vs FROM r GROUP BY event_type)
+  SELECT event_type, n, round(vs[CAST(greatest(least(ceil((n + 1) * 0.9::DOUBLE) - 1, n - 1), 0) AS BIGINT) + 1], 4) AS tau FROM s""")
+def _(spark, d):
+    """The threshold of every event type over the table read as a stream, from the counts that its batches left."""
+    folder = sinks.scratch_folder(spark)
+    table = FX.table(spark, d, "events")
+    table.write.parquet(f"{folder}/in")  # a stream reads a folder
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    T.follow(stream, "event_type", "value", "event_id", f"{folder}/counts", f"{folder}/state", late="10000 days").awaitTermination()
+    found = T.thresholds(T.last_counts(spark, f"{folder}/counts"), 0.1)
+    return found.select(F.col("group").alias("event_type"), "n", F.round("tau", 4).alias("tau"))
+
+
 @query("flagship_detect_rate", f"{_MAX}, clean AS (SELECT risk AS max_risk, span_id AS image_id FROM risk WHERE label < 5 AND span_id < 250), tau AS (SELECT list(max_risk ORDER BY max_risk)[CAST(greatest(least(ceil((count(*) + 1) * 0.9::DOUBLE) - 1, count(*) - 1), 0) AS BIGINT) + 1] AS tau FROM clean) SELECT label, count(*) AS n, round(avg(CASE WHEN risk >= tau THEN 1.0::DOUBLE ELSE 0 END), 6) AS flag_rate FROM risk, tau GROUP BY label")
 def flagship(spark, d):
     rows = _risk(spark, d)

@@ -22,6 +22,7 @@ from quillon.operators import resample as R
 from quillon.operators import spans as S
 from quillon.sources import files, images, manifest, samples, sinks
 from quillon.streaming import events as E
+from quillon.streaming import thresholds as T
 
 
 def one(spark, *cols):
@@ -403,6 +404,45 @@ def test_paired(spark):
     assert empty.n_pairs == 0 and empty.mean_diff is None
 
 
+def test_wrapping_is_linear_and_greedy(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("é" * int(n) for n in rng.integers(1, 30, 400)), "", "  one\n\n two ", "x" * 50 + " y\tz " + "w" * 11, None, "a " * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for width in (1, 10, 24):
+        got = {r.i: r.lines for r in df.select("i", X.wrapped("text", width).alias("lines")).collect()}
+        for i, t in enumerate(texts):
+            lines = []
+            for w in [w for w in (t or "").replace("\n", " ").split(" ") if w]:
+                if lines and len(lines[-1]) + 1 + len(w) <= width:
+                    lines[-1] += " " + w
+                else:
+                    lines.append(w)
+            assert got[i] == (None if t is None else lines)
+
+
+def test_stream_thresholds(spark, tmp_path):
+    """After every batch the stream's threshold is the table's; repeated rows, a batch written again and a restart change nothing."""
+    rng = np.random.default_rng(3)
+    schema = "id long, kind string, ts timestamp, score double"
+    parts = [[(100 * p + i, "ab"[i % 2], datetime(2024, 1, 1, p, i % 60), None if i == 7 else float(rng.random())) for i in range(100)] for p in range(3)]
+    parts[1] += parts[0][:20]  # rows that came before
+    late = [(999, "a", datetime(2023, 1, 1), 5.0)]  # long after the watermark
+    (tmp_path / "in").mkdir()
+    seen = []
+    for k, rows in enumerate([*parts, late]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        T.follow(stream, "kind", "score", "id", str(tmp_path / "counts"), str(tmp_path / "state"), late="3 hours").awaitTermination()
+        seen += rows if k < 3 else []
+        table = T.thresholds(T.counts(spark.createDataFrame(seen, schema), "kind", "score", "id"), 0.1).collect()
+        got = T.thresholds(T.last_counts(spark, str(tmp_path / "counts")), 0.1).collect()
+        assert sorted(got) == sorted(table) and {r["group"] for r in got} == {"a", "b"}
+    last = sorted((tmp_path / "counts").iterdir(), key=lambda p: int(p.name.split("=")[1]))[1]
+    again = spark.createDataFrame(spark.read.parquet(str(last)).collect(), "group string, score double, n long")
+    T.sink(str(tmp_path / "counts"))(again, int(last.name.split("=")[1]))
+    assert sorted(T.thresholds(T.last_counts(spark, str(tmp_path / "counts")), 0.1).collect()) == sorted(table)
+
+
 RECORDS = "run string, sample_id string, category string, variant string, transform string, attack_position string, judged_correct int, firewall_flagged int, matched_attack_target int, is_unsafe int"
 
 
