@@ -6,10 +6,10 @@ own, so a text becomes a string with one character per word, a window of ten
 words is a pattern of ten characters, and the place of a match is a word
 number, from which the offsets in the original text follow.
 
-A benchmark above BLOCK_WINDOWS windows has several automata.  All of them are
-broadcast and every text is read once, past each of them, so a worker holds the
-whole benchmark, about 0.4 KB a window; one with more distinct words in a block
-than there are code points is refused.
+A benchmark above BLOCK_WINDOWS windows, or with more distinct words than there
+are code points, has several automata.  All of them are broadcast and every text
+is read once, past each of them, so a worker holds the whole benchmark, about
+0.4 KB a window.
 
 Defined cases: a null text has no words and is clean.  Benchmark rows without
 words or with a null item_id take no part.  Equal texts under several ids
@@ -110,18 +110,27 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
+def pieces(words: list[bytes], limit: int) -> list[list[bytes]]:
+    """An item's words in stretches of at most ``limit`` windows, which together have the windows of the item."""
+    if len(words) < limit + WINDOW:
+        return [words] if words else []
+    return [words[k : k + limit + WINDOW - 1] for k in range(0, len(words) - WINDOW + 1, limit)]
+
+
 def blocks(benchmark: DataFrame, limit: int):
-    """Lists of (item_id, text) with at most ``limit`` windows each (one item may exceed it)."""
+    """Lists of (item_id, text) with at most ``limit`` windows and MAX_WORDS distinct words each; items that exceed either are cut."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
-    block, size = [], 0
+    block, size, seen = [], 0, set()
     for r in rows.where("i is not null and t is not null").toLocalIterator():
-        n = len(item_windows(words_of(r.t)))
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((r.i, r.t))
+        for words in pieces(words_of(r.t), max(1, min(limit, MAX_WORDS - WINDOW + 1))):
+            n = len(item_windows(words))
+            new = set(words) - seen
+            if block and (size + n > limit or len(seen) + len(new) > MAX_WORDS):
+                yield block
+                block, size, seen, new = [], 0, set(), set(words)
+            block.append((r.i, b" ".join(words).decode()))
             size += n
+            seen |= new
     yield block
 
 

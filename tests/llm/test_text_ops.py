@@ -198,6 +198,20 @@ URLS = [
 ]
 
 
+def test_benchmark_with_more_words_than_code_points(spark, monkeypatch):
+    """Short items of distinct words and one long item close blocks and are cut; the windows found are the same."""
+    items = [(i, " ".join(f"w{9 * i + k}" for k in range(9))) for i in range(60)] + [(99, " ".join(f"v{k}" for k in range(500)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(0, "x " + items[3][1] + " y " + items[59][1]), (1, " ".join(f"v{k}" for k in range(100, 140))), (2, " ".join(f"v{k}" for k in range(490, 500))), (3, "w0 w1 w2"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = decontaminate.scan(docs, bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items) for r in want] == [(18, 2), (40, 1), (10, 1), (0, 0), (0, 0)]
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 40)
+    held = list(decontaminate.blocks(bench, 1000))
+    assert len(held) > 20 and all(len({w for _, t in b for w in t.split()}) <= 40 for b in held)
+    assert decontaminate.scan(docs, bench).orderBy("doc_id").collect() == want
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(a, b, "h") for a, b, *_ in URLS] + [(1, URLS[0][1], None)], "page_id long, url string, host string")
     got = by_row(urlfilter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict"))
