@@ -113,13 +113,13 @@ def _sharding() -> str:
     return f"""
     WITH t AS MATERIALIZED (SELECT {table} AS crc),
     b AS (SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
-            md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':42') AS h,
             CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
               regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
               lambda c, v: xor(crc[CAST(xor(c, v) & 255 AS INT) + 1], c >> 8))) AS BIGINT) AS text_crc32
           FROM documents, t),
+    k AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':42:' || text_crc32 || ':' || size) AS h FROM b),
     r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 0.5::DOUBLE)
-            / count(*) OVER (PARTITION BY source) AS place, count(*) OVER () AS n FROM b),
+            / count(*) OVER (PARTITION BY source) AS place, count(*) OVER () AS n FROM k),
     p AS (SELECT *, row_number() OVER (ORDER BY place, coalesce(source, chr(0)), h, doc_id, text_crc32, size) - 1 AS pos FROM r),
     s AS (SELECT *, pos * {n} // n AS shard FROM p)
     SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,

@@ -1,6 +1,6 @@
 """Sharding by proportional stratified interleaving, law "rows".
 
-Rows are shuffled within each source by a seeded hash and ranked; a row's
+Rows are shuffled within each source by a seeded hash of id, checksum and size and ranked; a row's
 fractional rank is (rank + 1/2) / rows of its source.  Sorted by fractional
 rank, every stretch of rows has the sources in the corpus' proportions, and
 cutting it into equal stretches gives shards that all match the mixture, with
@@ -12,7 +12,7 @@ before it.  Only narrow columns are moved, never the text.
 
 Defined cases: null sources are a source of their own, apart from any name; a
 null text has size 1 and crc32 0, a long one is only measured; a null doc_id
-hashes as the empty string; repeated rows get places of their own, and ties of
+hashes as the empty string, and texts under one id or none are told apart by checksum and size; repeated rows get places of their own, and ties of
 the hash go by doc_id, checksum and size.  An empty table has no shards.  Only
 doc_id, text and source are read, whatever other columns are called.
 """
@@ -61,7 +61,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
         source.isNull().alias("no_source"),
         F.coalesce(source, F.lit("\u0000")).alias("name"),  # sorts before other names; no_source tells it from such a name
     )
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)), "text_crc32", "size")
     rows = saved(rows.withColumn("h", F.md5(key.cast("binary"))))
     n = rows.count()
     buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))

@@ -160,6 +160,22 @@ def test_sharding_buckets_agree(docs, monkeypatch):
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs).collect()} == one
 
 
+def test_sharding_spreads_rows_without_and_with_repeated_ids(spark, monkeypatch):
+    """20,000 texts under no id and as many under one: no bucket of the hash has more than a few hundred."""
+    seen = []
+    ranked = sharding._ranked
+
+    def noted(rows, by, bucket, *rest):
+        seen.append(max(r["count"] for r in rows.groupBy(*by, bucket).count().collect()))
+        return ranked(rows, by, bucket, *rest)
+
+    monkeypatch.setattr(sharding, "_ranked", noted)
+    rows = [(None, f"text {i}", "a") for i in range(20_000)] + [(5, f"other {i}", "b") for i in range(20_000)]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.groupBy("shard").count().select("count").distinct().count() == 1
+    assert max(seen) <= 4 * sharding.BUCKET_ROWS
+
+
 def test_sharding_with_a_hot_source_and_odd_names(spark):
     rows = [(i, "x" * (i % 7), "hot" if i % 2 else None if i % 3 else "\x00") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
