@@ -12,7 +12,8 @@ alternate with other letters.  Fisher's method combines their p-values.
 A token is called a secret by rejecting that it is *text*: the combined value
 is held against those of identifiers glued from the words of all documents (and
 of a short list of common words, so that small tables have a null too), by
-length.  The share of them that look as random is the token's p-value.  A
+length.  The share of them that look as random is the token's p-value, by the
+fitted tail of the null where few or none do.  A
 Benjamini-Hochberg step over the candidates of a document, with weights that
 grow with length since long tokens carry more evidence, keeps the share of
 identifiers among the reported secrets below ``false_discovery``.  Of
@@ -88,8 +89,11 @@ NULL_LENGTHS = (12, 16, 20, 24, 28, 32, 40, 48, 64)
 NULL_SIZE = 4000
 #: Bins of the null: the normal deviate of the combined p-value, by tenths.
 BINS, LOWEST = 128, -8.0
+#: Share and least number of the null's highest values that its tail is fitted to.
+TAIL, LEAST_TAIL = 0.005, 50
 #: One identifier is glued for the null at every so many words of a document.
 NULL_EVERY = 96
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NULL_WORD = re.compile(r"[A-Za-z]{2,}")
 
 
@@ -263,9 +267,24 @@ def corpus_null(docs: DataFrame, rules: SecretRules) -> dict[int, np.ndarray]:
 
 
 def p_values(null: dict[int, np.ndarray]) -> tuple[list[int], np.ndarray]:
-    """Lengths, and for each length and bin the share of the null that looks as random or more."""
-    lengths = sorted(null)
-    return lengths, np.array([(1 + null[n][::-1].cumsum()[::-1]) / (1 + null[n].sum()) for n in lengths])
+    """Lengths, and for each length and bin the share of the null that looks as random or more.
+
+    Beyond the bin that TAIL of the null (or LEAST_TAIL of it) reach, the share falls off exponentially with the mean excess of
+    those, taken a standard error high; so a value that no identifier has come near has a share far below 1 / size.  The null of z
+    values falls off faster than that, which errs towards not reporting.
+    """
+    lengths, out = sorted(null), []
+    for n in lengths:
+        count, bins = null[n].astype(float), np.arange(BINS)
+        reach = count[::-1].cumsum()[::-1]
+        share = (1 + reach) / (1 + count.sum())
+        enough = np.flatnonzero(reach >= max(LEAST_TAIL, TAIL * count.sum()))
+        if len(enough):
+            u = enough[-1]
+            excess = (count[u:] * (bins[u:] - u + 0.5)).sum() / reach[u] * (1 + 1 / math.sqrt(reach[u]))
+            share[u:] = share[u] * np.exp(-(bins[u:] - u) / excess)
+        out.append(share)
+    return lengths, np.array(out)
 
 
 def discovered(tests: list[tuple[float, int]], level: float) -> list[bool]:
@@ -287,7 +306,7 @@ def _runs(least: int) -> re.Pattern:
 
 
 def candidates(text: str, rules: SecretRules):
-    """(start, end, alphabet) of the runs that fit an alphabet, and of the long pieces of those with signs."""
+    """(start, end, token, alphabet) of the runs that fit an alphabet, of the long pieces of those with signs, and of UUIDs without theirs."""
     for m in _runs(rules.least_length).finditer(text):
         spans = {m.span()}
         if _SIGN.search(m[0]):
@@ -295,16 +314,21 @@ def candidates(text: str, rules: SecretRules):
         for start, end in sorted(s for s in spans if s[1] - s[0] >= rules.least_length):
             alphabet = encoding_of(text[start:end])
             if alphabet:
-                yield start, end, alphabet
+                yield start, end, text[start:end], alphabet
+        for p in UUID.finditer(text, *m.span()) if rules.least_length <= 32 else ():
+            token = p[0].replace("-", "")
+            alphabet = encoding_of(token)
+            if alphabet:
+                yield *p.span(), token, alphabet
 
 
 def random_spans(text: str, rules: SecretRules, null: tuple[list[int], np.ndarray]) -> list[tuple[int, int]]:
     lengths, share = null
     found, tests = [], []
-    for start, end, alphabet in candidates(text, rules):
-        at = bisect_right(lengths, end - start) - 1
+    for start, end, token, alphabet in candidates(text, rules):
+        at = bisect_right(lengths, len(token)) - 1
         found.append((start, end))
-        tests.append((float(share[at][randomness_bin(text[start:end], alphabet)]), end - start))
+        tests.append((float(share[at][randomness_bin(token, alphabet)]), len(token)))
     secret = [s for s, x in zip(found, discovered(tests, rules.false_discovery)) if x]
     out: list[tuple[int, int]] = []
     for a, b in sorted(secret, key=lambda s: (s[0] - s[1], s)):  # pieces may overlap: the longest stays

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -767,3 +768,24 @@ def test_languages_beyond_64_and_behind_a_shared_header(spark):
     assert [lang for lang, _, _ in found] == [f"l{k:02}" for k in range(70)]
     texts = [body(k) for k in range(0, 70, 9)]
     assert langid.batch_classifier(model)(texts) == langid.batch_classifier(model, langid.LanguageRules(coders_at_once=100))(texts)
+
+
+@pytest.mark.parametrize("name, length, least", [("base62", 32, 0.8), ("base36", 32, 0.8), ("base32", 32, 0.8), ("base62", 40, 0.9), ("uuid", 36, 0.8)])
+def test_one_key_among_many_identifiers(name, length, least):
+    """A lone key is found in documents with many identifiers, of which next to none are reported."""
+    rng = np.random.default_rng([length, len(name)])
+    letters = dict(secrets.ALPHABETS).get(name, "")
+    null = secrets.p_values(secrets.common_null(secrets.SecretRules()))
+    for n, trials in ((0, 30), (20, 30), (200, 30), (1000, 6)):
+        found = wrong = 0
+        for _ in range(trials):
+            key = str(uuid.UUID(bytes=rng.bytes(16))) if name == "uuid" else "".join(rng.choice(list(letters), length))
+            tokens = [made_token(rng, rng.choice(["Camel", "snake", "kebab", "path"]), int(rng.integers(20, 41))) for _ in range(n)]
+            at = int(rng.integers(0, n + 1))
+            before = "".join(t + " " for t in tokens[:at])
+            spans = secrets.random_spans(before + key + "".join(" " + t for t in tokens[at:]), secrets.SecretRules(), null)
+            own = [s for s in spans if s[0] < len(before) + len(key) and s[1] > len(before)]
+            found += own == [(len(before), len(before) + len(key))]
+            wrong += len(spans) - len(own)
+        assert found >= (least if n < 1000 else least - 0.3) * trials, (n, found)
+        assert wrong <= 0.01 * n * trials
