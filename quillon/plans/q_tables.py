@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions import vectors as V
-from quillon.operators import compare, detect, grid
+from quillon.operators import balltree, compare, detect, grid
 from quillon.plans.base import BANK, IMAGES, SPANS, TRANSFORM_ROWS, WITH_RISK, dot, draw, norm, query, records
 from quillon.sources import fixtures as FX
 from quillon.sources import files, manifest, samples, sinks
@@ -344,6 +344,15 @@ def _(spark, d):
     return detect.score(FX.spans(spark, d), FX.bank(spark, d)).select("span_id", F.round("s_inst", 6).alias("s_inst"))
 
 
+@query("op046_ball_tree", f"SELECT s.vec_id AS span_id, round(max({dot('s.embedding', 'b.embedding')}), 6) AS s_inst FROM embeddings s, embeddings b WHERE s.vec_id <> b.vec_id AND b.vec_id % 2 = 0 AND s.vec_id % 2 = 1 GROUP BY ALL")
+def _(spark, d):
+    """Half of the vectors against the other half as a bank of several trees."""
+    rows = FX.table(spark, d, "embeddings")
+    odd = rows.where("vec_id % 2 = 1").select(F.col("vec_id").alias("span_id"), "embedding")
+    found = balltree.score(odd, rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("rid"), "embedding"), block=128)
+    return found.select("span_id", F.round("s_inst", 6).alias("s_inst"))
+
+
 @query("op047_image_lookup_join", f"WITH {SPANS}, {IMAGES} SELECT span_id, round({dot('s.embedding', 'i.embedding')}, 6) AS cos FROM spans s JOIN images i USING (image_id)")
 def _(spark, d):
     image = FX.images(spark, d).withColumnRenamed("embedding", "image")

@@ -15,7 +15,7 @@ from quillon.functions import seeds
 from quillon.functions import text as X
 from quillon.functions import vectors as V
 from quillon.operators import calibrate as C
-from quillon.operators import compare, detect, grid, plugins, report, run
+from quillon.operators import balltree, compare, detect, grid, plugins, report, run
 from quillon.operators import metrics as M
 from quillon.operators import prefix
 from quillon.operators import resample as R
@@ -300,6 +300,30 @@ def test_draws_are_uniform():
     assert C.drawn_ranks(counters[0], others[0], 3, 10**12).max() < 10**12
 
 
+def test_ball_tree_is_exact_and_prunes(spark):
+    """Clustered, equal and random vectors: the values of all pairs, with few of them compared where vectors lie in clusters."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 16))
+    clustered = (centres[rng.integers(0, 40, 6000)] + 0.05 * rng.standard_normal((6000, 16)))
+    clustered /= np.linalg.norm(clustered, axis=1, keepdims=True)
+    for bank in (clustered, rng.standard_normal((300, 16)), np.ones((100, 16)), clustered[:1]):
+        queries = np.concatenate([clustered[:200] + 0.02 * rng.standard_normal((200, 16)), rng.standard_normal((50, 16)), np.zeros((1, 16))])
+        tree = balltree.BallTree.of(bank, 16)
+        best, compared = tree.best(queries)
+        assert best == pytest.approx((queries @ bank.T).max(axis=1), abs=1e-12)
+        assert sorted(map(tuple, tree.vectors)) == sorted(map(tuple, bank))
+        if len(bank) == 6000:
+            assert compared[:200].mean() < 0.1 * len(bank)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(clustered[:3000])]
+    bank = spark.createDataFrame([*rows, (-1, None)], "rid long, embedding array<double>")
+    spans = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(clustered[3000:3300])] + [(999, None)], "span_id long, embedding array<double>")
+    got = {r.span_id: r for r in balltree.score(spans, bank, block=1000).collect()}
+    want = {r.span_id: r.s_inst for r in detect.cross_join_score(spans, bank.where("rid >= 0"), 1000).collect()}
+    assert {k: r.s_inst for k, r in got.items()} == pytest.approx(want)
+    assert sum(r.n_compared for r in got.values()) < 0.5 * 300 * 3000 and {r.n_bank for r in got.values()} == {3000}
+    assert {r.s_inst for r in balltree.score(spans, bank.where("rid < 0")).collect()} == {None}
+
+
 def test_roc_handles_empty_denominators(spark):
     df = spark.createDataFrame([(0.5, 1), (0.4, 0)], "score double, positive int")
     rows = {r.tau: r for r in C.roc(df, [0.4, 0.5, 9.0]).collect()}
