@@ -26,14 +26,14 @@ from quillon.functions.seeds import mix32
 from quillon.operators import prefix
 from quillon.sources.sinks import saved
 
-#: Slices a level, and distinct values of a slice that are sorted rather than sliced again.
-SLICES, SORTED = 64, 1 << 20
+#: Slices a level, and distinct values of a slice that are sorted rather than sliced again; groups of up to FEW are sorted at once.
+SLICES, SORTED, FEW = 64, 1 << 20, 4096
 
 
 def levels_for(distinct: int) -> int:
-    """Levels of slices that leave about SORTED values to sort, of a group of so many; at least one."""
-    levels = 1
-    while distinct / SLICES**levels > SORTED:
+    """Levels of slices that leave about SORTED values to sort, of a group of so many; none for few values."""
+    levels = int(distinct > FEW)
+    while levels and distinct / SLICES**levels > SORTED:
         levels += 1
     return levels
 
@@ -65,9 +65,12 @@ def ranked_values(
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     counted = saved(counted)
-    levels = levels or levels_for(counted.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    if levels is None:
+        levels = levels_for(counted.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])
     left, own, begin = counted, list(by), F.lit(0)
+    if not levels:
+        left = counted.withColumn("n", F.sum("c").over(Window.partitionBy(*by))).withColumn("begin", begin).withColumn("wanted", wanted)
     for level in range(levels):
         slot = f"slot_{level}"
         placed = sliced(left, own).withColumnRenamed("slice", slot)

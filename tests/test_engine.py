@@ -214,7 +214,7 @@ def test_known_figures(spark):
     assert r.levy == pytest.approx(0.0031511, abs=1e-7) and r.dkw == pytest.approx(1.2130613) and r.sd == pytest.approx(0.03)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
+@pytest.mark.parametrize("levels", [0, 1, 2, 3])
 def test_order_statistics_under_skew(spark, levels):
     """One value of 1e12 among 200,000, a value that half of the rows have, and a group of its own: exact, in even slices."""
     rng = np.random.default_rng(4)
@@ -228,7 +228,7 @@ def test_order_statistics_under_skew(spark, levels):
     counted = df.where("g = 'a'").groupBy("g", "x").count()
     sizes = [r["count"] for r in C.sliced(counted, ["g"]).groupBy("slice").count().collect()]
     assert len(sizes) == C.SLICES and max(sizes) <= 2 * 100_001 / C.SLICES
-    assert C.levels_for(10) == 1 and C.levels_for(C.SORTED * C.SLICES + 1) == 2
+    assert C.levels_for(10) == 0 and C.levels_for(C.FEW + 1) == 1 and C.levels_for(C.SORTED * C.SLICES + 1) == 2
 
 
 def test_prefix_scans(spark):
