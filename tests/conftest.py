@@ -29,3 +29,12 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def own_plugins(monkeypatch):
+    """Plug-ins that a test registers are gone after it."""
+    from quillon.operators import plugins
+
+    monkeypatch.setattr(plugins, "_FOUND", dict(plugins._FOUND))
+    monkeypatch.setattr(plugins, "_BACKENDS", dict(plugins._BACKENDS))
